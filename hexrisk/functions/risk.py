@@ -191,7 +191,7 @@ def rule_triggers(inputs: dict[str, Column]) -> Column:
 
 def split_triggers(text: Column) -> Column:
     """Trigger text to a clean array: trimmed, without blanks and without the default text."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"\|"), F.trim)
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"\|"), lambda t: F.trim(t))
     return F.filter(parts, lambda t: (t != "") & ~F.contains(t, F.lit(NO_TRIGGER_MARK)))
 
 

@@ -69,7 +69,7 @@ def cells_near(points: DataFrame, grid: DataFrame, scores: DataFrame, radius_km:
 
 def top_triggers(rows: DataFrame, by: list[str], k: int = TOP_TRIGGERS) -> DataFrame:
     """Most frequent trigger texts per group with ``rank``; ties by text. Blank texts do not count."""
-    texts = F.filter(F.transform(F.split("tactical_triggers", r" \| "), F.trim), lambda t: t != "")
+    texts = F.filter(F.transform(F.split("tactical_triggers", r" \| "), lambda t: F.trim(t)), lambda t: t != "")
     counted = rows.select(*by, F.explode(texts).alias("trigger")).groupBy(*by, "trigger").agg(F.count(F.lit(1)).alias("times"))
     keyed = counted.withColumn("_key", F.struct(*by)) if by else counted.withColumn("_key", F.lit(0))
     return latest_k(keyed, "_key", [F.desc("times"), F.asc("trigger")], k).drop("_key")
