@@ -134,7 +134,7 @@ part(
 part(
     "news",
     f"""select l_orderkey as id, date '2024-01-01' + cast(l_orderkey % 30 as int) as event_date, {lattice('l_suppkey')},
-    {d(12.0)} - {d(0.625)} * l_quantity as tone, {d(10.0)} - {d(200.0)} * l_discount as goldstein, l_quantity as articles,
+    {d(12.5)} - {d(0.625)} * l_quantity as tone, {d(10.0)} - {d(200.0)} * l_discount as goldstein, l_quantity as articles,
     1 + l_partkey % 20 as code from lineitem where l_linenumber = 1 and l_returnflag = 'R'""",
 )
 part(
@@ -358,7 +358,7 @@ part(
 )
 part(
     "seeds",
-    f"""select seed, cell, hop, row_number() over (partition by seed order by hop, q, r) as rank from
+    f"""select seed, cell, hop, cast(row_number() over (partition by seed order by hop, q, r) as int) as rank from
     (select seed, cell, q, r, min(hop) as hop from hops group by seed, cell, q, r) as h
     qualify row_number() over (partition by seed order by hop, q, r) <= 30""",
 )
@@ -402,7 +402,7 @@ part("safefacilities", f"select * from {celled('facilities')} as p where not exi
 part("spots", "select distinct lat, lng from origins")
 part(
     "candidates",
-    f"""select * from (select *, row_number() over (partition by lat, lng order by distance_km, name) as rank from
+    f"""select * from (select *, cast(row_number() over (partition by lat, lng order by distance_km, name) as int) as rank from
     (select s.lat, s.lng, p.name, p.country, p.lat as to_lat, p.lng as to_lng, {hu(haversine('s.lat', 's.lng', 'p.lat', 'p.lng'))} as distance_km
      from spots as s, safeplaces as p) as x where distance_km between 5 and 500) as y where rank <= 5""",
 )
@@ -600,7 +600,7 @@ part(
          group by all) as c) as k where i <= 5 group by lat, lng) as t using (lat, lng)""",
 )
 oracle("a10_area_summary", f"select * replace ({hu('lat')} as lat, {hu('lng')} as lng) from areasum")
-oracle("a11_top_triggers", """select event_date, trigger, times, row_number() over (partition by event_date order by times desc, trigger) as rank from
+oracle("a11_top_triggers", """select event_date, trigger, times, cast(row_number() over (partition by event_date order by times desc, trigger) as int) as rank from
   (select event_date, trigger, count(*) as times from (select event_date, trim(unnest(string_split(tactical_triggers, ' | '))) as trigger from history) as u group by all) as c
   qualify row_number() over (partition by event_date order by times desc, trigger) <= 5""")
 oracle("a12_cluster_summary", f"select * exclude (first_triggers) from ({cluster_numbers('clusters', 'cluster_id')}) as c")
@@ -647,7 +647,7 @@ _known = {"event_count": "event_count > 0", "gdelt_hostility": "gdelt_event_coun
 oracle("w10_latest_per_cell", f"""select cell, max(event_date) as event_date, arg_max(event_count, event_date) filter (event_count > 0) as event_count,
   {hu('arg_max(gdelt_hostility, event_date) filter (gdelt_event_count > 0)')} as gdelt_hostility,
   {hu('arg_max(firms_max_frp, event_date) filter (firms_hotspot_count > 0)')} as firms_max_frp from feat group by cell""")
-oracle("w11_latest_k", f"""select {ID}, row_number() over (partition by q, r order by event_date desc, event_id desc) as rank, event_id, event_date,
+oracle("w11_latest_k", f"""select {ID}, cast(row_number() over (partition by q, r order by event_date desc, event_id desc) as int) as rank, event_id, event_date,
   event_type, fatalities, actor1 from crows qualify row_number() over (partition by q, r order by event_date desc, event_id desc) <= 4""")
 oracle("w12_running_best", f"""select threshold, {hu('f1')} as f1,
   f1 > coalesce(max(f1) over (order by threshold rows between unbounded preceding and 1 preceding), -1) as best_so_far

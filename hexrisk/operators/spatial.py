@@ -6,6 +6,7 @@ searches are salted, so a bucket that most searches fall into is still worked on
 
 from __future__ import annotations
 
+from functools import reduce
 from math import degrees, pi
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -18,6 +19,7 @@ from hexrisk.session import cut_lineage
 
 # Bucket widths in degrees; all divide 360, so buckets close around the globe.
 BUCKETS = (0.125, 0.25, 0.5, 1.0, 2.0, 4.0, 5.0, 10.0)
+SEARCH_SALTS, RADIUS_GROWTH, FIRST_RADIUS_KM = 32, 2.0, 12.0
 HALF_EARTH_KM = pi * EARTH_RADIUS_KM
 
 # Cities taken as destinations beside the facilities.
@@ -89,7 +91,7 @@ def within_radius(points: DataFrame, targets: DataFrame, radius_km: float, min_k
     spread = points.withColumn("_by", F.explode(rows)).withColumn("_bx", F.explode(columns))
     by, bx = _bucket(F.col("to_lat"), F.col("to_lng"), width)
     placed = targets.withColumnsRenamed({"lat": "to_lat", "lng": "to_lng"}).withColumns({"_by": by, "_bx": bx})
-    pairs = salted_join(spread, placed, ["_by", "_bx"])
+    pairs = salted_join(spread, placed, ["_by", "_bx"], salts=SEARCH_SALTS, grows=True)
     # Kept to the millimetre, so that equal distances compare as equal.
     distance = half_up(haversine_km(F.col("lat"), F.col("lng"), F.col("to_lat"), F.col("to_lng")), 6)
     return (
@@ -111,25 +113,27 @@ def nearest_places(
     """
     same_spot = Window.partitionBy("lat", "lng").orderBy("name")
     candidates = cut_lineage(places.withColumn("_i", F.row_number().over(same_spot)).filter(F.col("_i") <= k).drop("_i"))
-    open_positions = cut_lineage(origins.select("lat", "lng").distinct())
-    nearest = Window.partitionBy("lat", "lng").orderBy("distance_km", "name")
-    found: DataFrame | None = None
-    radius = max(2.0 * min_km, 12.0)
+    spot, nearest = ["lat", "lng"], Window.partitionBy("lat", "lng").orderBy("distance_km", "name")
+    result = [F.col(f"_p.{c}").alias(c) for c in ("rank", "distance_km", "to_lat", "to_lng")]
+    result += [F.col(f"_p.{c}").alias(c) for c in candidates.columns if c not in spot]
+    waiting = origins.select(*spot).distinct()
+    found: list[DataFrame] = []
+    radius = max(2.0 * min_km, FIRST_RADIUS_KM)
     while True:
         radius = min(radius, max_km)
-        last = radius >= max_km
-        pairs = within_radius(open_positions, candidates, radius, min_km)
+        pairs = within_radius(waiting, candidates, radius, min_km)
         top = pairs.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
-        if last:
-            return top if found is None else found.unionByName(top)
-        top = cut_lineage(top)
-        full = top.filter(F.col("rank") == k).select("lat", "lng")
-        done = top.join(full, ["lat", "lng"], "left_semi")
-        found = done if found is None else found.unionByName(done)
-        open_positions = cut_lineage(open_positions.join(full, ["lat", "lng"], "left_anti"))
-        if open_positions.isEmpty():
-            return found
-        radius *= 4.0
+        # At most k entries per position.
+        packed = top.groupBy(*spot).agg(F.collect_list(F.struct(*[c for c in top.columns if c not in spot])).alias("_top"))
+        last = radius >= max_km
+        level = packed if last else cut_lineage(waiting.join(packed, spot, "left"))
+        done = level if last else level.filter(F.size("_top") == k)
+        found.append(done.select(*spot, F.explode("_top").alias("_p")).select(*spot, *result))
+        if not last:
+            waiting = level.filter(F.coalesce(F.size("_top"), F.lit(0)) < k).select(*spot)
+        if last or waiting.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        radius *= RADIUS_GROWTH
 
 
 def cities(spark) -> DataFrame:

@@ -13,6 +13,7 @@ from hexrisk.operators.routes import best_route, cell_exposure, danger_cells, ro
 from hexrisk.operators.spatial import cities, evac_candidates, nearest_facility, place_table, within_radius
 from hexrisk.operators.summaries import latest_k
 from hexrisk.plans.scoring import backtest_days
+from hexrisk.session import cut_lineage
 from hexrisk.sources.tables import enrich_scores, with_current_tier
 
 NEAR_RADIUS_KM, AREA_RADIUS_KM = 50.0, 80.0
@@ -140,12 +141,11 @@ def evac_plan(
     unless a speed is given. Positions that several origins share are planned once.
     """
     axes = with_axes(scores)
-    danger = danger_cells(axes)
+    danger = cut_lineage(danger_cells(axes))
     places = place_table(cities(scores.sparkSession), facilities)
-    ways = evac_candidates(origins, places, axes).withColumn("variant", F.lit(0))
+    ways = cut_lineage(evac_candidates(origins, places, axes).withColumn("variant", F.lit(0)))
     way = ["lat", "lng", "rank", "variant"]
-    direct = _exposed(ways, danger, way)
-    best = best_route(direct, ["lat", "lng"])
+    best = cut_lineage(best_route(_exposed(ways, danger, way), ["lat", "lng"]))
     detours = best.filter("danger_cells > 0").drop("danger_cells", "total_cells")
     sides = detours.withColumn("variant", F.explode(F.array(F.lit(1), F.lit(-1))))
     tried = _exposed(sides, danger, way)
@@ -154,7 +154,7 @@ def evac_plan(
     chosen = best_route(every, ["lat", "lng"], "_order").drop("_order")
     km = half_up(route_km(F.col("variant")), 1)
     minutes = F.floor(km / F.lit(speed_km_h) * 60.0) if speed_km_h else F.lit(0).cast("bigint")
-    timed = chosen.withColumns({"distance_km": km, "duration_min": minutes})
+    timed = cut_lineage(chosen.withColumns({"distance_km": km, "duration_min": minutes}))
     goals = timed.select(F.col("to_lat").alias("lat"), F.col("to_lng").alias("lng")).distinct()
     shelter = nearest_facility(goals, facilities.select("name", "type", "lat", "lng", "notes"), axes)
     near = shelter.select(

@@ -70,7 +70,8 @@ def news(spark: SparkSession, root: str) -> DataFrame:
         F.col("l_orderkey").alias("id"),
         _day("l_orderkey", FIRST_DAY, DAYS).alias("event_date"),
         *[c.alias(n) for n, c in lattice("l_suppkey").items()],
-        (F.lit(12.0) - F.lit(0.625) * F.col("l_quantity")).alias("tone"),
+        # Eighths, so that sums and the hostility derived from them do not depend on the order of rows.
+        (F.lit(12.5) - F.lit(0.625) * F.col("l_quantity")).alias("tone"),
         (F.lit(10.0) - F.lit(200.0) * F.col("l_discount")).alias("goldstein"),
         F.col("l_quantity").alias("articles"),
         (1 + F.col("l_partkey") % 20).alias("code"),
