@@ -515,8 +515,7 @@ def a19_active_summary(spark, root):
 @query
 def a20_cv_summary(spark, root):
     blocks = labels.time_series_folds(labels.filter_active(store.labelled_scores(spark, root))).filter("block > 0")
-    folds = evaluate.roc_auc(blocks, ["block"]).join(evaluate.average_precision(blocks, ["block"]), "block")
-    return rounded(evaluate.cv_summary(folds))
+    return rounded(evaluate.cv_summary(evaluate.ranking_metrics(blocks, ["block"])))
 
 
 @query
@@ -738,7 +737,7 @@ def j14_attach_weather(spark, root):
 def j15_annotate_timeline(spark, root):
     history = store.history(spark, root)
     timeline = summaries.tier_timeline(history).select("event_date", "red", "orange")
-    return rounded(summaries.annotate_timeline(timeline, derived.key_events(spark), summaries.date_range(history)))
+    return rounded(summaries.annotate_timeline(timeline, derived.key_events(spark)))
 
 
 # Sorts, top-k and set operations -------------------------------------------------------------------------------------
@@ -875,7 +874,7 @@ def _trained(spark, root):
 def m4_train_gbt(spark, root):
     train, test, names = _trained(spark, root)
     scored = model.predict(test, studies.fit_standard(train, names, **SHORT_TRAINING), names)
-    return evaluate.roc_auc(scored).crossJoin(evaluate.average_precision(scored))  # one row each
+    return evaluate.ranking_metrics(scored)
 
 
 @query
@@ -889,7 +888,7 @@ def m5_focal_weight(spark, root):
 def m6_train_focal(spark, root):
     train, test, names = _trained(spark, root)
     scored = model.predict(test, model.train_focal(train, names, **SHORT_TRAINING), names)
-    return evaluate.roc_auc(scored).crossJoin(evaluate.average_precision(scored))  # one row each
+    return evaluate.ranking_metrics(scored)
 
 
 @query

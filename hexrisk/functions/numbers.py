@@ -14,7 +14,7 @@ def half_up(x: Column, digits: int) -> Column:
 def stored_mean(x: Column, digits: int) -> Column:
     """Mean of values kept with ``digits`` decimals, summed as integers: the same whatever the order of rows."""
     scale = float(10**digits)
-    return F.sum(F.floor(x * F.lit(scale) + F.lit(0.5))) / F.count(x) / F.lit(scale)
+    return F.try_divide(F.sum(F.floor(x * F.lit(scale) + F.lit(0.5))), F.count(x)) / F.lit(scale)
 
 
 def fixed(x: Column, digits: int) -> Column:

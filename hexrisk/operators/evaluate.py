@@ -23,51 +23,65 @@ def score_counts(df: DataFrame, by: list[str] = (), score: str = "strategic_scor
     return keyed.groupBy(*by, "score").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
 
 
-def _descending(by: list[str]):
-    return Window.partitionBy(*by).orderBy(F.desc("score"))
+_ALL = "_all"
 
 
-def roc_auc(df: DataFrame, by: list[str] = (), **cols: str) -> DataFrame:
-    """Chance that a positive outranks a negative, ties counting one half; null when a class is missing."""
-    by = list(by)
-    above = F.coalesce(F.sum("pos").over(_descending(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = score_counts(df, by, **cols)
+def _keyed(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
+    """Group columns, with a constant standing in when there are none."""
+    return (df, list(by)) if by else (df.withColumn(_ALL, F.lit(0)), [_ALL])
+
+
+def ranking_metrics(df: DataFrame, by: list[str] = (), **cols: str) -> DataFrame:
+    """ROC-AUC and average precision from one pass over the rows.
+
+    ROC-AUC is the chance that a positive outranks a negative, ties counting one half. Average precision is the sum of
+    precision times gain in recall over falling thresholds, equal scores taken together. Null when a class is missing.
+    """
+    keyed, keys = _keyed(df, by)
+    w = Window.partitionBy(*keys).orderBy(F.desc("score"))
+    above = F.sum("pos").over(w) - F.col("pos")
     neg = F.col("n") - F.col("pos")
-    parts = counts.select(*by, "pos", neg.alias("neg"), (neg * (above + F.col("pos") / F.lit(2.0))).alias("wins"))
-    pairs = F.sum("pos") * F.sum("neg")
-    return parts.groupBy(*by).agg(F.try_divide(F.sum("wins"), pairs.cast("double")).alias("roc_auc"))
+    steps = score_counts(keyed, keys, **cols).select(
+        *keys,
+        "pos",
+        neg.alias("neg"),
+        (neg * (above + F.col("pos") / F.lit(2.0))).alias("wins"),
+        (F.col("pos") * (F.sum("pos").over(w) / F.sum("n").over(w))).alias("gain"),
+    )
+    pairs = (F.sum("pos") * F.sum("neg")).cast("double")
+    return (
+        steps.groupBy(*keys)
+        .agg(
+            F.try_divide(F.sum("wins"), pairs).alias("roc_auc"),
+            F.try_divide(F.sum("gain"), F.sum("pos").cast("double")).alias("average_precision"),
+        )
+        .drop(_ALL)
+    )
+
+
+def roc_auc(df: DataFrame, by: list[str] = (), **cols: str) -> DataFrame:
+    return ranking_metrics(df, by, **cols).drop("average_precision")
 
 
 def average_precision(df: DataFrame, by: list[str] = (), **cols: str) -> DataFrame:
-    """Sum of precision times gain in recall over falling thresholds, equal scores taken together."""
-    by = list(by)
-    w = _descending(by)
-    counts = score_counts(df, by, **cols)
-    steps = counts.select(*by, "pos", (F.sum("pos").over(w) / F.sum("n").over(w)).alias("precision"))
-    return steps.groupBy(*by).agg(
-        F.try_divide(F.sum(F.col("pos") * F.col("precision")), F.sum("pos").cast("double")).alias("average_precision")
-    )
+    return ranking_metrics(df, by, **cols).drop("roc_auc")
 
 
 def threshold_sweep(
     df: DataFrame, thresholds: tuple[float, ...] = REPORT_THRESHOLDS, by: list[str] = (), days: bool = True, **cols: str
 ) -> DataFrame:
     """Precision, recall, F1 and alerts per day at each threshold that raises any alert."""
-    by = list(by)
-    counts = score_counts(df, by, **cols)
+    keyed, keys = _keyed(df, by)
+    counts = score_counts(keyed, keys, **cols)
     grid = F.array(*[F.lit(t) for t in thresholds])
     flagged = counts.select(
-        *by, "n", "pos", "score", F.explode(F.filter(grid, lambda t: t <= F.col("score"))).alias("threshold")
+        *keys, "n", "pos", F.explode(F.filter(grid, lambda t: t <= F.col("score"))).alias("threshold")
     )
-    hits = flagged.groupBy(*by, "threshold").agg(F.sum("n").alias("alerts"), F.sum("pos").alias("true_alerts"))
-    totals = counts.groupBy(*by).agg(F.sum("pos").alias("positives"))
+    hits = flagged.groupBy(*keys, "threshold").agg(F.sum("n").alias("alerts"), F.sum("pos").alias("true_alerts"))
+    joined = hits.join(counts.groupBy(*keys).agg(F.sum("pos").alias("positives")), keys)
     if days:
-        span = df.groupBy(*by).agg(
-            F.greatest(F.datediff(F.max("event_date"), F.min("event_date")), F.lit(1)).alias("span_days")
-        )
-        totals = totals.join(span, by) if by else totals.crossJoin(span)
-    # Without groups the totals are a single row.
-    joined = hits.join(totals, by) if by else hits.crossJoin(totals)
+        span = F.greatest(F.datediff(F.max("event_date"), F.min("event_date")), F.lit(1)).alias("span_days")
+        joined = joined.join(keyed.groupBy(*keys).agg(span), keys)
     precision = F.col("true_alerts") / F.col("alerts")
     recall = F.coalesce(F.try_divide(F.col("true_alerts"), F.col("positives")), F.lit(0.0))
     f1 = F.lit(2.0) * F.col("true_alerts") / (F.col("alerts") + F.col("positives"))

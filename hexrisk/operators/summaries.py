@@ -37,20 +37,12 @@ def tier_timeline(scored: DataFrame) -> DataFrame:
     return tier_counts(scored, ["event_date"])
 
 
-def annotate_timeline(timeline: DataFrame, events: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Mark key events on a timeline, with their place in the range in percent.
-
-    ``bounds`` is the one-row result of :func:`date_range`; events outside it are left out.
-    """
-    span = F.datediff("max_date", "min_date")
-    placed = (
-        events.crossJoin(F.broadcast(bounds))
-        .filter(F.col("event_date").between(F.col("min_date"), F.col("max_date")))
-        .select(
-            "event_date",
-            "text",
-            F.coalesce(F.try_divide(F.datediff("event_date", "min_date") * F.lit(100.0), span), F.lit(0.0)).alias("pct"),
-        )
+def annotate_timeline(timeline: DataFrame, events: DataFrame) -> DataFrame:
+    """Mark key events on a timeline, with their place in its range in percent; events outside it are left out."""
+    first, last = timeline.select(F.min("event_date")).scalar(), timeline.select(F.max("event_date")).scalar()
+    ahead = F.datediff("event_date", first) * F.lit(100.0)
+    placed = events.filter(F.col("event_date").between(first, last)).select(
+        "event_date", "text", F.coalesce(F.try_divide(ahead, F.datediff(last, first)), F.lit(0.0)).alias("pct")
     )
     return timeline.join(placed, "event_date", "left")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hexrisk.functions.grid import with_axes, with_cell
 from hexrisk.functions.numbers import half_up, stored_mean
-from hexrisk.functions.risk import cluster_text, route_text, strategic_tier, tier_description
+from hexrisk.functions.risk import ALL_TIERS, cluster_text, route_text, strategic_tier, tier_description
 from hexrisk.operators.clusters import cluster_center, cluster_summary, seed_cluster, tier_clusters
 from hexrisk.operators.joins import salted_join
 from hexrisk.operators.routes import best_route, cell_exposure, danger_cells, route_km, straight_route
@@ -82,22 +82,23 @@ def area_summary(areas: DataFrame, grid: DataFrame, scores: DataFrame, radius_km
     state = scores.select("cell", "strategic_score", "tactical_triggers", "scored_at")
     found = within_radius(spots, grid.select("cell", "lat", "lng"), radius_km)
     rows = salted_join(found.select("lat", "lng", "cell"), state.withColumn("_has", F.lit(1)), ["cell"], "left")
+    has, spot = F.col("_has").isNotNull(), ["lat", "lng"]
     score = F.coalesce("strategic_score", F.lit(0.0))
-    scored = rows.filter("_has is not null").withColumn("strategic_tier", strategic_tier(score))
-    monitored = rows.groupBy("lat", "lng").agg(F.count(F.lit(1)).alias("monitored_cells"))
-    spot = ["lat", "lng"]
-    numbers = scored.groupBy(*spot).agg(
-        F.count(F.lit(1)).alias("hex_count"),
-        stored_mean(score, 4).alias("avg_strategic"),
-        F.max(score).alias("max_strategic"),
+    tier = strategic_tier(score)
+    numbers = rows.groupBy(*spot).agg(
+        F.count(F.lit(1)).alias("monitored_cells"),
+        F.count("_has").alias("hex_count"),
+        stored_mean(F.when(has, score), 4).alias("avg_strategic"),
+        F.max(F.when(has, score)).alias("max_strategic"),
         F.max("scored_at").alias("latest_scored_at"),
-        *[F.count_if(F.col("strategic_tier") == t).alias(t) for t in ("red", "orange", "yellow", "green")],
+        *[F.count_if(has & (tier == t)).alias(t) for t in ALL_TIERS],
     )
+    scored = rows.filter(has)
     best = top_triggers(scored, spot).groupBy(*spot).agg(
         F.array_sort(F.collect_list(F.struct("rank", "trigger"))).alias("_t")
     )
     listed = best.select(*spot, F.transform("_t", lambda t: t["trigger"]).alias("top_triggers"))
-    return spots.join(monitored, spot, "left").join(numbers, spot, "left").join(listed, spot, "left")
+    return spots.join(numbers, spot, "left").join(listed, spot, "left")
 
 
 def area_report(areas: DataFrame, grid: DataFrame, scores: DataFrame, radius_km: float = AREA_RADIUS_KM) -> DataFrame:

@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame, functions as F
 from hexrisk.operators.evaluate import (
     FINE_THRESHOLDS,
     REPORT_THRESHOLDS,
-    average_precision,
     best_point,
     cv_summary,
     pick_winner,
-    roc_auc,
+    ranking_metrics,
     running_best,
     threshold_sweep,
 )
@@ -39,13 +38,12 @@ def fit_standard(train: DataFrame, features: list[str], **settings):
 def cross_validate(rows: DataFrame, features: list[str], folds: int = 5, **settings) -> DataFrame:
     """Fold metrics of the standard model under expanding-window validation."""
     blocks = cut_lineage(time_series_folds(rows, folds))
-    results = []
+    scored = []
     for fold in range(1, folds + 1):
         train, held = fold_parts(blocks, fold)
-        scored = cut_lineage(predict(held, fit_standard(train, features, **settings), features).select("label", "strategic_score"))
-        metrics = roc_auc(scored).crossJoin(average_precision(scored))  # one row each
-        results.append(metrics.withColumn("fold", F.lit(fold)))
-    return reduce(DataFrame.unionByName, results)
+        predicted = predict(held, fit_standard(train, features, **settings), features)
+        scored.append(predicted.select("label", "strategic_score", F.lit(fold).alias("fold")))
+    return ranking_metrics(reduce(DataFrame.unionByName, scored), ["fold"])
 
 
 def train_and_evaluate(features_table: DataFrame, folds: int = 5, focal_rounds: int = 2, **settings):
@@ -70,7 +68,7 @@ def train_and_evaluate(features_table: DataFrame, folds: int = 5, focal_rounds:
         ],
     )
     scored = cut_lineage(scored)
-    holdout = roc_auc(scored, ["model"]).join(average_precision(scored, ["model"]), "model")
+    holdout = ranking_metrics(scored, ["model"])
     points = best_point(threshold_sweep(scored, REPORT_THRESHOLDS, ["model"]), ["model"])
     return models, cv, holdout, points, pick_winner(points)
 
@@ -90,5 +88,5 @@ def coverage_report(stages: dict[str, DataFrame], start, end) -> DataFrame:
     parts = []
     for name, df in stages.items():
         gaps = missing_days(df, start, end).agg(F.count(F.lit(1)).alias("missing_days"))
-        parts.append(profile(df).crossJoin(gaps).withColumn("stage", F.lit(name)))  # one row each
+        parts.append(profile(df).withColumns({"missing_days": gaps.scalar(), "stage": F.lit(name)}))
     return reduce(DataFrame.unionByName, parts)

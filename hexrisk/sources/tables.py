@@ -15,16 +15,14 @@ def read_feature_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_feature_table(df: DataFrame, path: str, files_per_day: int = 1) -> None:
+def write_feature_table(df: DataFrame, path: str) -> None:
     """Write partitioned by day; days present in ``df`` replace those on disk, other days stay.
 
-    Each day is spread over ``files_per_day`` tasks, so raise it with the number of cells.
+    The rebalance hint gathers a day's rows and splits days that are too large for one task, so the number of files
+    follows from the amount of data.
     """
-    part = F.pmod(F.xxhash64("q", "r"), F.lit(files_per_day)) if "q" in df.columns else F.lit(0)
     (
-        df.withColumn("_part", part)
-        .repartition("event_date", "_part")
-        .drop("_part")
+        df.hint("rebalance", F.col("event_date"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("event_date")
@@ -32,9 +30,9 @@ def write_feature_table(df: DataFrame, path: str, files_per_day: int = 1) -> Non
     )
 
 
-def replace_days(df: DataFrame, path: str, files_per_day: int = 1) -> None:
+def replace_days(df: DataFrame, path: str) -> None:
     """Re-ingest days: running it twice with the same input leaves the same table."""
-    write_feature_table(df, path, files_per_day)
+    write_feature_table(df, path)
 
 
 def upsert_scores(current: DataFrame, updates: DataFrame, key: str = "cell", order: str = "scored_at") -> DataFrame:

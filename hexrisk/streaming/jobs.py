@@ -104,5 +104,7 @@ def stream_score(
 def touched_history(features: DataFrame, touched: DataFrame, days: int = REFRESH_DAYS) -> DataFrame:
     """Panel rows of the touched cells over the days their newest row can influence."""
     span = touched.select("q", "r", F.date_sub("event_date", days - 1).alias("_from"), F.col("event_date").alias("_to"))
-    near = features.join(span, ["q", "r"])
+    # The outer range prunes the folders of a table partitioned by day.
+    first, last = span.select(F.min("_from")).scalar(), span.select(F.max("_to")).scalar()
+    near = features.filter(F.col("event_date").between(first, last)).join(span, ["q", "r"])
     return near.filter(F.col("event_date").between(F.col("_from"), F.col("_to"))).drop("_from", "_to")
