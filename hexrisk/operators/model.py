@@ -6,11 +6,13 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hexrisk.functions.numbers import half_up
+from hexrisk.session import cut_lineage
 
 # Feature groups.
 BASE_FEATURES = [
@@ -85,7 +87,8 @@ GBT_SETTINGS = {
     "featureSubsetStrategy": "0.8",
     "seed": 42,
 }
-FOCAL_GAMMA, FOCAL_ALPHA, PROBABILITY_FLOOR = 2.0, 0.25, 1e-7
+FOCAL_GAMMA, FOCAL_ALPHA, PROBABILITY_FLOOR, MIN_CURVATURE = 2.0, 0.25, 1e-7, 1e-6
+FOCAL_OUTPUT, CHECKPOINT_ROUNDS = "_focal", 10
 
 # Coefficients of the fixed logistic score used where a result must not depend on training.
 LINEAR_INTERCEPT = -0.1
@@ -155,19 +158,49 @@ def with_balance_weight(df: DataFrame, col: str = "weight") -> DataFrame:
     return df.withColumn(col, F.when(F.col("label") == 1, ratio).otherwise(F.lit(1.0)))
 
 
-def train_focal(df: DataFrame, features: list[str], rounds: int = 2, **settings) -> PipelineModel:
-    """Focal training as repeated weighted fits: the focal gradient is that of a logistic loss weighted row by row.
+def train_focal(
+    df: DataFrame,
+    features: list[str],
+    maxIter: int = GBT_SETTINGS["maxIter"],
+    maxDepth: int = GBT_SETTINGS["maxDepth"],
+    stepSize: float = GBT_SETTINGS["stepSize"],
+    seed: int = GBT_SETTINGS["seed"],
+) -> PipelineModel:
+    """Boosting on the focal loss, one distributed tree fit per round.
 
-    The learner has no hook for a custom loss, so weights are held fixed during a fit and renewed between fits.
+    With gradient g = w (p - y) and curvature h = w p (1 - p), w being the focal weight at the current score, a
+    regression tree on -g / h with row weight h has the Newton step -sum(g) / sum(h) in each leaf. Each round adds such a
+    tree, scaled by the step size, to the margin of all earlier ones.
     """
-    weighted = df.withColumn("weight", focal_weight(F.lit(0.5), F.col("label")))
-    model = train_gbt(weighted, features, "weight", **settings)
-    for _ in range(rounds - 1):
-        scored = predict(df, model, features, "_p", digits=None)
-        model = train_gbt(
-            scored.withColumn("weight", focal_weight(F.col("_p"), F.col("label"))), features, "weight", **settings
+    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
+    rows = assembler.transform(align_features(df, features, ["label"])).select("label", "features")
+    rows = cut_lineage(rows.withColumn("_margin", F.lit(0.0)))
+    p, y = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_margin"))), F.col("label")
+    p = F.least(F.greatest(p, F.lit(PROBABILITY_FLOOR)), F.lit(1.0 - PROBABILITY_FLOOR))
+    weight = focal_weight(p, y)
+    curvature = F.greatest(weight * p * (F.lit(1.0) - p), F.lit(MIN_CURVATURE))
+    trees = []
+    for i in range(maxIter):
+        step = rows.withColumns({"_h": curvature, "_target": -weight * (p - y) / curvature})
+        learner = RandomForestRegressor(
+            numTrees=1,
+            bootstrap=False,
+            maxDepth=maxDepth,
+            subsamplingRate=GBT_SETTINGS["subsamplingRate"],
+            featureSubsetStrategy=GBT_SETTINGS["featureSubsetStrategy"],
+            seed=seed + i,
+            labelCol="_target",
+            weightCol="_h",
+            predictionCol=f"_tree{i}",
         )
-    return model
+        trees.append(learner.fit(step))
+        moved = trees[-1].transform(rows)
+        rows = moved.select("label", "features", (F.col("_margin") + F.lit(stepSize) * F.col(f"_tree{i}")).alias("_margin"))
+        if i % CHECKPOINT_ROUNDS == CHECKPOINT_ROUNDS - 1:
+            rows = cut_lineage(rows)
+    total = " + ".join(f"_tree{i}" for i in range(maxIter))
+    link = SQLTransformer(statement=f"SELECT *, 1.0D / (1.0D + exp(-{stepSize}D * ({total}))) AS {FOCAL_OUTPUT} FROM __THIS__")
+    return PipelineModel([assembler, *trees, link])
 
 
 def predict(
@@ -180,7 +213,7 @@ def predict(
     original = [F.col(c) for c in df.columns]
     packed = df.select(F.struct(*original).alias("_row"), *[v.alias(c) for c, v in filled.items()])
     scored = model.transform(packed)
-    p = vector_to_array("probability")[1]
+    p = F.col(FOCAL_OUTPUT) if FOCAL_OUTPUT in scored.columns else vector_to_array("probability")[1]
     return scored.select("_row.*", (half_up(p, digits) if digits else p).alias(col))
 
 

@@ -46,7 +46,7 @@ def cross_validate(rows: DataFrame, features: list[str], folds: int = 5, **setti
     return ranking_metrics(reduce(DataFrame.unionByName, scored), ["fold"])
 
 
-def train_and_evaluate(features_table: DataFrame, folds: int = 5, focal_rounds: int = 2, **settings):
+def train_and_evaluate(features_table: DataFrame, folds: int = 5, **settings):
     """Cross-validation, hold-out comparison of both models and the winner.
 
     Returns ``(models, cv, holdout, points, winner)``; the tables are small and ready for ``write_metrics``.
@@ -58,7 +58,7 @@ def train_and_evaluate(features_table: DataFrame, folds: int = 5, focal_rounds:
     train, test = parts.filter("part = 'train'"), parts.filter("part = 'test'")
     models = {
         "standard": fit_standard(train, names, **settings),
-        "focal": train_focal(train, names, focal_rounds, **settings),
+        "focal": train_focal(train, names, **settings),
     }
     scored = reduce(
         DataFrame.unionByName,
