@@ -151,11 +151,11 @@ def s4_read_weather_daily(spark, root):
 @query
 def s5_read_facilities(spark, root):
     path = scratch_path(spark, "facilities-json")
-    # One document per nation, in the shape of the facility file.
+    # Documents in the shape of the facility file, up to 500 facilities each.
     listed = F.collect_list(F.struct("name", "type", "lat", "lng", "capacity", "notes")).alias("shelters")
-    derived.facilities(spark, root).groupBy("notes").agg(listed).select("shelters").repartition(4).write.json(path)
-    df = spark.read.schema(feeds.FACILITY_SCHEMA).json(path).select(F.explode("shelters").alias("s")).select("s.*")
-    return rounded(df)
+    grouped = derived.facilities(spark, root).groupBy(F.expr("facility_id div 500")).agg(listed)
+    grouped.select("shelters").write.json(path)
+    return rounded(feeds.read_facilities(spark, path, multiline=False))
 
 
 @query

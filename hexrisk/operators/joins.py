@@ -8,6 +8,14 @@ SALTS = 8
 _SALT = "_salt"
 
 
+def spread_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition by key into a fixed number of tasks, for a step whose output is far larger than its input.
+
+    Without the number Spark would merge small inputs into a few tasks that each produce a huge output.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def salted_join(
     rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner", salts: int = SALTS, grows: bool = False
 ) -> DataFrame:
@@ -15,12 +23,10 @@ def salted_join(
 
     ``lookup`` is repeated once per salt, so it should be the smaller side with few rows per key. The salt is a hash of
     the row, not a random number, so a recomputed task yields the same rows. ``how``: inner, left, left_semi, left_anti.
-    ``grows`` says that the result is far larger than the inputs: the number of tasks is then fixed up front, as Spark
-    would otherwise merge the small inputs into a few tasks that each produce a huge output.
+    ``grows`` says that the result is far larger than the inputs.
     """
     salted = rows.withColumn(_SALT, F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
     if grows:
-        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        salted = salted.repartition(tasks, *on, _SALT)
+        salted = spread_by(salted, *on, _SALT)
     spread = lookup.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(spread, [*on, _SALT], how).drop(_SALT)

@@ -88,7 +88,7 @@ GBT_SETTINGS = {
     "seed": 42,
 }
 FOCAL_GAMMA, FOCAL_ALPHA, PROBABILITY_FLOOR, MIN_CURVATURE = 2.0, 0.25, 1e-7, 1e-6
-FOCAL_OUTPUT, CHECKPOINT_ROUNDS = "_focal", 10
+FOCAL_OUTPUT, CHECKPOINT_ROUNDS = "_focal", 5
 
 # Coefficients of the fixed logistic score used where a result must not depend on training.
 LINEAR_INTERCEPT = -0.1

@@ -13,6 +13,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hexrisk.functions.grid import cell_neighbors
+from hexrisk.operators.joins import spread_by
 
 CELL = ("q", "r")
 KEY = ("q", "r", "event_date")
@@ -86,7 +87,7 @@ def fill_days(sparse: DataFrame, bounds: tuple[Column, Column], cell: tuple[str,
 
 def build_panel(daily: DataFrame, bounds: tuple[Column, Column] | None = None, cell: tuple[str, ...] = CELL) -> DataFrame:
     """Dense panel from cell-days: all cells of ``daily`` by all days between its first and last."""
-    return fill_days(daily.repartition(*cell), bounds or date_bounds(daily), cell)
+    return fill_days(spread_by(daily, *cell), bounds or date_bounds(daily), cell)
 
 
 def attach_features(
@@ -148,7 +149,7 @@ def merge_cell_days(feeds: list[DataFrame], cells: DataFrame, features: dict[str
         *[F.when(~own, F.col(c)).alias(f"_sum_{c}") for c in sources],
     )
     return (
-        addressed.repartition("q", "r")
+        spread_by(addressed, "q", "r")
         .groupBy("q", "r", "event_date")
         .agg(
             F.max("_n").alias("_n"),

@@ -63,9 +63,10 @@ def cell_detail(scores: DataFrame, news_days: DataFrame, thermal_days: DataFrame
 
 def cells_near(points: DataFrame, grid: DataFrame, scores: DataFrame, radius_km: float = NEAR_RADIUS_KM) -> DataFrame:
     """Cells within the radius of every point, with scores and distance in metres; order by ``distance_m`` to list."""
-    targets = grid.select("cell", "lat", "lng")
-    found = within_radius(points, targets, radius_km).withColumn("distance_m", F.col("distance_km") * 1000.0)
-    return enrich_scores(found.drop("distance_km"), scores.select(*STATE_COLUMNS))
+    # Scores go to the cells first: pairs are many and are not moved again.
+    targets = enrich_scores(grid.select("cell", "lat", "lng"), scores.select(*STATE_COLUMNS))
+    found = within_radius(points, targets, radius_km)
+    return found.withColumn("distance_m", F.col("distance_km") * 1000.0).drop("distance_km")
 
 
 def top_triggers(rows: DataFrame, by: list[str], k: int = TOP_TRIGGERS) -> DataFrame:
@@ -80,8 +81,8 @@ def area_summary(areas: DataFrame, grid: DataFrame, scores: DataFrame, radius_km
     """Per distinct area position: scored cells, tier counts, mean and peak score, newest stamp, top triggers."""
     spots = areas.select("lat", "lng").distinct()
     state = scores.select("cell", "strategic_score", "tactical_triggers", "scored_at")
-    found = within_radius(spots, grid.select("cell", "lat", "lng"), radius_km)
-    rows = salted_join(found.select("lat", "lng", "cell"), state.withColumn("_has", F.lit(1)), ["cell"], "left")
+    targets = enrich_scores(grid.select("cell", "lat", "lng"), state.withColumn("_has", F.lit(1)))
+    rows = within_radius(spots, targets, radius_km)
     has, spot = F.col("_has").isNotNull(), ["lat", "lng"]
     score = F.coalesce("strategic_score", F.lit(0.0))
     tier = strategic_tier(score)

@@ -115,6 +115,7 @@ def facilities(spark: SparkSession, root: str) -> DataFrame:
     kinds = ("hospital", "un_shelter", "border_crossing", "evacuation_point", "red_cross")
     kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("s_nationkey") % 5 + 1).cast("int"))
     return table(spark, root, "supplier").select(
+        F.col("s_suppkey").alias("facility_id"),
         F.col("s_name").alias("name"),
         kind.alias("type"),
         *[c.alias(n) for n, c in lattice("s_suppkey", 0.1).items()],

@@ -118,7 +118,7 @@ def read_weather_daily(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_facilities(spark: SparkSession, path: str) -> DataFrame:
-    """Facility JSON (one document) to one row per facility."""
-    docs = spark.read.schema(FACILITY_SCHEMA).json(path, multiLine=True)
+def read_facilities(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """Facility JSON to one row per facility: one document per file, or one per line."""
+    docs = spark.read.schema(FACILITY_SCHEMA).json(path, multiLine=multiline)
     return docs.select(F.explode("shelters").alias("s")).select("s.*")
