@@ -726,6 +726,8 @@ oracle("m5_focal_weight", f"""select cell, event_date, {hu(f"case when label = 1
 oracle("m8_linear_score", "select cell, event_date, strategic_score from lscores")
 
 oracle("t1_stream_cell_day", f"select event_date, event_count, dangerous_count, total_fatalities, max_fatalities, {ID} from cday")
+oracle("t2_stream_score", """select h.cell, strategic_score, strategic_tier, tactical_score, tactical_tier from history as h
+  join (select q, r, max(event_date) as newest from crows group by q, r) as c on c.q = h.q and c.r = h.r and c.newest = h.event_date""")
 oracle("t3_new_alerts", """select cell, event_date, tactical_score from history where event_date > date '2024-01-15' and tactical_tier <> 'CLEAR'
   and cell not in (select cell from history where event_date <= date '2024-01-15' and tactical_tier <> 'CLEAR')""")
 oracle("t4_replace_days", f"""select event_date, case when event_date between date '2024-01-10' and date '2024-01-12' then event_count + 100 else event_count end as event_count,

@@ -768,7 +768,7 @@ def _candidate_ways(spark, root):
 @query
 def k4_best_route(spark, root):
     danger = routes.danger_cells(store.day_scores(spark, root))
-    exposed = serving._exposed(_candidate_ways(spark, root), danger, ["lat", "lng", "rank", "variant"])
+    exposed = serving.exposed_ways(_candidate_ways(spark, root), danger, ["lat", "lng", "rank", "variant"])
     best = routes.best_route(exposed, ["lat", "lng"])
     return rounded(best.select("lat", "lng", "rank", "name", "danger_cells", "total_cells"))
 

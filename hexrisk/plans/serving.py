@@ -147,10 +147,10 @@ def evac_plan(
     places = place_table(cities(scores.sparkSession), facilities)
     ways = cut_lineage(evac_candidates(origins, places, axes).withColumn("variant", F.lit(0)))
     way = ["lat", "lng", "rank", "variant"]
-    best = cut_lineage(best_route(_exposed(ways, danger, way), ["lat", "lng"]))
+    best = cut_lineage(best_route(exposed_ways(ways, danger, way), ["lat", "lng"]))
     detours = best.filter("danger_cells > 0").drop("danger_cells", "total_cells")
     sides = detours.withColumn("variant", F.explode(F.array(F.lit(1), F.lit(-1))))
-    tried = _exposed(sides, danger, way)
+    tried = exposed_ways(sides, danger, way)
     # Direct way first, then the two sides: an equal count never replaces an earlier way.
     every = best.unionByName(tried).withColumn("_order", F.pmod(F.col("variant"), F.lit(3)))
     chosen = best_route(every, ["lat", "lng"], "_order").drop("_order")
@@ -186,7 +186,7 @@ def evac_plan(
     )
 
 
-def _exposed(ways: DataFrame, danger: DataFrame, way: list[str]) -> DataFrame:
+def exposed_ways(ways: DataFrame, danger: DataFrame, way: list[str]) -> DataFrame:
     """Ways with the count of their cells and dangerous cells."""
     points = straight_route(ways.select(*way, "to_lat", "to_lng"), side="variant")
     binned = with_cell(points.select(*way, "point_lat", "point_lng"), "point_lat", "point_lng")
