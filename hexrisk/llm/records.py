@@ -33,7 +33,7 @@ HEAD = struct.Struct("<QI")
 DOCUMENT = struct.Struct("<q?B")
 BLOCK = 4 << 20
 MANIFEST = "shard long, path string, n_records long, n_ids long"
-READ = "shard long, position long, doc_id long, start_in_shard long, n_tokens long, ids_crc32 long"
+READ = "shard long, position long, doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def masked_crc(data: bytes) -> int:
@@ -136,13 +136,16 @@ def read_at(path: str, positions: Iterable[int]) -> Iterator[tuple[int | None, n
 
 
 def read_records(manifest: DataFrame) -> DataFrame:
-    """One row per record of all shards: where it stands, its document, its ids' count and checksum (CRC-32 of 4-byte ids)."""
+    """One row per record of all shards: where it stands, its document, its ids' count and checksum (CRC-32 of 4-byte ids).
+
+    ``start`` counts on from the manifest's ``ids_before``.
+    """
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, path in zip(batch.column("shard").to_pylist(), batch.column("path").to_pylist(), strict=True):
+            for number, path, start in zip(*(batch.column(c).to_pylist() for c in ("shard", "path", "ids_before")), strict=True):
                 system, at = opened(path + ".rec")
-                index, start, found = read_index(path), 0, []
+                index, found = read_index(path), []
                 with system.open_input_stream(at, buffer_size=BLOCK) as f:
                     for p, sequence in enumerate(unframed(f)):
                         doc_id, ids = ids_of(sequence)
@@ -157,7 +160,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=READ_TYPES)
 
     # A task per shard, as far as there are partitions.
-    dealt = manifest.select("shard", "path").repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")
+    dealt = manifest.select("shard", "path", "ids_before").repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")
     return dealt.mapInArrow(rows, READ)
 
 
@@ -165,10 +168,8 @@ def corpus_records(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool =
     """Write the corpus, read it back, and place each document in the stream of all ids (``start``)."""
     manifest = write_records(docs, folder or scratch_path(docs.sparkSession, "records"), tokenizer, end_id, spaced)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
-    offsets = manifest.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("ids_before"))
-    return read_records(manifest).join(offsets, "shard").select(
-        "doc_id", (F.col("ids_before") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids_crc32", "shard", "position"
-    )
+    placed = manifest.withColumn("ids_before", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    return read_records(placed).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "position")
 
 
 def tokenizer_path(name: str) -> str:
