@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hexrisk.llm import dedup, mixing, packing, records, secret_scan, toxicity
+from hexrisk.llm import dedup, jaccard, mixing, packing, records, secret_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_sequences": packing.op1,
     "op2_mix_sources": mixing.op2,
     "op4_toxicity": toxicity.op4,
     "op5_exact_dedup": dedup.op5,
+    "op6_jaccard_join": jaccard.op6,
     "op8_binary_records": records.op8,
     "op10_secret_scan": secret_scan.op10,
 }
