@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hexrisk.llm import dedup, jaccard, mixing, packing, records, secret_scan, toxicity
+from hexrisk.llm import dedup, jaccard, mixing, neighbours, packing, records, secret_scan, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_sequences": packing.op1,
     "op2_mix_sources": mixing.op2,
+    "op3_url_filter": urls.op3,
     "op4_toxicity": toxicity.op4,
     "op5_exact_dedup": dedup.op5,
     "op6_jaccard_join": jaccard.op6,
+    "op7_warc_index": warc.op7,
     "op8_binary_records": records.op8,
+    "op9_posting_lists": neighbours.op9,
     "op10_secret_scan": secret_scan.op10,
 }
 
-ORACLES: dict[str, str] = {"op5_exact_dedup": dedup.ORACLE}
+ORACLES: dict[str, str] = {
+    "op5_exact_dedup": dedup.ORACLE,
+    "op7_warc_index": warc.ORACLE,
+}

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from hexrisk.llm.text import _TABLE, LOWER, PUNCTUATION, bytes_of, coded, mixed, plain_strings, slices, span_hashes, word_bounds
 
@@ -369,8 +369,7 @@ def scored(docs: DataFrame, model: Network | float, text: str = "text", into: st
             score = pa.array(np.concatenate([np.zeros(0), *found]), pa.float64())
             yield pa.RecordBatch.from_arrays([*own, score], [*batch.schema.names, into])
 
-    schema = docs.schema.add(into, "double")
-    return docs.mapInArrow(scores, schema)
+    return docs.mapInArrow(scores, T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
