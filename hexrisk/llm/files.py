@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hexrisk.session import scratch_path
 
@@ -38,6 +38,11 @@ class Written:
         self.fs.delete_file(self.draft)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns in one, so that added columns can't clash with them."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("whole")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: later steps start from files that survive lost executors."""
     spark: SparkSession = df.sparkSession

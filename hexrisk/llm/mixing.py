@@ -19,7 +19,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from hexrisk.llm.files import stored
+from hexrisk.llm.files import stored, whole_row
+from hexrisk.operators.joins import salted_join
 
 #: Fixed values of the production mix.
 WEIGHTS = (3, 1, 2)
@@ -62,12 +63,20 @@ def source_targets(rows: DataFrame, weights: tuple = WEIGHTS, share: float = SHA
     return level.select(source_key(F.col("source")).alias("key"), "source", "source_size", "weight", target.alias("target"))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _log_factorial(n: Column) -> Column:
     """ln n! for n >= 0 by Stirling's series at n + 8, shifted back."""
-    x = n.cast("double") + 8
-    shift = (x - 7) * (x - 6) * (x - 5) * (x - 4) * (x - 3) * (x - 2) * (x - 1)
-    series = (x - 0.5) * F.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0)))
-    return series - F.log(shift)
+
+    def of(x: Column) -> Column:
+        shift = (x - 7) * (x - 6) * (x - 5) * (x - 4) * (x - 3) * (x - 2) * (x - 1)
+        series = (x - 0.5) * F.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0)))
+        return series - F.log(shift)
+
+    return let(n.cast("double") + 8, of)
 
 
 def hypergeometric(total: Column, hits: Column, draws: Column, u: Column) -> Column:
@@ -75,22 +84,31 @@ def hypergeometric(total: Column, hits: Column, draws: Column, u: Column) -> Col
 
     Sums the probabilities upward from ten standard deviations below the mean; what lies below has less than 1e-20.
     """
-    mean = draws.cast("double") * hits / F.greatest(total, F.lit(1))
-    spread = F.sqrt(F.greatest(mean * (1 - hits.cast("double") / F.greatest(total, F.lit(1))) * (total - draws) / F.greatest(total - 1, F.lit(1)), F.lit(0.0)))
-    low = F.greatest(F.lit(0).cast("long"), draws - (total - hits), F.floor(mean - 10 * spread - 5).cast("long"))
-    high = F.least(hits, draws, F.ceil(mean + 10 * spread + 5).cast("long"))
-    choose = lambda n, k: _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)
-    first = F.exp(choose(hits, low) + choose(total - hits, draws - low) - choose(total, draws))
-    start = F.struct(first.alias("p"), F.lit(0.0).alias("below"), low.alias("x"))
+    given = F.struct(total.alias("t"), hits.alias("h"), draws.alias("d"), u.alias("u"), (hits / F.greatest(total, F.lit(1))).alias("share"))
+
+    def moments(g: Column) -> Column:
+        spread = F.sqrt(F.greatest(g["d"] * g["share"] * (1 - g["share"]) * (g["t"] - g["d"]) / F.greatest(g["t"] - 1, F.lit(1)), F.lit(0.0)))
+        return F.struct(g["t"].alias("t"), g["h"].alias("h"), g["d"].alias("d"), g["u"].alias("u"), (g["d"] * g["share"]).alias("mean"), (10 * spread + 5).alias("reach"))
+
+    def limits(g: Column) -> Column:
+        low = F.greatest(F.lit(0).cast("long"), g["d"] - (g["t"] - g["h"]), F.floor(g["mean"] - g["reach"]).cast("long"))
+        high = F.least(g["h"], g["d"], F.ceil(g["mean"] + g["reach"]).cast("long"))
+        return F.struct(g["t"].alias("t"), g["h"].alias("h"), g["d"].alias("d"), g["u"].alias("u"), low.alias("low"), high.alias("high"))
+
+    def drawn(g: Column) -> Column:
+        choose = lambda n, k: _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)
+        first = F.exp(choose(g["h"], g["low"]) + choose(g["t"] - g["h"], g["d"] - g["low"]) - choose(g["t"], g["d"]))
+        start = F.struct(first.alias("p"), F.lit(0.0).alias("below"), g["low"].alias("x"))
+
+        def step(acc: Column, k: Column) -> Column:
+            following = acc["p"] * (g["h"] - k) * (g["d"] - k) / ((k + 1.0) * (g["t"] - g["h"] - g["d"] + k + 1))
+            more = F.when(acc["below"] + acc["p"] <= g["u"], 1).otherwise(0)
+            return F.struct(following.alias("p"), (acc["below"] + acc["p"]).alias("below"), (acc["x"] + more).cast("long").alias("x"))
 
-    def step(acc: Column, k: Column) -> Column:
-        below = acc["below"] + acc["p"]
-        k = k.cast("double")
-        following = acc["p"] * (hits - k) * (draws - k) / ((k + 1) * (total - hits - draws + k + 1))
-        return F.struct(following.alias("p"), below.alias("below"), (acc["x"] + F.when(below <= u, 1).otherwise(0)).cast("long").alias("x"))
+        found = F.aggregate(F.sequence(g["low"], g["high"] - 1), start, step, lambda acc: acc["x"])
+        return F.when(g["low"] >= g["high"], g["low"]).otherwise(F.least(found, g["high"]))
 
-    drawn = F.aggregate(F.sequence(low, high - 1), start, step, lambda acc: acc["x"])
-    return F.when(low >= high, low).otherwise(F.least(drawn, high))
+    return let(let(let(given, moments), limits), drawn)
 
 
 def uniform(*of: Column) -> Column:
@@ -101,7 +119,7 @@ def uniform(*of: Column) -> Column:
 def split_quotas(counts: DataFrame, depth: int, seed: int = SEED) -> DataFrame:
     """Quota of each source (``key``, ``blocks``) in each of 2**depth shards; both halves of a node differ by one block at most.
 
-    The root holds one entry per source; each level splits all nodes, and every eighth level deals the nodes out again.
+    The root holds one entry per source; each level splits all nodes, and every fourth level deals the nodes out again.
     """
     entry = F.struct(F.col("key"), F.col("blocks").cast("long").alias("blocks"))
     nodes = counts.agg(F.array_sort(F.collect_list(entry)).alias("has")).select(F.lit(1).cast("long").alias("node"), "has")
@@ -114,16 +132,18 @@ def split_quotas(counts: DataFrame, depth: int, seed: int = SEED) -> DataFrame:
 
         def draw(acc: Column, s: Column) -> Column:
             x = hypergeometric(acc["total"], s["blocks"], acc["draws"], uniform(F.lit(seed), F.col("node"), s["key"]))
-            drawn = F.aggregate(F.array(x), F.lit(0).cast("long"), lambda _, v: v)  # computed once, used twice
-            out = F.concat(acc["left"], F.array(F.struct(s["key"].alias("key"), drawn.alias("blocks"))))
-            return F.struct((acc["total"] - s["blocks"]).alias("total"), (acc["draws"] - F.element_at(out, -1)["blocks"]).alias("draws"), out.alias("left"))
+            after = lambda n: F.struct(
+                (acc["total"] - s["blocks"]).alias("total"), (acc["draws"] - n).alias("draws"),
+                F.concat(acc["left"], F.array(F.struct(s["key"].alias("key"), n.alias("blocks")))).alias("left"),
+            )
+            return let(x, after)
 
         halves = nodes.withColumn("left", F.aggregate("has", start, draw, lambda acc: acc["left"]))
         right = F.zip_with("has", "left", lambda a, b: F.struct(a["key"].alias("key"), (a["blocks"] - b["blocks"]).alias("blocks")))
         pair = F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("has")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("has")))
         nodes = halves.select(F.explode(pair).alias("n")).select("n.node", "n.has")
-        if level % 8 == 7:
-            nodes = nodes.repartition("node")
+        if level % 4 == 3:  # a plan of all levels would be very long
+            nodes = stored(nodes.repartition("node"), "nodes")
     leaf = nodes.select((F.col("node") - F.lit(1 << depth)).alias("shard"), F.explode("has").alias("e"))
     return leaf.select("shard", "e.key", F.col("e.blocks").alias("quota"))
 
@@ -148,7 +168,7 @@ def taken_blocks(rows: DataFrame, targets: DataFrame, block_words: int | None =
         targets.select("key", "source_size", wanted.alias("wanted")), "key"
     )
     passes = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("wanted") / F.col("source_size")).cast("long") - 1)
-    placed = blocks.drop("source").join(per_source.filter("wanted > 0"), "key").withColumn("pass", F.explode(passes))
+    placed = salted_join(blocks.drop("source"), per_source.filter("wanted > 0"), ["key"]).withColumn("pass", F.explode(passes))
     order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "key", "pass", "doc_id", "size", "block", "copy"), 1)
     buckets = F.ceil(F.col("n_blocks") / BUCKET)
     bucket = F.least(F.floor(F.col("order") / F.lit(float(1 << 63)) * buckets), buckets - 1).cast("long")
@@ -196,7 +216,7 @@ def mixed_documents(docs: DataFrame, block_words: int | None = BLOCK_WORDS) -> D
     missing = F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id")
     words = words.select(*missing, "key", "size", "copy", "taken")
     with_words = rows.select("*", *missing).join(words, ["id", "no_id", "key", "size", "copy"], "left")
-    return with_words.join(targets.drop("source"), "key").select(
+    return salted_join(with_words, targets.drop("source"), ["key"]).select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
 
@@ -208,13 +228,14 @@ def repeat_documents(docs: DataFrame) -> DataFrame:
     same = ["_id", "_none", "_key", "_size"]
     drawn = mix(rows, source_targets(rows), None).groupBy("doc_id", "key", "size").agg(F.count("*").alias("_uses"))
     drawn = ids(drawn.withColumnsRenamed({"key": "_key", "size": "_size"})).drop("doc_id")
-    keyed = ids(docs).withColumns({"_key": source_key(F.col("source")), "_size": n_words(F.col("text"))}).join(drawn, same)
+    keyed = docs.select(whole_row(docs), "doc_id", "text", source_key(F.col("source")).alias("_key"), n_words(F.col("text")).alias("_size"))
+    keyed = ids(keyed).join(drawn, same)
     # Rows that are equal but for their text share the draws; the window works on the join's own partitions.
     among = Window.partitionBy(*same)
     place = F.row_number().over(among.orderBy(F.xxhash64("text")))
     n = F.count("*").over(among)
     times = F.floor(F.col("_uses") / n) + (place <= F.col("_uses") % n).cast("long")
-    return keyed.withColumn("_times", times).filter("_times > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))).alias("_time")).drop("_time")
+    return keyed.withColumn("_times", times).filter("_times > 0").select("whole", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select("whole.*")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
