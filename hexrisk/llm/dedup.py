@@ -18,7 +18,7 @@ from contextlib import contextmanager
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hexrisk.llm.files import stored
+from hexrisk.llm.files import stored, whole_row
 from hexrisk.session import scratch_path
 
 #: The characters that normalising deletes.
@@ -88,13 +88,16 @@ def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
         return rows.select(F.col("key.digest").alias("digest"), F.col(f"value.{columns[0]}").alias("kept"), F.col(f"value.{columns[1]}").alias("n"))
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``docs`` with a locator of each row: file and row in it. Rows that don't come straight from files are stored first."""
+def located(docs: DataFrame, *columns: str) -> DataFrame:
+    """Some columns of ``docs``, the whole row, and a locator of it: file and row in it.
+
+    Rows that don't come straight from files are stored first.
+    """
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("locator")
     try:
-        return docs.select("*", place)
+        return docs.select(*columns, whole_row(docs), place)
     except AnalysisException:
-        return stored(docs, "located").select("*", place)
+        return stored(docs, "located").select(*columns, whole_row(docs), place)
 
 
 def exact_groups(rows: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
@@ -137,13 +140,13 @@ def exact_groups(rows: DataFrame, digest: Callable[[Column], Column] = sha256) -
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that exact groups drop."""
-    rows = located(docs)
+    rows = located(docs, "doc_id", "text")
     dropped = exact_groups(rows).filter("not kept").select("locator")
-    return rows.join(dropped, "locator", "left_anti").select(*docs.columns)
+    return rows.join(dropped, "locator", "left_anti").select("whole.*")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = located(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows = located(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
     return exact_groups(rows).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 

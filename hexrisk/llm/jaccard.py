@@ -330,12 +330,12 @@ def joined(docs: DataFrame, rule: Rule, also: tuple[str, ...] = ()) -> DataFrame
 
 def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
     """``docs`` with one row of each group of linked ones: that with the smallest id, null last."""
-    rows = located(docs)
+    rows = located(docs, "doc_id", "text")
     groups = stored(joined(rows, rule, ("locator",)), "groups")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "locator")).alias("first")
     kept = groups.groupBy("component").agg(first, F.count("*").alias("n")).filter("n > 1").select("component", F.col("first.locator").alias("kept"))
     dropped = groups.join(kept, "component").filter("locator <> kept").select("locator")
-    return rows.join(dropped, "locator", "left_anti").select(*docs.columns)
+    return rows.join(dropped, "locator", "left_anti").select("whole.*")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

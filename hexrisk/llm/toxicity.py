@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from hexrisk.llm.files import whole_row
 from hexrisk.llm.text import _TABLE, LOWER, PUNCTUATION, bytes_of, coded, mixed, plain_strings, slices, span_hashes, word_bounds
 
 WINDOW, STRIDE = 32, 24
@@ -382,7 +383,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows predicted toxic."""
-    return scored(docs, learned(docs, labels), into="_toxicity").filter("_toxicity < 0.5").drop("_toxicity")
+    rows = docs.select(whole_row(docs), "text")
+    return scored(rows, learned(docs, labels)).filter("score < 0.5").select("whole.*")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hexrisk.llm.files import stored
+from hexrisk.llm.files import stored, whole_row
 
 FIT_ROWS = 20_000
 TREES, DEPTH = 20, 4
@@ -144,14 +144,18 @@ def fit_urls(labelled: DataFrame, rows: int = FIT_ROWS, trees: int = TREES, dept
 
 
 def judged(urls: DataFrame, rules: tuple[Rule, ...] = RULES, model: UrlModel | None = None) -> DataFrame:
-    """``urls`` with host, path, rule, verdict and score. Without a model, one is learned from the rows that rules decide."""
-    rows = with_features(urls).withColumn("_rule", fitting_rule(F.col("host"), F.col("path"), rules))
+    """``urls`` with host, path, rule, verdict and score, in place of columns of that name.
+
+    Without a model, one is learned from the rows that rules decide.
+    """
+    others = urls.drop("host", "path", "rule", "verdict", "score")
+    rows = with_features(urls.select(whole_row(others), "url")).withColumn("_rule", fitting_rule(F.col("host"), F.col("path"), rules))
     if model is None:
         labelled = rows.filter("_rule is not null").withColumn("label", (F.col("_rule.verdict") == "block").cast("double"))
         model = fit_urls(labelled.select("url", *FEATURES, *SUFFIXES, "label"))
     own = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
     out = model.score(rows).withColumns({"rule": F.col("_rule.rule"), "verdict": F.coalesce("_rule.verdict", own)})
-    return out.select(*urls.columns, "host", "path", "rule", "verdict", "score")
+    return out.select("whole.*", "host", "path", "rule", "verdict", "score")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

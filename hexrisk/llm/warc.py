@@ -120,7 +120,7 @@ class LoserTree:
 
 def captures(pages: DataFrame, time: str | None = None) -> DataFrame:
     """What is to be archived of each page, in which role."""
-    rows = located(pages)
+    rows = located(pages, "page_id", "url", "html", *([time] if time else []))
     seconds = F.col(time) if time else F.date_format(F.make_timestamp(*[F.lit(v) for v in (2024, 1, 1, 0, 0, 0)]) + F.make_dt_interval(secs=F.coalesce("page_id", F.lit(0)) % 3_000_000_000), "yyyyMMddHHmmss")
     rows = rows.select(
         F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"),
