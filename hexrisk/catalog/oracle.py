@@ -133,14 +133,14 @@ part(
 )
 part(
     "news",
-    f"""select l_orderkey as id, date '2024-01-01' + cast(l_orderkey % 30 as int) as event_date, {lattice('l_suppkey')},
+    f"""select l_orderkey * 10 + l_linenumber as id, date '2024-01-01' + cast(l_orderkey % 30 as int) as event_date, {lattice('l_suppkey')},
     {d(12.5)} - {d(0.625)} * l_quantity as tone, {d(10.0)} - {d(200.0)} * l_discount as goldstein, l_quantity as articles,
-    1 + l_partkey % 20 as code from lineitem where l_linenumber = 1 and l_returnflag = 'R'""",
+    1 + l_partkey % 20 as code from lineitem""",
 )
 part(
     "thermal",
     f"""select date '2024-01-01' + cast(o_orderkey % 30 as int) as event_date, {lattice('o_custkey')},
-    o_totalprice / {d(5000.0)} as frp from orders where o_orderstatus = 'F'""",
+    o_totalprice / {d(5000.0)} as frp from orders""",
 )
 part(
     "weather",
@@ -151,7 +151,7 @@ part(
     from (select *, cast(grid_lat * {d(10.0)} + grid_lon * {d(2.0)} as bigint) as g from
       (select o_orderkey, o_custkey, floor(lat * {d(2.0)}) / {d(2.0)} as grid_lat, floor(lng * {d(2.0)}) / {d(2.0)} as grid_lon,
        date '2023-12-22' + cast(o_orderkey % 40 as int) as event_date, o_orderkey % 40 as dd
-       from (select o_orderkey, o_custkey, {lattice('o_custkey')} from orders where o_orderstatus <> 'F') as o1) as o2) as o3
+       from (select o_orderkey, o_custkey, {lattice('o_custkey')} from orders) as o1) as o2) as o3
     group by 1, 2, 3""",
 )
 part(
@@ -298,9 +298,9 @@ part("labelled", "select * from feat where left_days > 3")
 # Scores --------------------------------------------------------------------------------------------------------------
 
 
-def linear(columns: str = "") -> str:
+def linear(columns: str = "", digits: int = 4) -> str:
     z = d(LINEAR_INTERCEPT) + "".join(f" + {d(c)} * {columns}{n}" for n, c in LINEAR_COEFFICIENTS.items())
-    return hu(f"{d(1.0)} / ({d(1.0)} + exp(-({z})))", 4)
+    return hu(f"{d(1.0)} / ({d(1.0)} + exp(-({z})))", digits)
 
 
 def rules(i: dict[str, str]) -> tuple[str, str]:
@@ -315,7 +315,7 @@ def rules(i: dict[str, str]) -> tuple[str, str]:
         (f"{n['host']} >= {d(0.55)}", f"{d(0.25)} * least({n['host']} / {d(0.8)}, {d(1.0)})", f"'Hostile media coverage (hostility=' || {fixed(n['host'], 2)} || ', tone=' || {fixed(n['tone'], 1)} || ')'"),
         (f"{n['gold']} <= -5", f"{d(0.2)} * least(abs({n['gold']}) / {d(10.0)}, {d(1.0)})", f"'Destabilizing events in news (Goldstein=' || {fixed(n['gold'], 1)} || ')'"),
         (f"{n['near']} >= 3", f"{d(0.15)} * least({n['near']} / {d(8.0)}, {d(1.0)})", f"'High surrounding activity (' || {fixed(n['near'], 1)} || ' avg events in adjacent hexes)'"),
-        (f"{n['vel']} >= 2", f"{d(0.2)} * least({n['vel']} / {d(4.0)}, {d(1.0)})", f"'Event rate spiking (' || {fixed(n['vel'], 1)} || 'x above 14-day baseline)'"),
+        (f"{n['vel']} >= 2", f"{d(0.2)} * least({n['vel']} / {d(4.0)}, {d(1.0)})", f"'Event rate spiking (' || {fixed(n['vel'], 1)} || 'x above 4-week baseline)'"),
         (f"{n['model']} >= {d(0.7)}", d(0.15), f"'ML model flagged Red (escalation probability=' || {fixed(n['model'], 2)} || ')'"),
         (f"{n['model']} >= {d(0.5)} and {n['model']} < {d(0.7)}", d(0.075), "null"),
     ]
@@ -341,8 +341,8 @@ def scored(src: str) -> str:
 
 part("history", scored("feat"))
 part("state", scored("(select * from feat where left_days = 1) as f"))
-part("dayscores", "select * from history where event_date = date '2024-01-20'")
-part("lscores", f"select *, {linear()} as strategic_score from labelled")
+part("dayscores", "select * from history where event_date = (select max(event_date) from history)")
+part("lscores", f"select *, {linear(digits=9)} as strategic_score from labelled")
 part("grid", f"select {ID}, q, r, {hu(center()[0])} as lat, {hu(center()[1])} as lng from cells")
 part(
     "clusters",
@@ -485,8 +485,10 @@ def sweep(src: str, thresholds, by: str = "") -> str:
 
 ROUND_SWEEP = f"threshold, alerts, {hu('precision')} as precision, {hu('recall')} as recall, {hu('f1')} as f1, {hu('alerts_per_day')} as alerts_per_day"
 part("active", "select * from labelled where dangerous_roll14d > 0 or dangerous_lag1 > 0 or neighbor_danger_avg > 0")
-part("ascores", f"select *, {linear()} as strategic_score from active")
+part("ascores", f"select *, {linear(digits=9)} as strategic_score from active")
 part("placed", "select *, row_number() over (order by event_date, q, r) - 1 as position, count(*) over () as n_rows from labelled")
+part("atest", f"""select * from (select *, row_number() over (order by event_date, q, r) - 1 as position, count(*) over () as n_rows from active) as a
+  where position >= floor(n_rows * {d(0.9)})""")
 part(
     "blocks",
     """select *, case when position < n_rows - 5 * (n_rows // 6) then 0 else (position - (n_rows - 5 * (n_rows // 6))) // greatest(n_rows // 6, 1) + 1 end as block
@@ -511,7 +513,8 @@ oracle("s8_upsert_scores", """select cell, strategic_score, strategic_tier, tact
   union all select cell, strategic_score, strategic_tier, tactical_score, cast(event_date as varchar), event_date from history
   where event_date > date '2024-01-20' and strategic_tier in ('red', 'orange')) as u
   qualify row_number() over (partition by cell order by event_date desc) = 1""")
-oracle("s9_patch_column", "select cell, tactical_tier, case when tactical_tier <> 'CLEAR' then 'see ' || tactical_triggers end as alert_text from dayscores")
+oracle("s9_patch_column", """select cell || '@' || event_date as cell, tactical_tier,
+  case when tactical_tier = 'DANGER' then 'see ' || tactical_triggers end as alert_text from history""")
 oracle("s10_build_cell_grid", "select cell, q, r, lat, lng from grid")
 oracle("s11_facility_layer", """select name, type,
   case type when 'hospital' then '🏥' when 'un_shelter' then '🇺🇳' when 'red_cross' then '⛑️' when 'evacuation_point' then '✈️' else '🛂' end as emoji,
@@ -522,7 +525,7 @@ oracle("s12_write_metrics", f"""select threshold, alerts, {hu('precision')} as p
 oracle("s13_read_scores", "select cell, strategic_score, strategic_tier from state")
 
 oracle("p1_filter_precision", "select event_id, geo_precision, event_type, fatalities from conflict where geo_precision <= 2")
-oracle("p2_filter_bbox", f"select origin_id, {hu('lat')} as lat, {hu('lng')} as lng from origins where lat between 29.5 and 37.5 and lng between 33.5 and 42.5")
+oracle("p2_filter_bbox", f"select origin_id, {hu('lat')} as lat, {hu('lng')} as lng from origins where lat between 33.2 and 34.1 and lng between 35.45 and 36.5")
 oracle("p3_flag_dangerous", f"select event_id, event_type, sub_event_type, {DANGEROUS} as is_dangerous from conflict")
 oracle("p4_flag_types", f"select event_id, {FLAGS} from conflict")
 oracle("p5_actor_pair", f"select event_id, {PAIR} as actor_pair from conflict")
@@ -659,7 +662,7 @@ oracle("j2_attach_features", f"""select event_date, event_count, gdelt_event_cou
 oracle("j3_spatial_lag", f"""select p.event_date, {', '.join(hu(f'coalesce({c}, 0)') + f' as {c}' for c in LAGGED)}, p.q || '_' || p.r as cell
   from panel as p left join lagged as g on g.q = p.q and g.r = p.r and g.event_date = p.event_date""")
 oracle("j4_nearest_grid", f"""select {ID}, {hu(GRID_LAT)} as grid_lat, {hu(GRID_LON)} as grid_lon from (select distinct q, r from
-  {celled('(select * from origins where lat between 29.5 and 37.5 and lng between 33.5 and 42.5) as o')} as x) as y""")
+  {celled('(select * from origins where lat between 33.2 and 34.1 and lng between 35.45 and 36.5) as o')} as x) as y""")
 oracle("j5_radius_join", f"""select * from (select f.name, g.cell, {hu(haversine('f.lat', 'f.lng', 'g.lat', 'g.lng'))} as distance_km
   from facilities as f, grid as g) as x where distance_km <= 25""")
 oracle("j6_enrich_scores", f"""select f.name, f.cell, s.strategic_score, s.strategic_tier, s.tactical_tier from
@@ -674,8 +677,8 @@ oracle("j9_nearest_facility", f"""select {hu('lat')} as lat, {hu('lng')} as lng,
   qualify row_number() over (partition by lat, lng order by km, name) = 1""")
 oracle("j10_tier_clusters", "select cell, strategic_tier, cluster_id from clusters")
 oracle("j11_seed_cluster", "select seed, cell, hop, rank from seeds")
-oracle("j12_missing_days", """select event_date from (select cast(unnest(generate_series(min(event_date), max(event_date) + 3, interval 1 day)) as date) as event_date
-  from conflict) as w where event_date not in (select event_date from conflict where event_type = 'Battles' and fatalities >= 5)""")
+oracle("j12_missing_days", """select event_date from (select cast(unnest(generate_series(min(event_date) - 5, max(event_date) + 3, interval 1 day)) as date) as event_date
+  from conflict) as w where event_date not in (select event_date from conflict)""")
 part(
     "detail",
     """select s.cell, s.strategic_score, s.strategic_tier, s.tactical_score, n.event_date as news_date, n.gdelt_event_count as news_gdelt_event_count,
@@ -723,13 +726,22 @@ oracle("m2_time_series_folds", """select cast(block as int) as block, count(*) a
 oracle("m3_time_holdout", f"select cell, event_date, case when position < floor(n_rows * {d(0.9)}) then 'train' else 'test' end as part from placed")
 _p = f"least(greatest(strategic_score, {d(1e-7)}), {d(1.0 - 1e-7)})"
 oracle("m5_focal_weight", f"""select cell, event_date, {hu(f"case when label = 1 then {d(0.25)} * pow({d(1.0)} - {_p}, 2) else {d(0.75)} * pow({d(1.0)} - ({d(1.0)} - {_p}), 2) end")} as weight from lscores""")
+# What training promises whatever the trees are.
+_TRAINED = "select count(*) as rows, cast(sum(label) as bigint) as positives, true as in_range, true as several_trees from atest"
+oracle("m4_train_gbt", _TRAINED)
+oracle("m6_train_focal", _TRAINED)
+oracle("m7_predict", "select cell, event_date, true as in_range, true as tier_fits from atest")
+oracle("m9_save_load", "select count(*) as rows, cast(0 as bigint) as differing from atest")
+oracle("a22_feature_importance", "select feature, true as in_range from (values " + ", ".join(f"('{n}')" for n in ALL_FEATURES) + ") as f(feature)")
+oracle("q2_train_and_evaluate", """select model, count(*) as rows, cast(sum(label) as bigint) as positives, true as several_trees, true as point_fits
+  from atest, (values ('standard'), ('focal')) as m(model) group by model""")
 oracle("m8_linear_score", "select cell, event_date, strategic_score from lscores")
 
 oracle("t1_stream_cell_day", f"select event_date, event_count, dangerous_count, total_fatalities, max_fatalities, {ID} from cday")
 oracle("t2_stream_score", """select h.cell, strategic_score, strategic_tier, tactical_score, tactical_tier from history as h
   join (select q, r, max(event_date) as newest from crows group by q, r) as c on c.q = h.q and c.r = h.r and c.newest = h.event_date""")
-oracle("t3_new_alerts", """select cell, event_date, tactical_score from history where event_date > date '2024-01-15' and tactical_tier <> 'CLEAR'
-  and cell not in (select cell from history where event_date <= date '2024-01-15' and tactical_tier <> 'CLEAR')""")
+oracle("t3_new_alerts", """select cell, event_date, tactical_score from history where event_date > date '2024-01-15' and tactical_tier = 'DANGER'
+  and cell not in (select cell from history where event_date <= date '2024-01-15' and tactical_tier = 'DANGER')""")
 oracle("t4_replace_days", f"""select event_date, case when event_date between date '2024-01-10' and date '2024-01-12' then event_count + 100 else event_count end as event_count,
   {ID} from panel""")
 
@@ -765,7 +777,7 @@ oracle("q10_evac_plan", f"""select origin_id, coalesce(c.name, 'No safe destinat
   || ' Travel during daylight. Bring ID, water, phone charger.' end as narrative
   from origins as o left join (select *, {KM} as km from chosen) as c on c.lat = o.lat and c.lng = o.lng
   left join shelter as s on s.to_lat = c.to_lat and s.to_lng = c.to_lng""")
-part("tested", f"select *, {linear()} as strategic_score from placed where position >= floor(n_rows * {d(0.9)})")
+part("tested", f"select *, {linear(digits=9)} as strategic_score from placed where position >= floor(n_rows * {d(0.9)})")
 part(
     "scopes",
     """select 'all' as scope, event_date, label, strategic_score from tested union all select 'active', event_date, label, strategic_score from tested

@@ -21,7 +21,6 @@ from hexrisk.streaming import jobs
 QUERIES: dict = {}
 
 # Training settings of the registered training queries; the library defaults are the full settings.
-SHORT_TRAINING = {"maxIter": 12, "maxDepth": 4}
 REPLAY = ("2024-01-05", "2024-01-25")
 DAY = "2024-01-20"
 
@@ -183,16 +182,16 @@ def _update_rows(spark, root):
 
 @query
 def s8_upsert_scores(spark, root):
-    current = store.day_scores(spark, root).select("cell", "strategic_score", "strategic_tier", "tactical_score", "scored_at")
+    current = store.current_scores(spark, root).select("cell", "strategic_score", "strategic_tier", "tactical_score", "scored_at")
     return tables.upsert_scores(current, _update_rows(spark, root))
 
 
 @query
 def s9_patch_column(spark, root):
-    day = store.day_scores(spark, root).select("cell", "tactical_tier", F.lit(None).cast("string").alias("alert_text"))
-    texts = store.day_scores(spark, root).filter("tactical_tier <> 'CLEAR'")
+    days = store.history(spark, root).withColumn("cell", F.concat_ws("@", "cell", "event_date"))
+    texts = days.filter("tactical_tier = 'DANGER'")
     patch = texts.select("cell", F.concat(F.lit("see "), F.col("tactical_triggers")).alias("alert_text"))
-    return tables.patch_column(day, patch, "cell", "alert_text")
+    return tables.patch_column(days.select("cell", "tactical_tier", F.lit(None).cast("string").alias("alert_text")), patch, "cell", "alert_text")
 
 
 @query
@@ -202,7 +201,7 @@ def s10_build_cell_grid(spark, root):
 
 @query
 def s11_to_geojson_features(spark, root):
-    cells = store.day_scores(spark, root).select("cell", "q", "r", "strategic_tier")
+    cells = store.current_scores(spark, root).select("cell", "q", "r", "strategic_tier")
     return tables.to_geojson_features(cells, "cell")
 
 
@@ -238,7 +237,8 @@ def p1_filter_precision(spark, root):
 
 @query
 def p2_filter_bbox(spark, root):
-    return rounded(filter_bbox(derived.origins(spark, root)))
+    box = {"lat": (33.2, 34.1), "lng": (35.45, 36.5)}
+    return rounded(filter_bbox(derived.origins(spark, root), box=box))
 
 
 @query
@@ -457,7 +457,7 @@ def a11_top_triggers(spark, root):
 
 
 def _day_clusters(spark, root):
-    return clusters.tier_clusters(store.day_scores(spark, root))
+    return clusters.tier_clusters(store.current_scores(spark, root))
 
 
 @query
@@ -526,9 +526,8 @@ def a21_alerts_per_day(spark, root):
 
 @query
 def a22_feature_importance(spark, root):
-    rows = labels.filter_active(store.labelled(spark, root))
-    names = model.feature_names(rows.columns)
-    return model.feature_importance(spark, studies.fit_standard(rows, names, **SHORT_TRAINING), names)
+    report = model.feature_importance(spark, store.model(spark, root, "standard"))
+    return report.select("feature", F.col("importance").between(0.0, 1.0).alias("in_range"))
 
 
 @query
@@ -668,19 +667,19 @@ def j6_enrich_scores(spark, root):
 @query
 def j7_evac_candidates(spark, root):
     places = spatial.place_table(spatial.cities(spark), derived.facilities(spark, root))
-    df = spatial.evac_candidates(derived.origins(spark, root), places, store.day_scores(spark, root))
+    df = spatial.evac_candidates(derived.origins(spark, root), places, store.current_scores(spark, root))
     return rounded(df.select("lat", "lng", "rank", "name", "distance_km"))
 
 
 @query
 def j8_route_exposure(spark, root):
-    return routes.route_exposure(_routes(spark, root), store.day_scores(spark, root))
+    return routes.route_exposure(_routes(spark, root), store.current_scores(spark, root))
 
 
 def _routes(spark, root):
     """A straight way from every origin to its nearest candidate, as a user would supply roads."""
     places = spatial.place_table(spatial.cities(spark), derived.facilities(spark, root))
-    ways = spatial.evac_candidates(derived.origins(spark, root), places, store.day_scores(spark, root), k=1)
+    ways = spatial.evac_candidates(derived.origins(spark, root), places, store.current_scores(spark, root), k=1)
     points = routes.straight_route(ways.select("lat", "lng", "to_lat", "to_lng"), n=250)
     route = F.concat_ws(",", *[F.floor(F.col(c) * 100 + 0.5).cast("string") for c in ("lat", "lng")])
     return points.select(route.alias("route_id"), "seq", F.col("point_lat").alias("lat"), F.col("point_lng").alias("lng"))
@@ -689,7 +688,7 @@ def _routes(spark, root):
 @query
 def j9_nearest_facility(spark, root):
     facilities = derived.facilities(spark, root).select("name", "type", "lat", "lng")
-    df = spatial.nearest_facility(derived.origins(spark, root), facilities, store.day_scores(spark, root))
+    df = spatial.nearest_facility(derived.origins(spark, root), facilities, store.current_scores(spark, root))
     return rounded(df.select("lat", "lng", "name", "type", "distance_km"))
 
 
@@ -700,15 +699,15 @@ def j10_tier_clusters(spark, root):
 
 @query
 def j11_seed_cluster(spark, root):
-    scores = store.day_scores(spark, root)
+    scores = store.current_scores(spark, root)
     return clusters.seed_cluster(scores.select("cell"), scores).select("seed", "cell", "hop", "rank")
 
 
 @query
 def j12_missing_days(spark, root):
-    loaded = _conflict(spark, root).filter("event_type = 'Battles' and fatalities >= 5")
-    start, end = panel.date_bounds(_conflict(spark, root))
-    return summaries.missing_days(loaded, start, F.date_add(end, 3))
+    loaded = _conflict(spark, root)
+    start, end = panel.date_bounds(loaded)
+    return summaries.missing_days(loaded, F.date_sub(start, 5), F.date_add(end, 3))
 
 
 @query
@@ -753,7 +752,7 @@ def k2_nearest_first(spark, root):
 @query
 def k3_top5_candidates(spark, root):
     places = spatial.place_table(spatial.cities(spark), derived.facilities(spark, root))
-    df = spatial.evac_candidates(derived.origins(spark, root), places, store.day_scores(spark, root))
+    df = spatial.evac_candidates(derived.origins(spark, root), places, store.current_scores(spark, root))
     listed = F.array_sort(F.collect_list(F.struct("rank", "name")))
     joined = df.groupBy("lat", "lng").agg(F.transform(listed, lambda x: x["name"]).alias("names"))
     return rounded(joined.select("lat", "lng", F.array_join("names", ";").alias("names")))
@@ -761,13 +760,13 @@ def k3_top5_candidates(spark, root):
 
 def _candidate_ways(spark, root):
     places = spatial.place_table(spatial.cities(spark), derived.facilities(spark, root))
-    df = spatial.evac_candidates(derived.origins(spark, root), places, store.day_scores(spark, root))
+    df = spatial.evac_candidates(derived.origins(spark, root), places, store.current_scores(spark, root))
     return df.withColumn("variant", F.lit(0))
 
 
 @query
 def k4_best_route(spark, root):
-    danger = routes.danger_cells(store.day_scores(spark, root))
+    danger = routes.danger_cells(store.current_scores(spark, root))
     exposed = serving.exposed_ways(_candidate_ways(spark, root), danger, ["lat", "lng", "rank", "variant"])
     best = routes.best_route(exposed, ["lat", "lng"])
     return rounded(best.select("lat", "lng", "rank", "name", "danger_cells", "total_cells"))
@@ -775,7 +774,7 @@ def k4_best_route(spark, root):
 
 @query
 def k5_detour_choice(spark, root):
-    plan = serving.evac_plan(derived.origins(spark, root), derived.facilities(spark, root), store.day_scores(spark, root))
+    plan = serving.evac_plan(derived.origins(spark, root), derived.facilities(spark, root), store.current_scores(spark, root))
     return rounded(plan.select("origin_id", "variant", "danger_cells", "distance_km"))
 
 
@@ -864,17 +863,21 @@ def m3_time_holdout(spark, root):
     return df.select("cell", "event_date", "part")
 
 
-def _trained(spark, root):
-    parts = labels.time_holdout(labels.filter_active(store.labelled(spark, root)))
-    names = model.feature_names(parts.columns)
-    return parts.filter("part = 'train'"), parts.filter("part = 'test'"), names
+def _checked(scored, fitted):
+    """What holds for any well trained model, beside the rows it scored."""
+    inside = F.col("strategic_score").between(0.0, 1.0)
+    return scored.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(F.col("label").cast("bigint")).alias("positives"),
+        F.bool_and(inside).alias("in_range"),
+        F.lit(model.n_trees(fitted) > 1).alias("several_trees"),
+    )
 
 
 @query
 def m4_train_gbt(spark, root):
-    train, test, names = _trained(spark, root)
-    scored = model.predict(test, studies.fit_standard(train, names, **SHORT_TRAINING), names)
-    return evaluate.ranking_metrics(scored)
+    fitted = store.model(spark, root, "standard")
+    return _checked(model.predict(store.training_parts(spark, root)[1], fitted), fitted)
 
 
 @query
@@ -886,16 +889,18 @@ def m5_focal_weight(spark, root):
 
 @query
 def m6_train_focal(spark, root):
-    train, test, names = _trained(spark, root)
-    scored = model.predict(test, model.train_focal(train, names, **SHORT_TRAINING), names)
-    return evaluate.ranking_metrics(scored)
+    fitted = store.model(spark, root, "focal")
+    return _checked(model.predict(store.training_parts(spark, root)[1], fitted), fitted)
 
 
 @query
 def m7_predict(spark, root):
-    train, test, names = _trained(spark, root)
-    fitted = studies.fit_standard(train, names, **SHORT_TRAINING)
-    return store.tiered(model.predict(test, fitted, names)).select("cell", "event_date", "strategic_score", "strategic_tier")
+    # A table without the weather group is scored too; the model counts what is absent as 0.
+    test = store.training_parts(spark, root)[1].drop(*model.WEATHER_FEATURES)
+    scored = store.tiered(model.predict(test, store.model(spark, root, "standard")))
+    score, tier = F.col("strategic_score"), F.col("strategic_tier")
+    banded = F.when(score >= 0.75, "red").when(score >= 0.5, "orange").when(score >= 0.25, "yellow").otherwise("green")
+    return scored.select("cell", "event_date", score.between(0.0, 1.0).alias("in_range"), (tier == banded).alias("tier_fits"))
 
 
 @query
@@ -905,10 +910,11 @@ def m8_linear_score(spark, root):
 
 @query
 def m9_save_load(spark, root):
-    train, test, names = _trained(spark, root)
-    path = scratch_path(spark, "model")
-    model.save_model(studies.fit_standard(train, names, **SHORT_TRAINING), path)
-    return model.predict(test, model.load_model(path), names).select("cell", "event_date", "strategic_score")
+    path, fitted = scratch_path(spark, "model"), store.model(spark, root, "standard")
+    test = store.training_parts(spark, root)[1]
+    model.save_model(fitted, path)
+    again = model.predict(model.predict(test, fitted, col="first"), model.load_model(path))
+    return again.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("first") != F.col("strategic_score")).alias("differing"))
 
 
 # Streams -------------------------------------------------------------------------------------------------------------
@@ -945,11 +951,10 @@ def t2_stream_score(spark, root):
 
 @query
 def t3_new_alerts(spark, root):
-    """Watch-level and higher cells of each half of the month that were not so in the half before."""
+    """Cells at DANGER in the second half of the month that were not so in the first."""
     history = store.history(spark, root)
     first, second = history.filter("event_date <= '2024-01-15'"), history.filter("event_date > '2024-01-15'")
-    raised = [d.filter("tactical_tier <> 'CLEAR'").withColumn("tactical_tier", F.lit("DANGER")) for d in (first, second)]
-    return scoring.new_alerts(*raised).select("cell", "event_date", "tactical_score")
+    return scoring.new_alerts(first, second).select("cell", "event_date", "tactical_score")
 
 
 @query
@@ -979,9 +984,13 @@ def q1_build_features(spark, root):
 
 @query
 def q2_train_and_evaluate(spark, root):
-    settings = {"folds": 2, "maxIter": 6, "maxDepth": 3}
-    _, _, holdout, points, _ = studies.train_and_evaluate(store.labelled(spark, root), **settings)
-    return holdout.join(points, "model")
+    fitted = {kind: store.model(spark, root, kind) for kind in ("standard", "focal")}
+    models, _, holdout, points, _ = studies.train_and_evaluate(store.labelled(spark, root), models=fitted)
+    several = F.create_map(*[F.lit(x) for name, m in models.items() for x in (name, model.n_trees(m) > 1)])
+    fits = F.col("precision").between(0.0, 1.0) & F.col("recall").between(0.0, 1.0)
+    return holdout.join(points, "model", "left").select(
+        "model", "rows", "positives", several[F.col("model")].alias("several_trees"), F.coalesce(fits, F.lit(True)).alias("point_fits")
+    )
 
 
 @query
@@ -1034,20 +1043,20 @@ def q8_area_report(spark, root):
 
 @query
 def q9_cluster_report(spark, root):
-    df = serving.cluster_report(store.day_scores(spark, root))
+    df = serving.cluster_report(store.current_scores(spark, root))
     return rounded(df.withColumn("triggers", F.array_join("triggers", ";")))
 
 
 @query
 def q9_seed_cluster_report(spark, root):
-    scores = store.day_scores(spark, root)
+    scores = store.current_scores(spark, root)
     df = serving.seed_cluster_report(scores.select("cell"), scores)
     return rounded(df.withColumn("triggers", F.array_join("triggers", ";")))
 
 
 @query
 def q10_evac_plan(spark, root):
-    plan = serving.evac_plan(derived.origins(spark, root), derived.facilities(spark, root), store.day_scores(spark, root))
+    plan = serving.evac_plan(derived.origins(spark, root), derived.facilities(spark, root), store.current_scores(spark, root))
     cols = "origin_id destination country distance_km danger_cells total_cells nearest_facility facility_km narrative".split()
     return rounded(plan.select(*cols))
 

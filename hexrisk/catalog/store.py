@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hexrisk.functions.numbers import half_up
 from hexrisk.functions.risk import strategic_tier
-from hexrisk.operators.model import linear_score
+from hexrisk.operators.labels import filter_active, time_holdout
+from hexrisk.operators.model import feature_names, linear_score, train_focal
 from hexrisk.operators.summaries import latest_per_cell
 from hexrisk.plans.features import build_features
 from hexrisk.plans.scoring import backtest_days, score_rows
+from hexrisk.plans.studies import fit_standard
 from hexrisk.session import scratch_path
 from hexrisk.sources import derived
 from hexrisk.sources.tables import read_feature_table, write_feature_table
 
+# Kept per session and folder: a table that changes meanwhile is not noticed.
 _built: dict[tuple, str] = {}
+_models: dict[tuple, object] = {}
 
 
 def _stored(spark: SparkSession, root: str, name: str, build, by_day: bool) -> DataFrame:
@@ -49,7 +53,7 @@ def labelled(spark: SparkSession, root: str) -> DataFrame:
 
 
 def labelled_scores(spark: SparkSession, root: str) -> DataFrame:
-    return labelled(spark, root).withColumn("strategic_score", linear_score())
+    return labelled(spark, root).withColumn("strategic_score", linear_score(digits=9))
 
 
 def history(spark: SparkSession, root: str) -> DataFrame:
@@ -68,9 +72,10 @@ def scores(spark: SparkSession, root: str) -> DataFrame:
     return _stored(spark, root, "scores", lambda: fresh_scores(spark, root), False)
 
 
-def day_scores(spark: SparkSession, root: str) -> DataFrame:
-    """State of the middle of the range, where all tiers occur."""
-    return history(spark, root).filter(F.col("event_date") == F.lit("2024-01-20").cast("date"))
+def current_scores(spark: SparkSession, root: str) -> DataFrame:
+    """State of all cells on the newest day of the stored history; only that day's folder is read."""
+    table = history(spark, root)
+    return table.filter(F.col("event_date") == F.lit(table.agg(F.max("event_date")).first()[0]))
 
 
 def tiered(df: DataFrame) -> DataFrame:
@@ -82,3 +87,18 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(
         *[half_up(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
     )
+
+
+def training_parts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Training and test rows of the hold-out, and the feature names."""
+    parts = time_holdout(filter_active(labelled(spark, root)))
+    return parts.filter("part = 'train'"), parts.filter("part = 'test'"), feature_names(parts.columns)
+
+
+def model(spark: SparkSession, root: str, kind: str):
+    """A model of the hold-out (``standard`` or ``focal``) with the library's settings, fitted once per session."""
+    key = (spark.sparkContext.applicationId, root, kind)
+    if key not in _models:
+        train, _, names = training_parts(spark, root)
+        _models[key] = (fit_standard if kind == "standard" else train_focal)(train, names)
+    return _models[key]

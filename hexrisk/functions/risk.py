@@ -159,8 +159,7 @@ def _fires(inputs: dict[str, Column]) -> list[tuple[Column, Column, Column | Non
         (
             velocity >= F.lit(VELOCITY_MIN),
             F.lit(VELOCITY_WEIGHT) * _share(velocity, VELOCITY_FULL),
-            # The input is a 14-day ratio, so the text says so.
-            F.concat(F.lit("Event rate spiking ("), fixed(velocity, 1), F.lit("x above 14-day baseline)")),
+            F.concat(F.lit("Event rate spiking ("), fixed(velocity, 1), F.lit("x above 4-week baseline)")),
         ),
         (
             model >= F.lit(BANDS[0][1]),

@@ -1,16 +1,15 @@
 """Ranking and threshold metrics of scored, labelled rows.
 
-Everything starts from the counts per distinct score. Scores are stored with four decimals, so there are at most 10,001
-of them per model or fold and the running sums that follow are over small tables whatever the number of rows.
+Everything starts from the counts per distinct exact score. Running sums over falling scores are made within ranges of
+scores plus the sums of the ranges above, so no task holds all scores of a model or fold.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from hexrisk.functions.numbers import half_up
-
-SCORE_DIGITS = 4
+# Score ranges per unit; a power of two, so that ranges never cut across the order of scores.
+RANGES = 1024
 # Threshold grids of the training report and of the two offline studies.
 REPORT_THRESHOLDS = tuple(round(0.10 + 0.05 * i, 2) for i in range(18))
 FINE_THRESHOLDS = tuple(round(0.05 + 0.01 * i, 2) for i in range(91))
@@ -18,8 +17,8 @@ COARSE_THRESHOLDS = tuple(round(0.10 * i, 2) for i in range(1, 10))
 
 
 def score_counts(df: DataFrame, by: list[str] = (), score: str = "strategic_score", label: str = "label") -> DataFrame:
-    """Rows and positives per distinct stored score."""
-    keyed = df.select(*by, half_up(F.col(score), SCORE_DIGITS).alias("score"), F.col(label).cast("bigint").alias("y"))
+    """Rows and positives per distinct score."""
+    keyed = df.select(*by, F.col(score).cast("double").alias("score"), F.col(label).cast("bigint").alias("y"))
     return keyed.groupBy(*by, "score").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
 
 
@@ -31,22 +30,33 @@ def _keyed(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(by)) if by else (df.withColumn(_ALL, F.lit(0)), [_ALL])
 
 
+def running_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``upto_n`` and ``upto_pos``: rows and positives with this score or a higher one."""
+    ranged = counts.withColumn("_range", F.floor(F.col("score") * F.lit(float(RANGES))))
+    above = Window.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(*keys, "_range").agg(F.sum("n").alias("_n"), F.sum("pos").alias("_pos"))
+    sums = sums.select(*keys, "_range", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"_above{c}") for c in ("_n", "_pos")])
+    inside = Window.partitionBy(*keys, "_range").orderBy(F.desc("score"))
+    own = ranged.withColumns({"upto_n": F.sum("n").over(inside), "upto_pos": F.sum("pos").over(inside)}).join(sums, [*keys, "_range"])
+    both = {"upto_n": F.col("upto_n") + F.col("_above_n"), "upto_pos": F.col("upto_pos") + F.col("_above_pos")}
+    return own.withColumns(both).drop("_range", "_above_n", "_above_pos")
+
+
 def ranking_metrics(df: DataFrame, by: list[str] = (), **cols: str) -> DataFrame:
-    """ROC-AUC and average precision from one pass over the rows.
+    """ROC-AUC and average precision from one pass over the rows, with the counts of rows and positives.
 
     ROC-AUC is the chance that a positive outranks a negative, ties counting one half. Average precision is the sum of
     precision times gain in recall over falling thresholds, equal scores taken together. Null when a class is missing.
     """
     keyed, keys = _keyed(df, by)
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"))
-    above = F.sum("pos").over(w) - F.col("pos")
+    above = F.col("upto_pos") - F.col("pos")
     neg = F.col("n") - F.col("pos")
-    steps = score_counts(keyed, keys, **cols).select(
+    steps = running_counts(score_counts(keyed, keys, **cols), keys).select(
         *keys,
         "pos",
         neg.alias("neg"),
         (neg * (above + F.col("pos") / F.lit(2.0))).alias("wins"),
-        (F.col("pos") * (F.sum("pos").over(w) / F.sum("n").over(w))).alias("gain"),
+        (F.col("pos") * (F.col("upto_pos") / F.col("upto_n"))).alias("gain"),
     )
     pairs = (F.sum("pos") * F.sum("neg")).cast("double")
     return (
@@ -54,17 +64,19 @@ def ranking_metrics(df: DataFrame, by: list[str] = (), **cols: str) -> DataFrame
         .agg(
             F.try_divide(F.sum("wins"), pairs).alias("roc_auc"),
             F.try_divide(F.sum("gain"), F.sum("pos").cast("double")).alias("average_precision"),
+            (F.sum("pos") + F.sum("neg")).alias("rows"),
+            F.sum("pos").alias("positives"),
         )
         .drop(_ALL)
     )
 
 
 def roc_auc(df: DataFrame, by: list[str] = (), **cols: str) -> DataFrame:
-    return ranking_metrics(df, by, **cols).drop("average_precision")
+    return ranking_metrics(df, by, **cols).drop("average_precision", "rows", "positives")
 
 
 def average_precision(df: DataFrame, by: list[str] = (), **cols: str) -> DataFrame:
-    return ranking_metrics(df, by, **cols).drop("roc_auc")
+    return ranking_metrics(df, by, **cols).drop("roc_auc", "rows", "positives")
 
 
 def threshold_sweep(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hexrisk.functions.numbers import half_up
 from hexrisk.functions.risk import RULE_INPUTS, strategic_tier, tactical_columns
-from hexrisk.operators.model import feature_names, linear_score, predict
+from hexrisk.operators.model import linear_score, predict
 from hexrisk.operators.summaries import latest_per_cell
 
 # Panel columns that feed a rule input of another name; the first one present is used.
@@ -43,11 +43,11 @@ def score_table(df: DataFrame, sources: dict[str, tuple[str, ...]] | None = None
     return df.withColumns(tactical_columns(rule_inputs(df.columns, sources)))
 
 
-def with_model_score(df: DataFrame, model=None, features: list[str] | None = None) -> DataFrame:
-    """Add ``strategic_score``: the model's if given, else the fixed logistic score."""
+def with_model_score(df: DataFrame, model=None) -> DataFrame:
+    """Add ``strategic_score``: the model's on its own features if given, else the fixed logistic score."""
     if model is None:
         return df.withColumn("strategic_score", linear_score())
-    return predict(df, model, features or feature_names(df.columns), digits=None)
+    return predict(df, model)
 
 
 def score_record(scored: DataFrame, stamp: Column) -> DataFrame:
@@ -60,9 +60,9 @@ def score_record(scored: DataFrame, stamp: Column) -> DataFrame:
     )
 
 
-def score_rows(features: DataFrame, stamp: Column, model=None, names: list[str] | None = None) -> DataFrame:
+def score_rows(features: DataFrame, stamp: Column, model=None) -> DataFrame:
     """Both layers for every row; tiers are decided on the unrounded score."""
-    scored = with_model_score(features, model, names).transform(score_table)
+    scored = with_model_score(features, model).transform(score_table)
     return score_record(scored.withColumn("strategic_tier", strategic_tier(F.col("strategic_score"))), stamp)
 
 

@@ -41,13 +41,18 @@ def cross_validate(rows: DataFrame, features: list[str], folds: int = 5, **setti
     scored = []
     for fold in range(1, folds + 1):
         train, held = fold_parts(blocks, fold)
-        predicted = predict(held, fit_standard(train, features, **settings), features)
+        predicted = predict(held, fit_standard(train, features, **settings))
         scored.append(predicted.select("label", "strategic_score", F.lit(fold).alias("fold")))
     return ranking_metrics(reduce(DataFrame.unionByName, scored), ["fold"])
 
 
-def train_and_evaluate(features_table: DataFrame, folds: int = 5, **settings):
-    """Cross-validation, hold-out comparison of both models and the winner.
+def holdout_models(train: DataFrame, names: list[str], **settings) -> dict:
+    """The two models that are compared on the hold-out."""
+    return {"standard": fit_standard(train, names, **settings), "focal": train_focal(train, names, **settings)}
+
+
+def train_and_evaluate(features_table: DataFrame, folds: int = 5, models: dict | None = None, **settings):
+    """Cross-validation, hold-out comparison of both models and the winner; ``models`` saves fitting those of the hold-out again.
 
     Returns ``(models, cv, holdout, points, winner)``; the tables are small and ready for ``write_metrics``.
     """
@@ -56,14 +61,11 @@ def train_and_evaluate(features_table: DataFrame, folds: int = 5, **settings):
     cv = cv_summary(cross_validate(rows, names, folds, **settings))
     parts = cut_lineage(time_holdout(rows))
     train, test = parts.filter("part = 'train'"), parts.filter("part = 'test'")
-    models = {
-        "standard": fit_standard(train, names, **settings),
-        "focal": train_focal(train, names, **settings),
-    }
+    models = models or holdout_models(train, names, **settings)
     scored = reduce(
         DataFrame.unionByName,
         [
-            predict(test, m, names).select("event_date", "label", "strategic_score", F.lit(name).alias("model"))
+            predict(test, m).select("event_date", "label", "strategic_score", F.lit(name).alias("model"))
             for name, m in models.items()
         ],
     )

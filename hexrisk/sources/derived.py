@@ -65,9 +65,8 @@ def _day(key: str, first: str, days: int) -> Column:
 
 
 def news(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "lineitem").filter("l_linenumber = 1 and l_returnflag = 'R'")
-    return rows.select(
-        F.col("l_orderkey").alias("id"),
+    return table(spark, root, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
         _day("l_orderkey", FIRST_DAY, DAYS).alias("event_date"),
         *[c.alias(n) for n, c in lattice("l_suppkey").items()],
         # Eighths, so that sums and the hostility derived from them do not depend on the order of rows.
@@ -79,8 +78,7 @@ def news(spark: SparkSession, root: str) -> DataFrame:
 
 
 def thermal(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "orders").filter("o_orderstatus = 'F'")
-    return rows.select(
+    return table(spark, root, "orders").select(
         _day("o_orderkey", FIRST_DAY, DAYS).alias("event_date"),
         *[c.alias(n) for n, c in lattice("o_custkey").items()],
         (F.col("o_totalprice") / F.lit(5000.0)).alias("frp"),
@@ -88,11 +86,10 @@ def thermal(spark: SparkSession, root: str) -> DataFrame:
 
 
 def weather(spark: SparkSession, root: str) -> DataFrame:
-    """Daily weather of half-degree points from station readings (one reading per order that is not finished)."""
+    """Daily weather of half-degree points from station readings (one reading per order)."""
     g, d = F.col("g"), F.col("d")
     readings = (
         table(spark, root, "orders")
-        .filter("o_orderstatus <> 'F'")
         .select("o_orderkey", "o_custkey", *[c.alias(n) for n, c in lattice("o_custkey").items()])
         .withColumns(
             {

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hexrisk.functions.geo import filter_bbox
+from hexrisk.functions.geo import REGION_BOX, filter_bbox
 from hexrisk.functions.numbers import day_first_date, number_or_null
 
 CONFLICT_COLUMNS = (
@@ -33,19 +33,18 @@ FACILITY_SCHEMA = (
 )
 
 
-def _text_schema(names) -> T.StructType:
-    return T.StructType([T.StructField(n, T.StringType()) for n in names])
-
-
 def _header_columns(spark: SparkSession, path: str) -> list[str]:
     """Column names of a headed CSV; only its first line is looked at."""
     return spark.read.csv(path, header=True).columns
 
 
-def read_conflict_events(spark: SparkSession, path: str) -> DataFrame:
-    """Conflict CSV; rows without a readable date or position are dropped, other columns of the file are ignored."""
+def read_conflict_events(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """Conflict CSV; rows without a readable date or position are dropped, other columns of the file are ignored.
+
+    Quoted values may hold line breaks, so a file is read by one task; ``multiline=False`` splits large files that have none.
+    """
     present = set(_header_columns(spark, path))
-    raw = spark.read.csv(path, header=True, escape='"', multiLine=False)
+    raw = spark.read.csv(path, header=True, escape='"', multiLine=multiline)
     cols = {c: F.col(c) if c in present else F.lit(None).cast("string") for c in CONFLICT_COLUMNS}
     return raw.select(
         day_first_date(cols["event_date"]).alias("event_date"),
@@ -58,15 +57,16 @@ def read_conflict_events(spark: SparkSession, path: str) -> DataFrame:
     ).dropna(subset=["event_date", "lat", "lng"])
 
 
-def read_news_events(spark: SparkSession, path: str) -> DataFrame:
+def read_news_events(spark: SparkSession, path: str, box: dict | None = REGION_BOX) -> DataFrame:
     """Headerless news TSV files named ``YYYYMMDD…``; the day of a row is the day of its file.
 
-    Rows of another width are skipped, rows outside the study region dropped.
+    Rows of another width are skipped, rows outside ``box`` dropped (all are kept without one).
     """
-    schema = _text_schema([f"c{i}" for i in range(NEWS_WIDTH)])
-    raw = spark.read.csv(path, sep="\t", schema=schema, mode="DROPMALFORMED", quote="")
-    at = {name: F.col(f"c{i}") for name, i in NEWS_POSITIONS.items()}
-    file_day = F.regexp_extract(F.col("_metadata.file_name"), r"(\d{8})", 1)
+    fields = F.split("value", "\t", -1)
+    lines = spark.read.text(path).select(fields.alias("f"), F.col("_metadata.file_name").alias("file"))
+    raw = lines.filter(F.size("f") == NEWS_WIDTH)
+    at = {name: F.get("f", F.lit(i)) for name, i in NEWS_POSITIONS.items()}
+    file_day = F.regexp_extract("file", r"(\d{8})", 1)
     rows = raw.select(
         at["id"].alias("id"),
         F.coalesce(
@@ -74,9 +74,10 @@ def read_news_events(spark: SparkSession, path: str) -> DataFrame:
             F.to_date(F.try_to_timestamp(at["day"], F.lit("yyyyMMdd"))),
         ).alias("event_date"),
         *[number_or_null(at[c]).alias(c) for c in ("lat", "lng", "goldstein", "tone", "articles")],
-        F.trim(F.col(f"c{NEWS_ROOT_CODE_POSITION}")).try_cast("int").alias("code"),
+        F.trim(F.get("f", F.lit(NEWS_ROOT_CODE_POSITION))).try_cast("int").alias("code"),
     )
-    return filter_bbox(rows.dropna(subset=["lat", "lng"]))
+    placed = rows.dropna(subset=["lat", "lng"])
+    return filter_bbox(placed, box=box) if box else placed
 
 
 def read_thermal(spark: SparkSession, path: str) -> DataFrame:

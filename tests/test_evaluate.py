@@ -125,17 +125,43 @@ def test_training_learns_saves_and_explains(spark, scored, tmp_path):
     df = scored.withColumn("event_count", F.col("strategic_score") * 10).withColumn("dangerous_count", F.lit(0)).drop("strategic_score")
     names = ["event_count", "dangerous_count"]
     fitted = studies.fit_standard(df, names, maxIter=5, maxDepth=3)
-    out = model.predict(df, fitted, names)
+    out = model.predict(df, fitted)
     assert evaluate.roc_auc(out).first()[0] > 0.6
     assert out.filter("strategic_score < 0 or strategic_score > 1").count() == 0 and set(df.columns) < set(out.columns)
     model.save_model(fitted, str(tmp_path / "m"))
-    again = model.predict(df, model.load_model(str(tmp_path / "m")), names)
+    again = model.predict(df, model.load_model(str(tmp_path / "m")))
     assert again.exceptAll(out).count() == 0
-    assert model.feature_importance(spark, fitted, names).first().feature == "event_count"
+    assert model.feature_importance(spark, fitted).first().feature == "event_count"
     focal = model.train_focal(df, names, maxIter=12, maxDepth=3)
     model.save_model(focal, str(tmp_path / "f"))
-    focal = model.predict(df, model.load_model(str(tmp_path / "f")), names)
+    focal = model.predict(df, model.load_model(str(tmp_path / "f")))
     # Few short steps from 0.5 downwards: negatives outweigh positives.
     assert focal.filter("strategic_score >= 0.5").count() < focal.count() / 2
     assert evaluate.roc_auc(focal).first()[0] > 0.6
 
+
+
+def test_training_goes_on_while_stop_rows_improve(spark):
+    x = F.pmod(F.hash("id"), F.lit(1000)) / 1000
+    noisy = (x + F.pmod(F.hash("id", F.lit(1)), F.lit(1000)) / 2500 > 0.7).cast("int")
+    df = spark.range(1500).select(x.alias("event_count"), noisy.alias("label"), (F.col("id") % 5 == 0).alias("_stop"))
+    fitted = model.train_gbt(df, ["event_count"], validation="_stop", maxIter=40, maxDepth=3, patience=8)
+    assert 1 < model.n_trees(fitted) <= 40
+    assert model.predict(df, fitted).select("strategic_score").distinct().count() > 10
+    # Labels without any signal: nothing improves for long, so the training ends soon after its patience is used up.
+    noise = df.withColumn("label", F.pmod(F.hash("event_count", F.lit(7)), F.lit(2))).withColumn("event_count", F.rand(3))
+    assert model.n_trees(model.train_gbt(noise, ["event_count"], validation="_stop", maxIter=40, maxDepth=2, patience=3)) < 40
+
+
+def test_scores_keep_all_digits(spark):
+    df = spark.createDataFrame([(0.74996, 1), (0.74995, 0), (0.75, 1), (0.2, 0)], "strategic_score double, label int").withColumn("event_date", F.lit(DAY))
+    rows = {r.threshold: r.alerts for r in evaluate.threshold_sweep(df, (0.75, 0.74996)).collect()}
+    assert rows == {0.75: 1, 0.74996: 2}
+    assert evaluate.roc_auc(df).first()[0] == 1.0
+
+
+def test_model_counts_absent_features_as_zero(spark, scored):
+    df = scored.withColumn("event_count", F.col("strategic_score") * 10).withColumn("temp_max", F.lit(0.0)).drop("strategic_score")
+    fitted = model.train_gbt(df, ["temp_max", "event_count"], maxIter=3, maxDepth=2)
+    assert model.model_features(fitted) == ["temp_max", "event_count"]
+    assert model.predict(df.drop("temp_max"), fitted).exceptAll(model.predict(df, fitted).drop("temp_max")).count() == 0

@@ -44,6 +44,22 @@ def test_news_tsv(spark, tmp_path):
     assert rows[1].tone is None
 
 
+def test_news_width_and_box(spark, tmp_path):
+    fields = [""] * feeds.NEWS_WIDTH
+    fields[0], fields[1], fields[53], fields[54] = "1", "20240101", "50.0", "3.0"
+    text = "\n".join("\t".join(f) for f in (fields, fields[:55], [*fields, "a", "b"])) + "\n"
+    path = put(tmp_path / "n", "20240203.export.CSV", text)
+    assert feeds.read_news_events(spark, path).count() == 0
+    assert feeds.read_news_events(spark, path, box=None).count() == 1
+
+
+def test_conflict_csv_with_line_breaks_in_a_value(spark, tmp_path):
+    text = 'event_date,latitude,longitude,notes,geo_precision\n01/02/2024,33.1,35.2,"two\nlines ""quoted""",1\n02/02/2024,33.1,35.2,plain,2\n'
+    rows = feeds.read_conflict_events(spark, put(tmp_path / "c", "c.csv", text)).orderBy("event_date").collect()
+    assert [(str(r.event_date), r.geo_precision) for r in rows] == [("2024-02-01", 1.0), ("2024-02-02", 2.0)]
+
+
+
 @pytest.mark.parametrize(
     "header,when", [("latitude,longitude,acq_date,frp", "2024-02-03"), ("latitude,longitude,acq_datetime,FRP", "2024-02-03 23:15:00")]
 )
