@@ -340,3 +340,23 @@ def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(spark.read.parquet(f"{sf_dir}/documents.parquet"), Rule(3, 90))
+
+
+ORACLE = r"""
+with recursive w as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents
+), s as (
+    select doc_id, case when len(words) = 0 then [] when len(words) < 3 then [array_to_string(words, ' ')]
+        else list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) end as grams from w
+), g as (
+    select doc_id, len(grams) as n, unnest(grams) as gram from s
+), links as (
+    select a.doc_id as x, b.doc_id as y from g as a join g as b on a.gram = b.gram and a.doc_id <> b.doc_id
+    group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach as (
+    select doc_id, doc_id as other from documents
+    union select r.doc_id, l.y from reach as r join links as l on l.x = r.other
+)
+select s.doc_id, cast(len(grams) as bigint) as n_shingles, c.component_id
+from s join (select doc_id, min(other) as component_id from reach group by doc_id) as c using (doc_id)
+"""

@@ -23,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": dedup.ORACLE,
+    "op6_jaccard_join": jaccard.ORACLE,
     "op7_warc_index": warc.ORACLE,
 }
