@@ -274,12 +274,11 @@ part(
 )
 
 
-def grid_step(x: str, low: float, high: float) -> str:
-    steps = f"ceil(({x} - {d(low)}) / {d(0.5)} - {d(0.5)})"
-    return f"{d(low)} + least(greatest({steps}, 0), {round((high - low) / 0.5)}) * {d(0.5)}"
+def grid_step(x: str) -> str:
+    return f"(ceil({x} / {d(0.5)} - {d(0.5)}) * {d(0.5)})"
 
 
-GRID_LAT, GRID_LON = grid_step(center()[0], 29.5, 37.5), grid_step(center()[1], 33.5, 42.5)
+GRID_LAT, GRID_LON = grid_step(center()[0]), grid_step(center()[1])
 WEATHER = "temp_max temp_anomaly_30d precip_mm precip_spike".split()
 part(
     "feat",
@@ -509,8 +508,8 @@ oracle("s6_read_feature_table", f"""select cell, event_date, event_count, {hu('g
   {hu('temp_max')} as temp_max, {hu('dangerous_roll14d')} as dangerous_roll14d from feat""")
 oracle("s7_write_feature_table", "select event_date, count(*) as rows, cast(sum(event_count) as bigint) as event_count from panel group by 1")
 oracle("s8_upsert_scores", """select cell, strategic_score, strategic_tier, tactical_score, scored_at from (
-  select cell, strategic_score, strategic_tier, tactical_score, cast(event_date as varchar) as scored_at, event_date from dayscores
-  union all select cell, strategic_score, strategic_tier, tactical_score, cast(event_date as varchar), event_date from history
+  select cell, strategic_score, strategic_tier, tactical_score, cast(event_date as varchar) as scored_at, event_date from history
+  where event_date = date '2024-01-20' union all select cell, strategic_score, strategic_tier, tactical_score, cast(event_date as varchar), event_date from history
   where event_date > date '2024-01-20' and strategic_tier in ('red', 'orange')) as u
   qualify row_number() over (partition by cell order by event_date desc) = 1""")
 oracle("s9_patch_column", """select cell || '@' || event_date as cell, tactical_tier,
@@ -662,7 +661,7 @@ oracle("j2_attach_features", f"""select event_date, event_count, gdelt_event_cou
 oracle("j3_spatial_lag", f"""select p.event_date, {', '.join(hu(f'coalesce({c}, 0)') + f' as {c}' for c in LAGGED)}, p.q || '_' || p.r as cell
   from panel as p left join lagged as g on g.q = p.q and g.r = p.r and g.event_date = p.event_date""")
 oracle("j4_nearest_grid", f"""select {ID}, {hu(GRID_LAT)} as grid_lat, {hu(GRID_LON)} as grid_lon from (select distinct q, r from
-  {celled('(select * from origins where lat between 33.2 and 34.1 and lng between 35.45 and 36.5) as o')} as x) as y""")
+  {celled('origins')} as x) as y""")
 oracle("j5_radius_join", f"""select * from (select f.name, g.cell, {hu(haversine('f.lat', 'f.lng', 'g.lat', 'g.lng'))} as distance_km
   from facilities as f, grid as g) as x where distance_km <= 25""")
 oracle("j6_enrich_scores", f"""select f.name, f.cell, s.strategic_score, s.strategic_tier, s.tactical_tier from

@@ -182,7 +182,9 @@ def _update_rows(spark, root):
 
 @query
 def s8_upsert_scores(spark, root):
-    current = store.current_scores(spark, root).select("cell", "strategic_score", "strategic_tier", "tactical_score", "scored_at")
+    # The state before the updates; together both read the scores of all days up to now that count.
+    state = store.history(spark, root).filter(F.col("event_date") == F.lit(DAY).cast("date"))
+    current = state.select("cell", "strategic_score", "strategic_tier", "tactical_score", "scored_at")
     return tables.upsert_scores(current, _update_rows(spark, root))
 
 
@@ -646,7 +648,7 @@ def j3_spatial_lag(spark, root):
 
 @query
 def j4_nearest_grid(spark, root):
-    cells = panel.distinct_cells(with_cell(filter_bbox(derived.origins(spark, root))))
+    cells = panel.distinct_cells(with_cell(derived.origins(spark, root)))
     return rounded(_with_id(weather.nearest_grid(cells)))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from hexrisk.functions.geo import REGION_BOX
 from hexrisk.functions.grid import cell_center
 
 GRID_STEP = 0.5
@@ -41,18 +40,24 @@ def weather_features(weather: DataFrame) -> DataFrame:
     return precip_spike(daily).transform(temp_anomaly).select(*GRID, "event_date", *WEATHER_FEATURES)
 
 
-def _nearest_step(x: Column, low: float, high: float, step: float) -> Column:
+def _nearest_step(x: Column, step: float, limits: tuple[float, float] | None) -> Column:
     # A point midway between two grid lines belongs to the lower one, hence ceil(v - 0.5).
+    low = limits[0] if limits else 0.0
     steps = F.ceil((x - F.lit(low)) / F.lit(step) - F.lit(0.5))
-    steps = F.least(F.greatest(steps, F.lit(0)), F.lit(round((high - low) / step)))
+    if limits:
+        steps = F.least(F.greatest(steps, F.lit(0)), F.lit(round((limits[1] - low) / step)))
     return F.lit(low) + steps * F.lit(step)
 
 
-def nearest_grid(df: DataFrame, box: dict = REGION_BOX, step: float = GRID_STEP) -> DataFrame:
-    """Add the nearest point of the regular weather grid to rows with ``q`` and ``r``."""
+def nearest_grid(df: DataFrame, box: dict | None = None, step: float = GRID_STEP) -> DataFrame:
+    """Add the nearest point of the regular weather grid to rows with ``q`` and ``r``.
+
+    The grid goes on without end unless a ``box`` is given; then places outside take the nearest point of its edge.
+    """
     lat, lng = cell_center(F.col("q"), F.col("r"))
+    limits = box or {"lat": None, "lng": None}
     return df.withColumns(
-        {"grid_lat": _nearest_step(lat, *box["lat"], step), "grid_lon": _nearest_step(lng, *box["lng"], step)}
+        {"grid_lat": _nearest_step(lat, step, limits["lat"]), "grid_lon": _nearest_step(lng, step, limits["lng"])}
     )
 
 

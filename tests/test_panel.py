@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hexrisk.operators import aggregate, clean, panel
+from hexrisk.functions.geo import REGION_BOX
 from hexrisk.operators.weather import attach_weather, nearest_grid, precip_spike, temp_anomaly
 from hexrisk.plans.features import build_features, conflict_rows
 
@@ -135,7 +136,7 @@ def test_nearest_grid_equals_a_search_over_all_points(spark):
     cells = spark.range(400).select((F.col("id") * 3 % 140 + 150).alias("q"), (F.col("id") * 7 % 180 + 570).alias("r"))
     lat, lng = cell_center(F.col("q"), F.col("r"))
     lats, lons = np.arange(29.5, 37.51, 0.5), np.arange(33.5, 42.51, 0.5)
-    for row in nearest_grid(cells).withColumns({"lat": lat, "lng": lng}).collect():
+    for row in nearest_grid(cells, REGION_BOX).withColumns({"lat": lat, "lng": lng}).collect():
         assert row.grid_lat == lats[np.argmin((lats - row.lat) ** 2)] and row.grid_lon == lons[np.argmin((lons - row.lng) ** 2)]
 
 
