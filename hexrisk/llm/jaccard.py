@@ -35,6 +35,8 @@ from hexrisk.llm.text import LOWER, bytes_of, mixed, plain_strings, slices, span
 
 SLOTS = 1 << 17
 CENTRES = 2
+#: Hash slots of the filter that keeps texts out of a shuffle; with far more documents in question it lets all pass.
+NEEDED_SLOTS = 1 << 20
 #: Documents of a bucket that one task compares with each other; larger buckets become pairs of blocks.
 BLOCK = 4096
 LEAF, FAN = 8, 4
@@ -268,8 +270,10 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, rule: Rule) ->
     """Pairs that link by their full sets, which are made anew for the documents in question only."""
     needed = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
     wanted = stored(rows.select("row", "doc_id", "size", "fa", "fb").join(needed, "row"), "wanted")
-    texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    texts = texts.unionByName(docs.select("doc_id", "text").filter("doc_id is null"))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(NEEDED_SLOTS))
+    slots = F.broadcast(wanted.select(slot.alias("slot")).distinct())  # NEEDED_SLOTS rows at most
+    texts = docs.select("doc_id", "text", slot.alias("slot")).join(slots, "slot", "left_semi").drop("slot")
+    texts = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").unionByName(texts.filter("doc_id is null"))
     sets = full_sets(texts, rule).join(wanted, ["size", "fa", "fb"]).groupBy("row").agg(F.first("grams").alias("grams"), F.first("size").alias("size"))
     sets = stored(sets, "sets")
     x, y = (sets.select(F.col("row").alias(s), F.col("grams").alias(f"grams_{s}"), F.col("size").alias(f"size_{s}")) for s in "ab")
@@ -290,9 +294,14 @@ def joined(docs: DataFrame, rule: Rule, also: tuple[str, ...] = ()) -> DataFrame
     same = stored(same, "same")
     reps = rows.join(same.select(F.col("rep").alias("row")), "row", "left_semi")
     postings = reps.select("row", "size", F.explode("prefix").alias("gram"))
-    centre = lambda k: F.min_by(F.struct("row", "size"), F.xxhash64(F.lit(k), "row")).alias(f"c{k}")
-    shared = postings.groupBy("gram").agg(F.count("*").alias("n"), *[centre(k) for k in range(CENTRES)]).filter("n > 1")
+    shared = postings.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
     buckets = stored(postings.join(shared, "gram"), "buckets")
+    # Of a group of edited copies, the one nearest to what all have in common shares its n-grams with most; it is the first
+    # centre, and the others are chosen by hash.
+    weight = buckets.groupBy("row").agg(F.sum("n").alias("weight"))
+    order = [F.struct(-F.col("weight"), "row"), *[F.xxhash64(F.lit(k), "row") for k in range(1, CENTRES)]]
+    centres = buckets.join(weight, "row").groupBy("gram").agg(*[F.min_by(F.struct("row", "size"), o).alias(f"c{k}") for k, o in enumerate(order)])
+    buckets = stored(buckets.join(centres, "gram"), "centred")
     meta = rows.select("row", "size", "bits")
 
     stars = buckets.select("row", "size", F.explode(F.array_distinct(F.array(*[F.col(f"c{k}") for k in range(CENTRES)]))).alias("c"))
