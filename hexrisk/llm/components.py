@@ -25,7 +25,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         links = stored(small.filter("u <> v").distinct(), "links")
-        now = links.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
+        now = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
             break
         state = now

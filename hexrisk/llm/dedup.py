@@ -74,7 +74,7 @@ def keep_by_stream(source: DataFrame, checkpoint: str) -> None:
 
     Rows of one digest are pre-aggregated before they are shuffled, so a digest in a third of all rows is no hot key.
     """
-    best = F.struct("length", F.coalesce(-F.col("doc_id"), F.lit(-(2**63))).alias("first"), (-F.hash("locator")).alias("tie"), "doc_id", "locator")
+    best = F.struct("length", F.coalesce(F.bitwise_not("doc_id"), F.lit(-(2**63))).alias("first"), F.bitwise_not(F.hash("locator")).alias("tie"), "doc_id", "locator")
     state = source.groupBy("digest").agg(F.max(best).alias("kept"), F.count("*").alias("n"))
     with _settings(source.sparkSession, STATE):
         state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
@@ -126,7 +126,7 @@ def exact_groups(rows: DataFrame, digest: Callable[[Column], Column] = sha256) -
         "locator", "doc_id", F.col("kept.doc_id").alias("keep_id"), (F.col("n") - F.coalesce("strayed", F.lit(0))).alias("group_size"),
         (F.col("locator") == F.col("kept.locator")).alias("kept"), "digest",
     )
-    best = F.struct("length", F.coalesce(-F.col("doc_id"), F.lit(-(2**63))).alias("first"), (-F.hash("locator")).alias("tie"), "doc_id", "locator")
+    best = F.struct("length", F.coalesce(F.bitwise_not("doc_id"), F.lit(-(2**63))).alias("first"), F.bitwise_not(F.hash("locator")).alias("tie"), "doc_id", "locator")
     apart = strays.join(marked.select("locator", "length", "doc_id"), "locator")
     groups = apart.groupBy("digest", "content").agg(F.max(best).alias("k"), F.count("*").alias("group_size"))
     regrouped = apart.join(groups, ["digest", "content"]).select(
