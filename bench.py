@@ -24,6 +24,7 @@ HEADLINE = (
     "q11_threshold_study",
     "a11_top_triggers",
     "a16_roc_auc",
+    "m4_train_gbt",
     "w11_latest_k",
 )
 
