@@ -901,7 +901,7 @@ def m7_predict(spark, root):
     test = store.training_parts(spark, root)[1].drop(*model.WEATHER_FEATURES)
     scored = store.tiered(model.predict(test, store.model(spark, root, "standard")))
     score, tier = F.col("strategic_score"), F.col("strategic_tier")
-    banded = F.when(score >= 0.75, "red").when(score >= 0.5, "orange").when(score >= 0.25, "yellow").otherwise("green")
+    banded = F.when(score >= 0.70, "red").when(score >= 0.63, "orange").when(score >= 0.54, "yellow").otherwise("green")
     return scored.select("cell", "event_date", score.between(0.0, 1.0).alias("in_range"), (tier == banded).alias("tier_fits"))
 
 
