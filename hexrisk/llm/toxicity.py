@@ -201,15 +201,29 @@ class Words:
         return self.net.gates(x), codes, first
 
 
+def _read(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """Bytes of all texts, begin, end and hash of all words, and each text's first word; worked out slice by slice."""
+    raws, begins, ends, firsts, hashes, n_bytes, n_words = [], [], [], [np.zeros(1, np.int64)], [], 0, 0
+    for i, j in slices(texts):
+        raw, at = bytes_of(texts.slice(i, j - i))
+        raw = LOWER[raw]
+        begin, end = word_bounds(raw, at, PUNCTUATION)
+        raws.append(raw)
+        begins.append(begin + n_bytes)
+        ends.append(end + n_bytes)
+        firsts.append(np.searchsorted(begin, at)[1:] + n_words)
+        hashes.append(span_hashes(raw, begin, end))
+        n_bytes, n_words = n_bytes + len(raw), n_words + len(begin)
+    return tuple(np.concatenate(x) for x in (raws, begins, ends, firsts, hashes))
+
+
 def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = 1, epochs: int = EPOCHS) -> Network:
     """Fit a network to labelled texts (both classes present); ``weight`` of a text is how many of its class it stands for."""
     net, g = Network.new(seed), np.random.default_rng(seed)
-    raw, at = bytes_of(plain_strings(pa.array(texts, pa.large_string())))
-    raw = LOWER[raw]
-    begin, end = word_bounds(raw, at, PUNCTUATION)
-    first = np.searchsorted(begin, at)
-    keys, codes, where = coded(span_hashes(raw, begin, end))
-    places, count = gram_places(raw, begin[where], end[where])
+    raw, begin, end, first, hashes = _read(plain_strings(pa.array(texts, pa.large_string())))
+    keys, codes, where = coded(hashes)
+    parts = [gram_places(raw, begin[where[i : i + 20_000]], end[where[i : i + 20_000]]) for i in range(0, len(where), 20_000)]
+    places, count = np.concatenate([np.zeros(0, np.int32), *(p.astype(np.int32) for p, _ in parts)]), np.concatenate([np.zeros(0, np.int64), *(c for _, c in parts)])
     gram_at = np.concatenate([[0], np.cumsum(count)])
     text, start = windows_of(np.diff(first))
     place, stop = start + first[:-1][text], first[1:][text]
@@ -219,14 +233,15 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = 1
         own = g.permutation(np.flatnonzero(toxic == c))
         kept_out[own[: len(own) // 4]] = True
     # Only words and n-grams of several texts carry an embedding; what one text has alone can't be learned from.
-    pairs = np.unique(np.repeat(np.arange(len(texts)), np.diff(first)) * len(keys) + codes)
-    word_of, text_of = pairs % len(keys), pairs // len(keys)
+    words_in, grams_in = np.zeros(WORDS, np.int64), np.zeros(GRAMS, np.int64)
     word_slot = (keys & np.uint64(WORDS - 1)).astype(np.int64)
-    support = np.unique(text_of * WORDS + word_slot[word_of]) % WORDS
-    known_word = np.bincount(support, minlength=WORDS) >= SUPPORT
-    gram_pairs = np.repeat(text_of, count[word_of]) * GRAMS
-    gram_pairs += places[np.repeat(gram_at[word_of] - (np.cumsum(count[word_of]) - count[word_of]), count[word_of]) + np.arange(len(gram_pairs))]
-    known_gram = np.bincount(np.unique(gram_pairs) % GRAMS, minlength=GRAMS) >= SUPPORT
+    for i in range(len(texts)):
+        own = np.unique(codes[first[i] : first[i + 1]])
+        words_in[np.unique(word_slot[own])] += 1
+        n = count[own]
+        if n.any():
+            grams_in[np.unique(places[np.repeat(gram_at[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])] += 1
+    known_word, known_gram = words_in >= SUPPORT, grams_in >= SUPPORT
     net.word[~known_word] = 0
     net.gram[~known_gram] = 0
     known_of = {"word": known_word, "gram": known_gram}
@@ -239,7 +254,9 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = 1
         return padded[np.where(index < stop[w, None], index, len(codes))]
 
     def all_logits() -> np.ndarray:
-        gates = net.gates(net.inputs(keys, places, count))
+        step = 20_000
+        parts = [net.inputs(keys[i : i + step], places[gram_at[i] : gram_at[min(i + step, len(keys))]], count[i : i + step]) for i in range(0, len(keys), step)]
+        gates = net.gates(np.concatenate([np.zeros((0, SIZE), np.float32), *parts]))
         return np.concatenate([net.run(gates, rows(np.arange(i, min(i + TOGETHER, len(text)))))[0] for i in range(0, len(text), TOGETHER)])
 
     epochs = max(epochs, -(-STEPS * BATCH // max(1, len(text))))
