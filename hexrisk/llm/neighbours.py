@@ -2,9 +2,11 @@
 
 Centroids come from hierarchical balanced clustering of a sample: a set of vectors is halved by two means, neither half
 below a third, until the sets are small. Every vector is posted to its nearest centroid's list, and to others whose
-distance is within a ratio of the nearest one, unless one of the chosen centroids is nearer to that centroid than the
-vector is. A query finds its nearest centroids by best-first search in a graph over the centroids, keeps the lists whose
-distance is within a ratio of the nearest one, and compares itself with all vectors posted there, in double precision.
+distance is within a ratio of the nearest one, if the vector lies close to the boundary between the two: on the line from
+the nearest centroid to the other it falls near the middle. A query finds its nearest centroids by best-first search in a
+graph over the centroids, keeps all lists whose distance is within a ratio of the nearest one, and compares itself with
+all vectors posted there, in double precision. That ratio has no set value: the neighbours of at most ``SAMPLE`` queries
+are found by brute force, and the smallest ratio is taken whose lists hold the share ``RECALL`` of them.
 
 The index is fitted on at most ``FIT_ROWS`` vectors, those with the smallest hash, and has at most ``MAX_LISTS`` lists;
 all vectors are posted. Lists have no cap: large ones, and those that many queries select, are dealt out to several tasks.
@@ -32,7 +34,10 @@ FIT_ROWS = 50_000
 LIST_ROWS = 100
 MAX_LISTS = 4096
 REPLICAS, REPLICA_RATIO = 6, 1.12
-PROBES, PROBE_RATIO = 96, 1.45
+#: How far before the middle of the way between two centroids the boundary begins, as a share of the way.
+BOUNDARY = 0.03
+#: Share of the neighbours that the lists read should hold, and queries that the ratio is taken from.
+RECALL, SAMPLE = 0.95, 256
 DEGREE, BEAM = 24, 128
 PART = 4096
 
@@ -89,29 +94,30 @@ class Index:
         near = [np.argsort(squared(centroids[i : i + 256], centroids), axis=1, kind="stable")[:, 1 : degree + 1] for i in range(0, n, 256)]
         return Index(centroids, np.concatenate([np.concatenate(near), rng.integers(0, n, (n, 4))], axis=1))
 
-    def nearest(self, q: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """About the ``beam`` nearest centroids, nearest first, and their distances."""
+    def nearest(self, q: np.ndarray, beam: int = BEAM, ratio: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        """About the ``beam`` nearest centroids and all within ``ratio`` of the nearest, nearest first, and their distances."""
         seen = np.zeros(len(self.centroids), bool)
         start = np.unique(np.linspace(0, len(self.centroids) - 1, 8).astype(int))
         seen[start] = True
         distance = np.sqrt(((self.centroids[start] - q) ** 2).sum(1))
-        ahead = sorted(zip(distance.tolist(), start.tolist(), strict=True))
-        best = [(-d, c) for d, c in ahead]
+        found = list(zip(distance.tolist(), start.tolist(), strict=True))
+        ahead, best, least = sorted(found), [-d for d, _ in found], float(distance.min())
         heapq.heapify(best)
         while ahead:
             d, c = heapq.heappop(ahead)
-            if len(best) >= beam and d > -best[0][0]:
+            if len(best) >= beam and d > max(-best[0], ratio * least):
                 break
-            new = self.links[c][~seen[self.links[c]]]
-            new = np.unique(new)
+            new = np.unique(self.links[c][~seen[self.links[c]]])
             seen[new] = True
             for e, k in zip(np.sqrt(((self.centroids[new] - q) ** 2).sum(1)).tolist(), new.tolist(), strict=True):
-                if len(best) < beam or e < -best[0][0]:
+                least = min(least, e)
+                if len(best) < beam or e <= max(-best[0], ratio * least):
                     heapq.heappush(ahead, (e, k))
-                    heapq.heappush(best, (-e, k))
+                    found.append((e, k))
+                    heapq.heappush(best, -e)
                     if len(best) > beam:
                         heapq.heappop(best)
-        found = sorted((-d, c) for d, c in best)
+        found = sorted(x for x in found if x[0] <= max(-best[0], ratio * least))
         return np.array([c for _, c in found]), np.array([d for d, _ in found])
 
 
@@ -143,7 +149,7 @@ def posted(vectors: DataFrame, index: Index) -> DataFrame:
                     for k in range(1, len(order)):
                         if d[k] > REPLICA_RATIO * d[0] or len(chosen) == REPLICAS:
                             break
-                        if (((c[chosen] - c[order[k]]) ** 2).sum(1) >= d[k] ** 2).all():
+                        if d[k] ** 2 - d[0] ** 2 <= 2 * BOUNDARY * ((c[order[0]] - c[order[k]]) ** 2).sum():
                             chosen.append(order[k])
                     rows += [i] * len(chosen)
                     lists += chosen
@@ -154,15 +160,51 @@ def posted(vectors: DataFrame, index: Index) -> DataFrame:
     return vectors.mapInArrow(post, T.StructType([*vectors.schema.fields, T.StructField("list", T.IntegerType()), T.StructField("first", T.BooleanType())]))
 
 
-def selected(queries: DataFrame, index: Index, sizes: np.ndarray, k: int) -> DataFrame:
-    """Lists that each query (columns ``query``, ``v``) reads: within the ratio, and enough of them to hold ``k`` vectors."""
+def calibrated(queries: DataFrame, postings: DataFrame, index: Index, k: int) -> float:
+    """Smallest ratio whose lists hold the share ``RECALL`` of the ``k`` nearest other vectors of at most ``SAMPLE`` queries."""
+    sample = queries.select("v").distinct().orderBy(F.xxhash64("v", F.lit(1)), "v").limit(SAMPLE).collect()
+    if not sample:
+        return 1.0
+    q = np.array([r[0] for r in sample], np.float64)
+
+    def brute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, number = np.full((len(q), 0), np.inf), np.zeros((len(q), 0), np.int64)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 4096):
+                part = batch.slice(begin, 4096)
+                score = np.concatenate([score, squared(q, matrix(part.column("v")))], axis=1)
+                number = np.concatenate([number, np.tile(part.column("number").to_numpy(), (len(q), 1))], axis=1)
+                near = np.argsort(score, axis=1, kind="stable")[:, : k + 1]
+                score, number = np.take_along_axis(score, near, 1), np.take_along_axis(number, near, 1)
+        rows = np.repeat(np.arange(len(q)), score.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(number.ravel()), pa.array(score.ravel())], ["query", "number", "score"])
+
+    near = postings.filter("first").select("number", "v").mapInArrow(brute, "query long, number long, score double")
+    near = near.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("score", "number")))
+    near = near.filter(F.col("place").between(2, k + 1))  # the first is the query itself
+    held = postings.select("number", "list").join(F.broadcast(near), "number")  # k rows of SAMPLE queries at most
+    held = held.groupBy("query", "number").agg(F.collect_list("list").alias("lists")).collect()
+    distance = np.sqrt(squared(q, index.centroids))
+    first = np.maximum(distance.min(1), np.finfo(np.float64).tiny)
+    with np.errstate(over="ignore"):
+        need = np.array([max(1.0, distance[r["query"], r["lists"]].min() / first[r["query"]]) for r in held])
+    return float(np.quantile(need, RECALL, method="higher")) * (1 + 1e-9) if len(need) else 1.0
+
+
+def selected(queries: DataFrame, index: Index, sizes: np.ndarray, k: int, ratio: float) -> DataFrame:
+    """Lists that each query (columns ``query``, ``v``) reads: all within the ratio, and enough of them to hold ``k`` vectors."""
 
     def select(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, lists = [], []
+
+            def taken() -> pa.RecordBatch:
+                some = batch.take(pa.array(rows, pa.int64()))
+                return pa.RecordBatch.from_arrays([*some.columns, pa.array(lists, pa.int32())], [*batch.schema.names, "list"])
+
             for i, q in enumerate(matrix(batch.column("v"))):
-                order, d = index.nearest(q)
-                n = min(PROBES, int(np.searchsorted(d, PROBE_RATIO * d[0], side="right")))
+                order, d = index.nearest(q, ratio=ratio)
+                n = int(np.searchsorted(d, ratio * d[0], side="right"))
                 enough = int(np.searchsorted(np.cumsum(sizes[order]), k)) + 1
                 if enough > len(order):  # the lists found hold too little: take them all in order
                     order = np.argsort(squared(q[None], index.centroids)[0], kind="stable")
@@ -170,8 +212,10 @@ def selected(queries: DataFrame, index: Index, sizes: np.ndarray, k: int) -> Dat
                 chosen = order[: max(n, enough)]
                 rows += [i] * len(chosen)
                 lists += chosen.tolist()
-            taken = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(lists, pa.int32())], [*batch.schema.names, "list"])
+                if len(rows) >= 10_000:
+                    yield taken()
+                    rows, lists = [], []
+            yield taken()
 
     return queries.mapInArrow(select, T.StructType([*queries.schema.fields, T.StructField("list", T.IntegerType())]))
 
@@ -217,7 +261,8 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 10, vec_id: str =
     postings = stored(posted(groups.select("number", "v"), index), "postings")
     counts = {r["list"]: (r["n"], r["first"]) for r in postings.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.col("first").cast("long")).alias("first")).collect()}
     sizes = np.array([counts.get(i, (0, 0))[1] for i in range(len(index.centroids))])  # MAX_LISTS numbers at most
-    queries = stored(selected(rows.filter("is_query").select(F.col("row").alias("query"), "v"), index, sizes, k + 1), "queries")
+    asking = rows.filter("is_query").select(F.col("row").alias("query"), "v")
+    queries = stored(selected(asking, index, sizes, k + 1, calibrated(asking, postings, index, k)), "queries")
 
     size_of = postings.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     asked = queries.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("query_parts"))

@@ -36,6 +36,26 @@ def test_recall_and_scores(spark):
     assert out.query_id.nunique() == 120 and hits / 1200 >= 0.9
 
 
+def test_recall_with_many_lists(spark):
+    g = np.random.default_rng(7)
+    x = (0.1 * g.normal(size=(10, 32))[g.integers(0, 10, 40_000)] + g.normal(size=(40_000, 32))).astype(np.float32)
+    frame = table(spark, [(i, v.tolist(), "") for i, v in enumerate(x)]).repartition(6)
+    out = neighbours.nearest(frame, F.col("vec_id") % 400 == 0).toPandas()
+    x = x.astype(np.float64)
+    hits = sum(len({i for i, _ in brute(x, np.arange(40_000), q, 10)} & set(found.vec_id)) for q, found in out.groupby("query_id"))
+    assert out.query_id.nunique() == 100 and hits / 1000 >= 0.9
+
+
+def test_boundary_vectors_are_replicated(spark):
+    g = np.random.default_rng(9)
+    side = g.choice([-1.0, 0.0, 1.0], 300)
+    x = np.concatenate([side[:, None], 5 * g.normal(size=(300, 40))], axis=1)  # far off the line between the centroids
+    index = neighbours.Index.of(np.stack([-np.eye(41)[0], np.eye(41)[0]]))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "number long, v array<double>")
+    n = neighbours.posted(frame, index).groupBy("number").count().toPandas().set_index("number")["count"].sort_index().to_numpy()
+    assert (n == np.where(side == 0, 2, 1)).all()
+
+
 def test_lists_are_balanced():
     g = np.random.default_rng(1)
     x = np.concatenate([g.normal(size=(3000, 8)), 50 + 0.01 * g.normal(size=(1000, 8))])
