@@ -675,7 +675,7 @@ def j7_evac_candidates(spark, root):
 
 @query
 def j8_route_exposure(spark, root):
-    return routes.route_exposure(_routes(spark, root), store.current_scores(spark, root))
+    return routes.route_exposure(_routes(spark, root), store.current_scores(spark, root), about=100)
 
 
 def _routes(spark, root):

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hexrisk.functions.geo import haversine_km
-from hexrisk.functions.grid import with_cell
+from hexrisk.functions.grid import EDGE_KM, KM_PER_DEG_LAT, KM_PER_DEG_LNG, with_cell
 from hexrisk.operators.joins import salted_join
 from hexrisk.operators.spatial import DANGER_TIERS
 
+#: Points of a way at least; long ways have so many that neighbours are at most a cell edge apart.
 ROUTE_POINTS = 101
-SAMPLE_POINTS = 100
 DETOUR_SHARE = 0.15
 
 
@@ -30,17 +30,30 @@ def route_km(side: Column) -> Column:
     return F.when(side == 0, haversine_km(F.col("lat"), F.col("lng"), F.col("to_lat"), F.col("to_lng"))).otherwise(a + b)
 
 
-def straight_route(ways: DataFrame, n: int = ROUTE_POINTS, side: str | None = None) -> DataFrame:
+def way_steps(side: Column) -> Column:
+    """Steps between the points of a way: an even number, so that a detour's bend is a point."""
+    mid_lat, mid_lng = detour_point(side)
+
+    def leg(lat: Column, lng: Column) -> Column:  # length on the plane of the cells
+        return F.hypot((mid_lat - lat) * F.lit(KM_PER_DEG_LAT), (mid_lng - lng) * F.lit(KM_PER_DEG_LNG))
+
+    longest = F.greatest(leg(F.col("lat"), F.col("lng")), leg(F.col("to_lat"), F.col("to_lng")))
+    return F.greatest(F.lit(ROUTE_POINTS - 1), (F.ceil(longest / F.lit(EDGE_KM)) * 2).cast("int"))
+
+
+def straight_route(ways: DataFrame, n: int | None = None, side: str | None = None) -> DataFrame:
     """Evenly spaced points ``seq``, ``point_lat``, ``point_lng`` from ``lat, lng`` to ``to_lat, to_lng``.
 
-    ``side`` names a column with 0 for the direct way and 1 or -1 for a detour on either side.
+    ``side`` names a column with 0 for the direct way and 1 or -1 for a detour on either side. Without a number ``n`` of
+    points, each way has as many as its length needs.
     """
-    t = F.col("seq") / F.lit(float(n - 1))
-    points = ways.withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    steps = F.lit(n - 1) if n else way_steps(F.col(side) if side else F.lit(0))
+    t = F.col("seq") / F.col("_steps").cast("double")
+    points = ways.withColumn("_steps", steps).withColumn("seq", F.explode(F.sequence(F.lit(0), F.col("_steps"))))
     lat, lng = F.col("lat"), F.col("lng")
     direct = (lat + (F.col("to_lat") - lat) * t, lng + (F.col("to_lng") - lng) * t)
     if side is None:
-        return points.withColumns({"point_lat": direct[0], "point_lng": direct[1]})
+        return points.withColumns({"point_lat": direct[0], "point_lng": direct[1]}).drop("_steps")
     mid_lat, mid_lng = detour_point(F.col(side))
     first, along, back = t < F.lit(0.5), t * F.lit(2.0), t * F.lit(2.0) - F.lit(1.0)
 
@@ -53,17 +66,17 @@ def straight_route(ways: DataFrame, n: int = ROUTE_POINTS, side: str | None = No
             "point_lat": F.when(is_direct, direct[0]).otherwise(bent(lat, mid_lat, F.col("to_lat"))),
             "point_lng": F.when(is_direct, direct[1]).otherwise(bent(lng, mid_lng, F.col("to_lng"))),
         }
-    )
+    ).drop("_steps")
 
 
 def danger_cells(scores: DataFrame) -> DataFrame:
     return scores.filter(F.col("strategic_tier").isin(*DANGER_TIERS)).select("q", "r").distinct()
 
 
-def sample_route(points: DataFrame, route: str = "route_id") -> DataFrame:
-    """Every n-th point of a route, n such that about a hundred remain."""
+def sample_route(points: DataFrame, about: int, route: str = "route_id") -> DataFrame:
+    """Every n-th point of a route, n such that ``about`` so many remain."""
     lengths = points.groupBy(route).agg(F.count(F.lit(1)).alias("_n"))
-    step = F.greatest(F.lit(1).cast("bigint"), F.expr(f"_n div {SAMPLE_POINTS}"))
+    step = F.greatest(F.lit(1).cast("bigint"), F.expr(f"_n div {about}"))
     return salted_join(points, lengths, [route]).filter(F.col("seq") % step == 0).drop("_n")
 
 
@@ -76,9 +89,13 @@ def cell_exposure(points: DataFrame, danger: DataFrame, route: list[str]) -> Dat
     )
 
 
-def route_exposure(points: DataFrame, scores: DataFrame, route: str = "route_id") -> DataFrame:
-    """How many distinct cells each route passes and how many of them are red or orange."""
-    return cell_exposure(with_cell(sample_route(points, route)), danger_cells(scores), [route])
+def route_exposure(points: DataFrame, scores: DataFrame, route: str = "route_id", about: int | None = None) -> DataFrame:
+    """How many distinct cells each route passes and how many of them are red or orange.
+
+    All points count, unless ``about`` asks for routes thinned to about so many points.
+    """
+    kept = sample_route(points, about, route) if about else points
+    return cell_exposure(with_cell(kept), danger_cells(scores), [route])
 
 
 def best_route(exposed: DataFrame, key: list[str], order: str = "rank") -> DataFrame:

@@ -149,6 +149,25 @@ def test_route_exposure_counts_distinct_cells(spark):
     assert out[1][0] == 2 and out[1][1] >= 4 and out[2] == (0, 1)
 
 
+def test_long_ways_pass_every_cell(spark):
+    from hexrisk.plans import serving
+
+    scores = state(spark, {(33.0, 35.0 + i * 0.05): "red" for i in range(1, 200)})
+    ways = spark.createDataFrame([(33.0, 35.0, 33.0, 45.0, 1, 0), (33.0, 35.0, 33.0, 35.5, 2, 0)], "lat double, lng double, to_lat double, to_lng double, rank int, variant int")
+    passed = routes.danger_cells(scores)
+    out = {r["rank"]: r.danger_cells for r in serving.exposed_ways(ways, passed, ["lat", "lng", "rank", "variant"]).collect()}
+    assert out[1] == passed.count()
+    n = routes.straight_route(ways, side="variant").groupBy("rank").count().orderBy("rank").collect()
+    assert n[0]["count"] > 250 and n[1]["count"] == 101
+
+
+def test_supplied_routes_are_thinned_on_request_only(spark):
+    points = spark.createDataFrame([(1, i, 33.0, 35.0 + i * 0.05) for i in range(250)], "route_id long, seq int, lat double, lng double")
+    scores = state(spark, {(33.0, 35.05): "red"})
+    assert routes.route_exposure(points, scores).first().danger_cells == 1
+    assert routes.route_exposure(points, scores, about=100).first().danger_cells == 0
+
+
 def facility_frame(spark, rows):
     return spark.createDataFrame(rows, "name string, type string, lat double, lng double, capacity string, notes string")
 
