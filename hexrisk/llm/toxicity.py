@@ -8,7 +8,8 @@ toxic text counts as toxic, then only the one that the network finds most toxic.
 out of training to place the threshold at score 0.5.
 
 The only bounded part is the training sample: at most ``TRAIN_ROWS`` labelled texts of each class, those with the
-smallest hash of their id, none longer than ``TRAIN_CHARS`` characters. Scores never see ids, labels, languages or sources.
+smallest hash of their id, none longer than ``TRAIN_CHARS`` characters, and of several for one id the one with the
+smallest hash. Scores never see ids, labels, languages or sources.
 
 Defined results: null and empty texts, and texts without a word, get the score of a window without words; equal texts get
 equal scores; rows with equal or null ids are scored each; labels that are null don't count, and of several for one
@@ -355,7 +356,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS,
         return docs.select("doc_id", "text", F.lit(0).alias("toxic"), F.lit(1.0).alias("weight")).limit(0)
     chosen = picked[0] if len(picked) == 1 else picked[0].unionByName(picked[1])
     texts = docs.select("doc_id", "text").filter(F.char_length("text") <= chars)
-    return texts.join(F.broadcast(chosen), "doc_id")  # 2 * rows rows at most
+    found = texts.join(F.broadcast(chosen), "doc_id")  # 2 * rows ids at most
+    # An id may stand in very many rows: one text for each is left, by task before the shuffle.
+    return found.groupBy("doc_id", "toxic", "weight").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "toxic", "weight")
 
 
 def held_out(doc_id) -> F.Column:
@@ -364,7 +367,7 @@ def held_out(doc_id) -> F.Column:
 
 def learned(docs: DataFrame, labels: DataFrame) -> Network | float:
     """The network, or the one class that the labels have."""
-    rows = sorted(training_sample(docs, labels).collect(), key=lambda r: (r["doc_id"], r["text"]))[: 2 * TRAIN_ROWS]
+    rows = sorted(training_sample(docs, labels).collect(), key=lambda r: r["doc_id"])
     toxic = np.array([r["toxic"] for r in rows], np.int64)
     if len(set(toxic.tolist())) < 2:
         return float(toxic[0]) if len(toxic) else 0.0

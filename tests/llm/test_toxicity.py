@@ -86,6 +86,18 @@ def test_query_on_odd_rows(spark):
     assert kept.columns == docs.columns and kept.count() == (out.predicted == 0).sum()
 
 
+def test_an_id_in_very_many_rows_is_one_text(spark, monkeypatch):
+    ids = [i for i in range(40) if not spark.range(1).select(toxicity.held_out(F.lit(i))).first()[0]]
+    first, rest = ids[0], ids[1:]
+    many = spark.range(0, 2 * toxicity.TRAIN_ROWS + 500, 1, 4).select(F.lit(first).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 7).alias("text"))
+    docs = many.unionByName(spark.createDataFrame([(i, f"own {i}") for i in rest], "doc_id long, text string"))
+    labels = spark.createDataFrame([(first, 0)] + [(i, 1) for i in rest], "doc_id long, toxic int")
+    assert toxicity.training_sample(docs, labels).count() == len(ids)
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic, weight: (texts, toxic.tolist()))
+    texts, toxic = toxicity.learned(docs, labels)
+    assert texts[0].startswith("text ") and texts[1:] == [f"own {i}" for i in rest] and toxic == [0] + [1] * len(rest)
+
+
 def test_labels_of_one_kind_or_none(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     for labels, want in (([], 0.0), ([(1, 0), (3, 0)], 0.0), ([(i, 1) for i in range(30)], 1.0)):
