@@ -24,8 +24,8 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
-#: Long strings with capital and small letters and digits.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9a-z+/_=-]*[A-Z])(?=[0-9A-Z+/_=-]*[a-z])[A-Za-z0-9+/_=-]{20,200}(?![A-Za-z0-9+/_=-])"
+#: Strings of any length from 20 on with capital and small letters and digits.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9a-z+/_=-]*[A-Z])(?=[0-9A-Z+/_=-]*[a-z])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])"
 #: A value that more owners or repositories share is a copied example.
 OWNERS, REPOSITORIES = 2, 4
 
@@ -95,16 +95,18 @@ def find_secrets(docs: DataFrame, owners: int = OWNERS, repositories: int = REPO
     found = stored(found_in(docs).withColumn("row", F.monotonically_increasing_id()), "secrets")
     shared = ownership(found)
     live = (F.col("owners") <= owners) & (F.col("repositories") <= repositories)
-    uses = found.select("row", F.explode(F.concat("base", "more")).alias("s")).withColumn("value_hash", F.sha2("s.value", 256))
+    # Values have any length, so only their hashes and places are shuffled.
+    uses = found.select("row", F.posexplode(F.concat("base", "more")).alias("at", "s")).select("row", "at", F.sha2("s.value", 256).alias("value_hash"))
     judged = uses.join(shared.select("value_hash", live.alias("live")), "value_hash")
     per_row = judged.groupBy("row").agg(
-        F.collect_list(F.when(F.col("live") & (F.col("s.kind") == "owned"), F.col("s"))).alias("owned"),
+        F.array_sort(F.collect_list(F.struct("at", "live"))).alias("judged"),
         F.sum(F.col("live").cast("long")).alias("n_live"),
         F.sum((~F.col("live")).cast("long")).alias("n_copied"),
     )
+    is_live = lambda s, i: F.get(F.col("judged"), F.size("base") + i)["live"]
     none = F.array().cast(found.schema["more"].dataType)
     return found.join(per_row, "row", "left").select(
-        "doc_id", "base", F.coalesce("owned", none).alias("owned"),
+        "doc_id", "base", F.coalesce(F.filter("more", is_live), none).alias("owned"),
         F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"), F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"),
     )
 

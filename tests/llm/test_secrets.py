@@ -47,5 +47,15 @@ def test_owned_and_shared_values(spark, docs):
     assert by_id[500].owned == "" and by_id[501].base == ""
 
 
+def test_long_values_are_judged_whole(spark):
+    long, shared = "Zx9" + "aB3kQ7mN2p" * 60, "Qw8" + "L5vR8tW1" * 4000
+    rows = [(1, f"key {long} end", "lone", "en")] + [(10 + i, f"{shared} {long[:203]}{i}", f"owner{i}", "en") for i in range(6)]
+    by_id = {r.doc_id: r for r in digest(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"))}
+    assert (by_id[1].owned, by_id[1].n_live, by_id[1].n_copied) == (f"owned:4:{4 + len(long)}", 1, 0)
+    for i in range(6):
+        at = len(shared) + 1
+        assert (by_id[10 + i].owned, by_id[10 + i].n_live, by_id[10 + i].n_copied) == (f"owned:{at}:{at + 204}", 1, 1)
+
+
 def test_nothing(spark, docs):
     assert secret_scan.find_secrets(docs.limit(0)).count() == 0
