@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hexrisk.llm import dedup, jaccard, mixing, neighbours, packing, records, secret_scan, toxicity, urls, warc
+from hexrisk.llm import dedup, jaccard, mixing, neighbours, packing, periodic, records, secret_scan, toxicity, urls, vector_codes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_sequences": packing.op1,
@@ -19,10 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_binary_records": records.op8,
     "op9_posting_lists": neighbours.op9,
     "op10_secret_scan": secret_scan.op10,
+    "op11_word_runs": periodic.op11,
+    "op12_vector_codes": vector_codes.op12,
 }
 
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": dedup.ORACLE,
     "op6_jaccard_join": jaccard.ORACLE,
     "op7_warc_index": warc.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
 }
