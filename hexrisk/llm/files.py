@@ -43,6 +43,19 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("whole")
 
 
+#: Bytes of input that one task of a range shuffle should get.
+RANGE_BYTES = 64 << 20
+#: Sizes beyond this stand for "not known".
+UNKNOWN_BYTES = 1 << 55
+
+
+def range_tasks(df: DataFrame) -> int:
+    """Tasks for a range shuffle of ``df``: more than the session's number where Spark knows its input to be large."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, known // RANGE_BYTES) if known < UNKNOWN_BYTES else least
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: later steps start from files that survive lost executors."""
     spark: SparkSession = df.sparkSession

@@ -327,3 +327,23 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(lines, 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+#: All pairs of equal words a possible period apart, joined to stretches; of equal stretches the smallest period.
+ORACLE = r"""WITH coded AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, xor(list_reduce(
+      list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295) AS h FROM documents),
+    docs AS (SELECT row, doc_id, words, len(words) AS n, h % 10 = 0 AS planted, (h // 10) % greatest(len(words), 1) AS a, (h // 10) % 8 AS e FROM coded),
+    words AS MATERIALIZED (SELECT row, n, i, words[1 + CASE WHEN planted AND i >= a THEN a + (i - a) % (1 + (n - a) // (3 + e)) ELSE i END] AS word
+      FROM (SELECT *, unnest(range(n)) AS i FROM docs)),
+    equal AS (SELECT x.row, y.i - x.i AS q, x.i FROM words x JOIN words y ON y.row = x.row AND y.word = x.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+    stretches AS (SELECT row, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS part FROM equal)
+      GROUP BY row, q, part HAVING count(*) + q >= greatest(6, 4 * q)),
+    runs AS MATERIALIZED (SELECT * FROM stretches QUALIFY row_number() OVER (PARTITION BY row, start, length ORDER BY q) = 1),
+    gone AS (SELECT DISTINCT row, unnest(range(start + q, start + length)) AS i FROM runs),
+    texts AS (SELECT row, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (row, i) GROUP BY row),
+    digests AS (SELECT row, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines FROM runs GROUP BY row),
+    best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY row ORDER BY length / q DESC, start, q) = 1)
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, q AS period, 1000 * length // q AS exponent_milli,
+      sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+    FROM docs LEFT JOIN digests USING (row) LEFT JOIN best USING (row) LEFT JOIN texts USING (row)"""
