@@ -725,20 +725,47 @@ oracle("m2_time_series_folds", """select cast(block as int) as block, count(*) a
 oracle("m3_time_holdout", f"select cell, event_date, case when position < floor(n_rows * {d(0.9)}) then 'train' else 'test' end as part from placed")
 _p = f"least(greatest(strategic_score, {d(1e-7)}), {d(1.0 - 1e-7)})"
 oracle("m5_focal_weight", f"""select cell, event_date, {hu(f"case when label = 1 then {d(0.25)} * pow({d(1.0)} - {_p}, 2) else {d(0.75)} * pow({d(1.0)} - ({d(1.0)} - {_p}), 2) end")} as weight from lscores""")
-# What training promises whatever the trees are.
-_TRAINED = "select count(*) as rows, cast(sum(label) as bigint) as positives, true as in_range, true as several_trees from atest"
-oracle("m4_train_gbt", _TRAINED)
-oracle("m6_train_focal", _TRAINED)
+# What training promises whatever the trees are: the rows it is measured on, and that it has learnt something.
+_TRAINED = "select count(*) as rows, cast(sum(label) as bigint) as positives, true as in_range, true as skilled, true as above_base_rate, true as several_trees"
+oracle("m4_train_gbt", f"{_TRAINED} from atest")
+oracle("m4_planted_label", "select true as skilled, true as above_base_rate")
+oracle("m6_train_focal", f"{_TRAINED}, cast(400 as bigint) as trees from atest")
 oracle("m7_predict", "select cell, event_date, true as in_range, true as tier_fits from atest")
 oracle("m9_save_load", "select count(*) as rows, cast(0 as bigint) as differing from atest")
-oracle("a22_feature_importance", "select feature, true as in_range from (values " + ", ".join(f"('{n}')" for n in ALL_FEATURES) + ") as f(feature)")
-oracle("q2_train_and_evaluate", """select model, count(*) as rows, cast(sum(label) as bigint) as positives, true as several_trees, true as point_fits
-  from atest, (values ('standard'), ('focal')) as m(model) group by model""")
+oracle("a22_feature_importance", "select feature, true as in_range, true as sums_to_one, true as past_tells from (values " + ", ".join(f"('{n}')" for n in ALL_FEATURES) + ") as f(feature)")
+oracle("q2_train_and_evaluate", """select 'fold ' || block as subject, count(*) as rows, cast(sum(label) as bigint) as positives, true as in_range, true as rounds_run
+  from blocks where block > 0 group by block
+  union all select model, count(*), cast(sum(label) as bigint), true, true from atest, (values ('standard'), ('focal')) as m(model) group by model""")
+# Five folds, their summary, two models and the winner.
+oracle("q2_publish", "select count(*) as rows, cast(0 as bigint) as differing, true as best_f1_won, cast(9 as bigint) as report_subjects from atest")
 oracle("m8_linear_score", "select cell, event_date, strategic_score from lscores")
 
 oracle("t1_stream_cell_day", f"select event_date, event_count, dangerous_count, total_fatalities, max_fatalities, {ID} from cday")
 oracle("t2_stream_score", """select h.cell, strategic_score, strategic_tier, tactical_score, tactical_tier from history as h
   join (select q, r, max(event_date) as newest from crows group by q, r) as c on c.q = h.q and c.r = h.r and c.newest = h.event_date""")
+# Newest day that a cell or one of its neighbours reported, and the features of that day without the feeds a conflict stream lacks.
+part("touchdays", f"""select q, r, max(event_date) as newest from (select q, r, event_date from crows
+  union all select c.q + o.dq, c.r + o.dr, c.event_date from crows as c cross join {OFFSETS}) as t group by q, r""")
+_OTHER_FEEDS = "gdelt_hostility gdelt_min_goldstein gdelt_avg_tone firms_hotspot_count firms_max_frp firms_spike".split()
+part("touched", "select f.* replace (" + ", ".join(f"0 as {c}" for c in _OTHER_FEEDS) + ") from feat as f join touchdays as t on t.q = f.q and t.r = f.r and t.newest = f.event_date")
+_STREAMED = [
+    *COUNTS, "dangerous_delta", "fatality_delta", "actor_pair_delta", "dangerous_lag1", "dangerous_lag2", "fatalities_lag1", "battle_lag1", "explosion_lag1",
+]
+_STREAMED_MEANS = [
+    *[f"{n}_roll{k}d" for k in (3, 7, 14) for n in ROLL], "actor_pair_roll14d", "dangerous_velocity", "fatality_velocity", "actor_pair_velocity",
+    "neighbor_danger_avg", "neighbor_fatal_sum",
+]
+oracle("t2_stream_features", "select cell, event_date, " + ", ".join([*[f"cast({c} as bigint) as {c}" for c in _STREAMED], *[f"{hu(c)} as {c}" for c in _STREAMED_MEANS]]) + " from touched")
+
+
+def alert_text(signals: str) -> str:
+    """Text of a cell at DANGER: its first two signals."""
+    found = f"list_filter(string_split({signals}, ' | '), lambda s: s <> 'No significant signals detected')"
+    return f"case when tactical_tier = 'DANGER' then 'Risk signals detected near this location: ' || array_to_string(({found})[1:2], '; ') || '.' end as alert_text"
+
+
+oracle("t2_stream_state", f"""select cell, strategic_score, strategic_tier, tactical_score, tactical_tier, {alert_text('tactical_triggers')}, event_date as day
+  from ({scored('touched')}) as s""")
 oracle("t3_new_alerts", """select cell, event_date, tactical_score from history where event_date > date '2024-01-15' and tactical_tier = 'DANGER'
   and cell not in (select cell from history where event_date <= date '2024-01-15' and tactical_tier = 'DANGER')""")
 oracle("t4_replace_days", f"""select event_date, case when event_date between date '2024-01-10' and date '2024-01-12' then event_count + 100 else event_count end as event_count,
@@ -755,6 +782,7 @@ oracle("q1_build_features", "select cell, event_date, label, "
   + ", ".join(c if c in WHOLE else f"{hu(c)} as {c}" for c in [*ALL_FEATURES, "actor_pair_roll14d"]) + " from labelled")
 STATE = "cell, strategic_score, strategic_tier, tactical_score, tactical_tier, should_alert"
 oracle("q3_score_latest", f"select {STATE}, tactical_triggers from state")
+oracle("q3_run_scoring", f"select {STATE}, {alert_text('tactical_triggers')}, event_date as day from state")
 oracle("q4_backtest_days", f"""select {STATE}, tactical_triggers, event_date, cast(event_date as varchar) as scored_at from history
   where event_date between date '2024-01-05' and date '2024-01-25'""")
 oracle("q5_latest_state", f"select {STATE}, cast(event_date as varchar) as scored_at from state")

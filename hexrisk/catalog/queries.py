@@ -16,7 +16,9 @@ from hexrisk.plans import features as feature_plan
 from hexrisk.plans import scoring, serving, studies
 from hexrisk.session import scratch_path
 from hexrisk.sources import derived, feeds, tables
-from hexrisk.streaming import jobs
+from hexrisk.sources.state import StateTable
+from hexrisk.streaming import cells, jobs
+from hexrisk.streaming.jobs import state_store
 
 QUERIES: dict = {}
 
@@ -528,8 +530,12 @@ def a21_alerts_per_day(spark, root):
 
 @query
 def a22_feature_importance(spark, root):
+    """All features, their shares summing to 1, with those that tell of recent danger above the mean share."""
     report = model.feature_importance(spark, store.model(spark, root, "standard"))
-    return report.select("feature", F.col("importance").between(0.0, 1.0).alias("in_range"))
+    together = report.agg(F.abs(F.sum("importance") - 1.0) < 1e-9).scalar()
+    past = F.col("feature").rlike("roll|lag|neighbor|velocity|delta|event_count")
+    telling = report.agg(F.sum(F.when(past, F.col("importance"))) > F.count_if(past) / F.count(F.lit(1))).scalar()
+    return report.select("feature", F.col("importance").between(0.0, 1.0).alias("in_range"), together.alias("sums_to_one"), telling.alias("past_tells"))
 
 
 @query
@@ -865,21 +871,42 @@ def m3_time_holdout(spark, root):
     return df.select("cell", "event_date", "part")
 
 
-def _checked(scored, fitted):
-    """What holds for any well trained model, beside the rows it scored."""
-    inside = F.col("strategic_score").between(0.0, 1.0)
-    return scored.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sum(F.col("label").cast("bigint")).alias("positives"),
-        F.bool_and(inside).alias("in_range"),
-        F.lit(model.n_trees(fitted) > 1).alias("several_trees"),
+#: AUC that a model must exceed that has learnt anything; scores without skill have one of 0.5.
+SKILLED_AUC = 0.6
+
+
+def _skill(df):
+    """Whether scores of labelled rows show skill: a row."""
+    found = evaluate.ranking_metrics(df)
+    base = F.col("positives") / F.col("rows")
+    return found.select((F.col("roc_auc") > SKILLED_AUC).alias("skilled"), (F.col("average_precision") > base).alias("above_base_rate"))
+
+
+def _checked(spark, root, kind):
+    """Counts of the test rows, and whether the model has learnt its training rows (the labels of these tables are chance)."""
+    fitted = store.model(spark, root, kind)
+    train, test, _ = store.training_parts(spark, root)
+    scored = model.predict(test, fitted).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.col("label").cast("bigint")).alias("positives"), F.bool_and(F.col("strategic_score").between(0.0, 1.0)).alias("in_range")
     )
+    skill = _skill(model.predict(train, fitted))
+    return scored.select("*", *[skill.select(c).scalar().alias(c) for c in skill.columns], F.lit(model.n_trees(fitted) > 1).alias("several_trees"))
+
+
+@query
+def m4_planted_label(spark, root):
+    """Labels that follow from features with noise: a model trained on the first nine tenths tells the last tenth."""
+    train, test, names = store.training_parts(spark, root)
+    noise = F.pmod(F.xxhash64("q", "r", "event_date"), F.lit(1000)) / 1000.0
+    planted = (F.col("event_roll7d") + F.col("neighbor_danger_avg") + noise > 1.4).cast("int")
+    rows = train.withColumn("label", planted)
+    fitted = model.train_gbt(rows, names, maxIter=60)
+    return _skill(model.predict(test.withColumn("label", planted), fitted))
 
 
 @query
 def m4_train_gbt(spark, root):
-    fitted = store.model(spark, root, "standard")
-    return _checked(model.predict(store.training_parts(spark, root)[1], fitted), fitted)
+    return _checked(spark, root, "standard")
 
 
 @query
@@ -891,8 +918,8 @@ def m5_focal_weight(spark, root):
 
 @query
 def m6_train_focal(spark, root):
-    fitted = store.model(spark, root, "focal")
-    return _checked(model.predict(store.training_parts(spark, root)[1], fitted), fitted)
+    """All 400 rounds on the focal loss."""
+    return _checked(spark, root, "focal").withColumn("trees", F.lit(model.n_trees(store.model(spark, root, "focal"))).cast("bigint"))
 
 
 @query
@@ -951,6 +978,40 @@ def t2_stream_score(spark, root):
     return newest.select("cell", "strategic_score", "strategic_tier", "tactical_score", "tactical_tier")
 
 
+def _event_batches(spark, root, files=4):
+    """Conflict events as a stream of several batches, out of order within and between them."""
+    path = scratch_path(spark, "event-files")
+    source = clean.clean_conflict(_conflict(spark, root))
+    source.repartition(files, F.xxhash64(F.pmod(F.xxhash64(*source.columns), F.lit(files)))).write.parquet(path)
+    first = source.agg(F.min("event_date").cast("string")).first()[0]
+    return spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(path), first
+
+
+def _feature_stream(spark, root):
+    events, first = _event_batches(spark, root)
+    return cells.stream_features(events, first)
+
+
+@query
+def t2_stream_features(spark, root):
+    """Features kept by cell states over several batches; the last row of each cell equals the batch job's of that day."""
+    out, checkpoint = (scratch_path(spark, n) for n in ("feature-rows", "feature-state"))
+    with state_store(spark):
+        jobs.write_versions(_feature_stream(spark, root), out, checkpoint).awaitTermination()
+    rows = jobs.read_versions(spark, out, ("q", "r"))
+    return rounded(_with_id(rows.select("q", "r", "event_date", *cells.FEATURES)))
+
+
+@query
+def t2_stream_state(spark, root):
+    """State that a stream keeps by commits: scores of each cell's newest row."""
+    path, alerts, checkpoint = (scratch_path(spark, n) for n in ("state", "alerts", "score-state"))
+    table = StateTable(spark, path, buckets=8)
+    with state_store(spark):
+        jobs.stream_state(_feature_stream(spark, root), table, alerts, checkpoint, interval=None).awaitTermination()
+    return table.read().select("cell", "strategic_score", "strategic_tier", "tactical_score", "tactical_tier", "alert_text", F.to_date("scored_at").alias("day"))
+
+
 @query
 def t3_new_alerts(spark, root):
     """Cells at DANGER in the second half of the month that were not so in the first."""
@@ -986,15 +1047,36 @@ def q1_build_features(spark, root):
 
 @query
 def q2_train_and_evaluate(spark, root):
-    fitted = {kind: store.model(spark, root, kind) for kind in ("standard", "focal")}
-    models, _, holdout, points, _ = studies.train_and_evaluate(store.labelled(spark, root), models=fitted)
-    several = F.create_map(*[F.lit(x) for name, m in models.items() for x in (name, model.n_trees(m) > 1)])
-    fits = F.col("precision").between(0.0, 1.0) & F.col("recall").between(0.0, 1.0)
-    return holdout.join(points, "model", "left").select(
-        "model", "rows", "positives", several[F.col("model")].alias("several_trees"), F.coalesce(fits, F.lit(True)).alias("point_fits")
+    """Folds and hold-out with the counts they are measured on; the focal model runs all rounds."""
+    study = store.study(spark, root)
+    trees = F.create_map(*[F.lit(x) for name, m in study.models.items() for x in (name, model.n_trees(m))])
+    held = study.folds.withColumn("subject", F.concat(F.lit("fold "), F.col("fold").cast("string"))).drop("fold")
+    both = held.unionByName(study.holdout.withColumnRenamed("model", "subject"))
+    number = trees[F.col("subject")]
+    inside = F.col("roc_auc").between(0.0, 1.0) & F.col("average_precision").between(0.0, 1.0)
+    return both.select(
+        "subject", "rows", "positives", F.coalesce(inside, F.lit(True)).alias("in_range"), F.when(F.col("subject") == "focal", number == 400).otherwise(number >= 1).alias("rounds_run")
     )
 
 
+@query
+def q2_publish(spark, root):
+    """The saved production model scores the hold-out as the winner does, and the report holds the figures it was chosen by."""
+    study, folder = store.study(spark, root), scratch_path(spark, "models")
+    name = studies.publish(study, folder)
+    test = store.training_parts(spark, root)[1]
+    production = model.load_model(f"{folder}/production")
+    both = model.predict(model.predict(test, study.models[name], "first"), production, "second")
+    found = spark.read.json(f"{folder}/report")
+    chosen = found.filter(F.col("metric") == "f1").filter(~F.col("subject").startswith("winner")).agg(F.max("value")).scalar()
+    best = found.filter((F.col("metric") == "f1") & F.col("subject").startswith("winner")).agg(F.max("value")).scalar()
+    return both.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("first") != F.col("second")).alias("differing"),
+        F.coalesce(F.first(chosen) == F.first(best), F.lit(True)).alias("best_f1_won"),
+    ).withColumn("report_subjects", found.agg(F.countDistinct("subject")).scalar())
+
+
 @query
 def q3_score_latest(spark, root):
     return scoring.score_latest(store.features(spark, root)).select(
@@ -1002,6 +1084,16 @@ def q3_score_latest(spark, root):
     )
 
 
+@query
+def q3_run_scoring(spark, root):
+    """Two runs into the state table, one of them on an older feature table; what is read is the last commit."""
+    table, features = StateTable(spark, scratch_path(spark, "scores"), buckets=8), store.features(spark, root)
+    scoring.run_scoring(features.filter("event_date < '2024-01-20'"), table)
+    return scoring.run_scoring(features, table).select(
+        "cell", "strategic_score", "strategic_tier", "tactical_score", "tactical_tier", "should_alert", "alert_text", F.to_date("scored_at").alias("day")
+    )
+
+
 @query
 def q4_backtest_days(spark, root):
     df = scoring.backtest_days(store.features(spark, root), *[F.lit(d).cast("date") for d in REPLAY])

@@ -11,7 +11,7 @@ from hexrisk.operators.model import feature_names, linear_score, train_focal
 from hexrisk.operators.summaries import latest_per_cell
 from hexrisk.plans.features import build_features
 from hexrisk.plans.scoring import backtest_days, score_rows
-from hexrisk.plans.studies import fit_standard
+from hexrisk.plans.studies import fit_standard, train_and_evaluate
 from hexrisk.session import scratch_path
 from hexrisk.sources import derived
 from hexrisk.sources.tables import read_feature_table, write_feature_table
@@ -95,6 +95,14 @@ def training_parts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame
     return parts.filter("part = 'train'"), parts.filter("part = 'test'"), feature_names(parts.columns)
 
 
+def study(spark: SparkSession, root: str):
+    """Training with evaluation by the library's settings, run once per session."""
+    key = (spark.sparkContext.applicationId, root, "study")
+    if key not in _models:
+        _models[key] = train_and_evaluate(labelled(spark, root))
+    return _models[key]
+
+
 def model(spark: SparkSession, root: str, kind: str):
     """A model of the hold-out (``standard`` or ``focal``) with the library's settings, fitted once per session."""
     key = (spark.sparkContext.applicationId, root, kind)

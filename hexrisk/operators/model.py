@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
-from pyspark import SparkContext
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hexrisk.functions.numbers import half_up
-from hexrisk.operators.evaluate import average_precision
-from hexrisk.session import cut_lineage
+from hexrisk.operators.boosting import FOCAL_ALPHA, FOCAL_GAMMA, PROBABILITY_FLOOR, BoostedTrees, Lane, boost_lanes
 
 # Feature groups.
 BASE_FEATURES = [
@@ -79,21 +75,6 @@ WEATHER_FEATURES = ["temp_max", "temp_anomaly_30d", "precip_mm", "precip_spike"]
 OPTIONAL_FEATURES = NEWS_FEATURES + THERMAL_FEATURES + NEWS_CLASS_FEATURES + WEATHER_FEATURES
 ALL_FEATURES = BASE_FEATURES + OPTIONAL_FEATURES
 
-# Boosting and focal settings.
-GBT_SETTINGS = {
-    "maxIter": 400,
-    "maxDepth": 5,
-    "stepSize": 0.05,
-    "subsamplingRate": 0.8,
-    "featureSubsetStrategy": "0.8",
-    "seed": 42,
-}
-FOCAL_GAMMA, FOCAL_ALPHA, PROBABILITY_FLOOR, MIN_CURVATURE = 2.0, 0.25, 1e-7, 1e-6
-MARGIN, PROBABILITY = "_margin", "_probability"
-# Rounds without a better score on the stop rows that end the training.
-PATIENCE = 30
-CHECKPOINT_ROUNDS, ROWS_PER_TASK = 10, 100_000
-
 # Coefficients of the fixed logistic score used where a result must not depend on training.
 LINEAR_INTERCEPT = -0.1
 LINEAR_COEFFICIENTS = {
@@ -149,148 +130,48 @@ def with_balance_weight(df: DataFrame, col: str = "weight") -> DataFrame:
     return df.withColumn(col, F.when(F.col("label") == 1, ratio).otherwise(F.lit(1.0)))
 
 
-def _logistic_step(margin: Column, y: Column) -> tuple[Column, Column]:
-    """Gradient and curvature of the logistic loss."""
-    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
-    return p - y, F.greatest(p * (F.lit(1.0) - p), F.lit(MIN_CURVATURE))
-
-
-def _focal_step(margin: Column, y: Column) -> tuple[Column, Column]:
-    """The same, weighted by the focal weight at the current score."""
-    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
-    p = F.least(F.greatest(p, F.lit(PROBABILITY_FLOOR)), F.lit(1.0 - PROBABILITY_FLOOR))
-    weight = focal_weight(p, y)
-    return weight * (p - y), F.greatest(weight * p * (F.lit(1.0) - p), F.lit(MIN_CURVATURE))
-
-
-def _as_one_model(trees: list, step_size: float) -> GBTRegressionModel:
-    """All trees in one stage, which sums them up in one expression."""
-    gateway = SparkContext._active_spark_context._gateway
-    regression = gateway.jvm.org.apache.spark.ml.regression
-    array = gateway.new_array(regression.DecisionTreeRegressionModel, len(trees))
-    weights = gateway.new_array(gateway.jvm.double, len(trees))
-    for i, tree in enumerate(trees):
-        array[i], weights[i] = tree._java_obj, step_size
-    model = GBTRegressionModel(regression.GBTRegressionModel(f"boosted_{uuid.uuid4().hex[:12]}", array, weights))
-    return model.setFeaturesCol("features").setPredictionCol(MARGIN)
-
-
-def boost(
-    df: DataFrame,
-    features: list[str],
-    loss,
-    weight: str | None = None,
-    validation: str | None = None,
-    maxIter: int = GBT_SETTINGS["maxIter"],
-    maxDepth: int = GBT_SETTINGS["maxDepth"],
-    stepSize: float = GBT_SETTINGS["stepSize"],
-    seed: int = GBT_SETTINGS["seed"],
-    patience: int = PATIENCE,
-) -> PipelineModel:
-    """Boosting on a loss given by gradient g and curvature h, one distributed tree fit per round.
-
-    A regression tree on -g / h with row weight h has the Newton step -sum(g) / sum(h) in each leaf. Each round adds such
-    a tree, scaled by the step size, to the margin of all earlier ones. ``validation`` names a boolean column of rows that
-    no tree sees: their average precision is watched, ``patience`` rounds without a better one end the training, and the
-    model keeps the trees up to the best round. The watch looks at several rounds in one pass; that changes no result.
-    """
-    keep = ["label", *[c for c in (weight, validation) if c]]
-    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    rows = assembler.transform(align_features(df, features, keep))
-    rows = rows.select(
-        F.col("label").cast("double").alias("label"),
-        "features",
-        (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"),
-        (F.col(validation) if validation else F.lit(False)).alias("_stop"),
-        F.lit(0.0).alias(MARGIN),
-    )
-    rows = cut_lineage(rows)
-    # A task per so many rows: small tables would else pay for many empty tasks in every round.
-    rows = cut_lineage(rows.coalesce(max(1, -(-rows.count() // ROWS_PER_TASK))))
-    trees, best, best_at = [], -1.0, 0
-    while len(trees) < maxIter and (not validation or len(trees) - best_at < patience):
-        margins = []
-        for _ in range(min(CHECKPOINT_ROUNDS, maxIter - len(trees))):
-            g, h = loss(F.col(MARGIN), F.col("label"))
-            learner = RandomForestRegressor(
-                numTrees=1,
-                bootstrap=False,
-                maxDepth=maxDepth,
-                subsamplingRate=GBT_SETTINGS["subsamplingRate"],
-                featureSubsetStrategy=GBT_SETTINGS["featureSubsetStrategy"],
-                seed=seed + len(trees),
-                labelCol="_target",
-                weightCol="_h",
-                predictionCol="_tree",
-            )
-            fitted = learner.fit(rows.filter("not _stop").select("features", (h * F.col("_w")).alias("_h"), (-g / h).alias("_target")))
-            trees.append(fitted.trees[0])
-            name = f"_m{len(trees)}"
-            moved = fitted.transform(rows).withColumn(name, F.col(MARGIN) + F.lit(stepSize) * F.col("_tree"))
-            margins.append(name)
-            rows = moved.drop("_tree", "rawPrediction").withColumn(MARGIN, F.col(name))
-        rows = cut_lineage(rows)
-        if validation:
-            watched = rows.filter("_stop").select(
-                F.col("label"), F.explode(F.array(*[F.struct(F.lit(int(m[2:])).alias("round"), F.col(m).alias("score")) for m in margins])).alias("s")
-            )
-            found = average_precision(watched.select("label", "s.round", "s.score"), ["round"], score="score").collect()
-            for at, value in sorted((r["round"], r["average_precision"]) for r in found):
-                if at - best_at > patience:
-                    break
-                if (value or 0.0) > best:
-                    best, best_at = value or 0.0, at
-        rows = rows.drop(*margins)
-    kept = trees[:best_at] if validation and best_at else trees
-    link = SQLTransformer(statement=f"SELECT *, 1.0D / (1.0D + exp(-{MARGIN})) AS {PROBABILITY} FROM __THIS__")
-    return PipelineModel([assembler, _as_one_model(kept, stepSize), link])
-
-
-def train_gbt(df: DataFrame, features: list[str], weight: str | None = None, validation: str | None = None, **settings) -> PipelineModel:
+def train_gbt(df: DataFrame, features: list[str], weight: str | None = None, validation: str | None = None, **settings) -> BoostedTrees:
     """Boosted trees on ``label``; ``validation`` names a boolean column of rows that only decide when to stop."""
-    return boost(df, features, _logistic_step, weight, validation, **settings)
+    lane = Lane(weight=F.col(weight) if weight else None, stop=F.col(validation) if validation else None)
+    return boost_lanes(df, features, {"standard": lane}, **settings)["standard"]
 
 
-def train_focal(df: DataFrame, features: list[str], **settings) -> PipelineModel:
+def train_focal(df: DataFrame, features: list[str], **settings) -> BoostedTrees:
     """Boosted trees on the focal loss; all rounds are run."""
-    return boost(df, features, _focal_step, **settings)
+    return boost_lanes(df, features, {"focal": Lane(loss="focal")}, **settings)["focal"]
 
 
-def n_trees(model: PipelineModel) -> int:
-    return model.stages[1].getNumTrees
+def n_trees(model: BoostedTrees) -> int:
+    return len(model.trees)
 
 
-def model_features(model: PipelineModel) -> list[str]:
+def model_features(model: BoostedTrees) -> list[str]:
     """The features a model was trained on, in its order."""
-    return list(model.stages[0].getInputCols())
+    return list(model.features)
 
 
-def predict(
-    df: DataFrame, model: PipelineModel, features: list[str] | None = None, col: str = "strategic_score", digits: int | None = None
-) -> DataFrame:
+def predict(df: DataFrame, model: BoostedTrees, col: str = "strategic_score", digits: int | None = None) -> DataFrame:
     """Add the probability of the positive class. The model's own features are used; those the table lacks count as 0."""
-    have, features = set(df.columns), model_features(model)
-    # The assembler reads aligned copies, so the table keeps its own columns.
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in have else F.lit(0.0) for c in features}
-    original = [F.col(c) for c in df.columns]
-    packed = df.select(F.struct(*original).alias("_row"), *[v.alias(c) for c, v in filled.items()])
-    scored = model.transform(packed)
-    p = F.col(PROBABILITY)
-    return scored.select("_row.*", (half_up(p, digits) if digits else p).alias(col))
+    have = set(df.columns)
+    filled = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in have else F.lit(0.0) for c in model_features(model)]
+
+    def probability(*columns: pd.Series) -> pd.Series:
+        return pd.Series(1.0 / (1.0 + np.exp(-model.margins(np.column_stack([c.to_numpy() for c in columns])))))
+
+    p = F.pandas_udf(probability, "double")(*filled or [F.lit(0.0)])
+    return df.withColumn(col, half_up(p, digits) if digits else p)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: BoostedTrees, path: str) -> None:
+    """A model is a table of its nodes."""
+    model.table(SparkSession.active()).coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> BoostedTrees:
+    return BoostedTrees.of_table(SparkSession.active().read.parquet(path))
 
 
-def feature_importance(spark, model: PipelineModel) -> DataFrame:
-    """Features by falling importance; one row per feature of the model."""
-    values = model.stages[1].featureImportances.toArray()
-    names = model_features(model)
-    values = [*values, *[0.0] * (len(names) - len(values))]  # features after the last one used are left out
-    rows = [(name, float(v)) for name, v in zip(names, values, strict=True)]
+def feature_importance(spark: SparkSession, model: BoostedTrees) -> DataFrame:
+    """Share of each feature of the model in the gain of all splits, falling."""
+    rows = [(name, float(v)) for name, v in zip(model_features(model), model.gains(), strict=True)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hexrisk.functions.numbers import half_up
-from hexrisk.functions.risk import RULE_INPUTS, strategic_tier, tactical_columns
+from hexrisk.functions.risk import RULE_INPUTS, cell_text, strategic_tier, tactical_columns
 from hexrisk.operators.model import linear_score, predict
 from hexrisk.operators.summaries import latest_per_cell
+from hexrisk.sources.state import StateTable
 
 # Panel columns that feed a rule input of another name; the first one present is used.
 INPUT_SOURCES = {
@@ -73,6 +74,21 @@ def score_latest(features: DataFrame, stamp: Column | None = None, model=None) -
     return score_rows(latest, stamp if stamp is not None else F.to_timestamp("event_date"), model)
 
 
+def with_alert_text(scores: DataFrame) -> DataFrame:
+    """Texts for the cells at DANGER, from their signals; the others have none."""
+    text = cell_text(F.col("strategic_tier"), F.col("tactical_triggers"), F.lit(None).cast("string"))
+    return scores.withColumn("alert_text", F.when(F.col("tactical_tier") == "DANGER", text))
+
+
+def run_scoring(features: DataFrame, table: StateTable, stamp: Column | None = None, model=None) -> DataFrame:
+    """Score all cells, give those at DANGER their texts, and merge the result into the state; returns the state.
+
+    A run that dies before its commit leaves the state as it was.
+    """
+    table.merge(with_alert_text(score_latest(features, stamp, model)))
+    return table.read()
+
+
 def slice_day(panel: DataFrame, day: str | Column) -> DataFrame:
     """One day of the panel; with a table partitioned by day only that folder is read."""
     return panel.filter(F.col("event_date") == (F.lit(day).cast("date") if isinstance(day, str) else day))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from hexrisk.operators.evaluate import (
     FINE_THRESHOLDS,
@@ -16,10 +18,12 @@ from hexrisk.operators.evaluate import (
     running_best,
     threshold_sweep,
 )
-from hexrisk.operators.labels import filter_active, fold_parts, time_holdout, time_series_folds, with_time_position
-from hexrisk.operators.model import feature_names, predict, train_focal, train_gbt, with_balance_weight
+from hexrisk.operators.boosting import BoostedTrees, Lane, boost_lanes
+from hexrisk.operators.labels import FOLDS, TRAIN_SHARE, filter_active, time_holdout, time_series_folds, with_time_position
+from hexrisk.operators.model import feature_names, predict, save_model, train_gbt, with_balance_weight
 from hexrisk.operators.summaries import missing_days, profile
 from hexrisk.session import cut_lineage
+from hexrisk.sources.tables import write_metrics
 
 VALIDATION_SHARE = 0.9
 
@@ -30,49 +34,92 @@ def _with_stop_rows(train: DataFrame) -> DataFrame:
     return ordered.withColumn("_stop", F.col("position") >= F.floor(F.col("n_rows") * F.lit(VALIDATION_SHARE)))
 
 
-def fit_standard(train: DataFrame, features: list[str], **settings):
+def fit_standard(train: DataFrame, features: list[str], **settings) -> BoostedTrees:
     """Class-balanced boosted trees with early stopping."""
     return train_gbt(_with_stop_rows(with_balance_weight(train)), features, "weight", "_stop", **settings)
 
 
-def cross_validate(rows: DataFrame, features: list[str], folds: int = 5, **settings) -> DataFrame:
-    """Fold metrics of the standard model under expanding-window validation."""
-    blocks = cut_lineage(time_series_folds(rows, folds))
-    scored = []
-    for fold in range(1, folds + 1):
-        train, held = fold_parts(blocks, fold)
-        predicted = predict(held, fit_standard(train, features, **settings))
-        scored.append(predicted.select("label", "strategic_score", F.lit(fold).alias("fold")))
-    return ranking_metrics(reduce(DataFrame.unionByName, scored), ["fold"])
+@dataclass
+class Study:
+    """What a training job found: the models, and the tables of its report."""
 
+    models: dict[str, BoostedTrees]
+    folds: DataFrame
+    cv: DataFrame
+    holdout: DataFrame
+    points: DataFrame
+    winner: DataFrame
 
-def holdout_models(train: DataFrame, names: list[str], **settings) -> dict:
-    """The two models that are compared on the hold-out."""
-    return {"standard": fit_standard(train, names, **settings), "focal": train_focal(train, names, **settings)}
 
+def _lanes(rows: DataFrame, folds: int) -> dict[str, Lane]:
+    """The models of a study: one per fold, and the two that are compared on the hold-out.
 
-def train_and_evaluate(features_table: DataFrame, folds: int = 5, models: dict | None = None, **settings):
-    """Cross-validation, hold-out comparison of both models and the winner; ``models`` saves fitting those of the hold-out again.
-
-    Returns ``(models, cv, holdout, points, winner)``; the tables are small and ready for ``write_metrics``.
+    Rows are in time order, so each model learns from a prefix; its last tenth decides when a balanced one stops.
+    """
+    sizes = rows.agg(F.max("n_rows").alias("n"), *[F.count_if(F.col("block") < f).alias(f"b{f}") for f in range(1, folds + 1)]).first()
+    ends = {f"fold {f}": sizes[f"b{f}"] for f in range(1, folds + 1)}
+    ends["standard"] = ends["focal"] = math.floor((sizes["n"] or 0) * TRAIN_SHARE)
+    place = F.col("position")
+    counts = rows.agg(*[F.count_if((place < end) & (F.col("label") == y)).alias(f"{name} {y}") for name, end in ends.items() for y in (0, 1)]).first()
+    lanes = {}
+    for name, end in ends.items():
+        if name == "focal":
+            lanes[name] = Lane("focal", place < end)
+        else:
+            ratio = counts[f"{name} 0"] / counts[f"{name} 1"] if counts[f"{name} 1"] else 1.0
+            weight = F.when(F.col("label") == 1, F.lit(float(ratio))).otherwise(F.lit(1.0))
+            lanes[name] = Lane("logistic", place < end, weight, place >= math.floor(end * VALIDATION_SHARE))
+    return lanes
+
+
+def train_and_evaluate(features_table: DataFrame, folds: int = FOLDS, **settings) -> Study:
+    """Cross-validation under expanding windows, hold-out comparison of both models and the winner.
+
+    All models are trained side by side, in the same jobs.
     """
     names = feature_names(features_table.columns)
-    rows = cut_lineage(filter_active(features_table).select("event_date", "q", "r", "label", *names))
-    cv = cv_summary(cross_validate(rows, names, folds, **settings))
-    parts = cut_lineage(time_holdout(rows))
-    train, test = parts.filter("part = 'train'"), parts.filter("part = 'test'")
-    models = models or holdout_models(train, names, **settings)
-    scored = reduce(
-        DataFrame.unionByName,
-        [
-            predict(test, m).select("event_date", "label", "strategic_score", F.lit(name).alias("model"))
-            for name, m in models.items()
-        ],
-    )
-    scored = cut_lineage(scored)
-    holdout = ranking_metrics(scored, ["model"])
+    active = filter_active(features_table).select("event_date", "q", "r", "label", *names)
+    rows = cut_lineage(time_series_folds(active, folds))
+    models = boost_lanes(rows, names, _lanes(rows, folds), **settings)
+    held = [predict(rows.filter(F.col("block") == f), models[f"fold {f}"]).select("label", "strategic_score", F.lit(f).alias("fold")) for f in range(1, folds + 1)]
+    by_fold = cut_lineage(ranking_metrics(reduce(DataFrame.unionByName, held), ["fold"]))
+    test = time_holdout(rows).filter("part = 'test'")
+    both = [predict(test, models[name]).select("event_date", "label", "strategic_score", F.lit(name).alias("model")) for name in ("standard", "focal")]
+    scored = cut_lineage(reduce(DataFrame.unionByName, both))
     points = best_point(threshold_sweep(scored, REPORT_THRESHOLDS, ["model"]), ["model"])
-    return models, cv, holdout, points, pick_winner(points)
+    return Study(models, by_fold, cv_summary(by_fold), ranking_metrics(scored, ["model"]), points, pick_winner(points))
+
+
+def report(study: Study) -> DataFrame:
+    """The study's figures, a row per subject and metric."""
+
+    def long(df: DataFrame, subject: Column, *metrics: str) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+        return df.select(subject.alias("subject"), F.explode(pairs).alias("p")).select("subject", "p.*")
+
+    fold = F.concat(F.lit("fold "), F.col("fold").cast("string"))
+    parts = [
+        long(study.folds, fold, "roc_auc", "average_precision", "rows", "positives"),
+        long(study.cv, F.lit("cross-validation"), *study.cv.columns),
+        long(study.holdout, F.col("model"), "roc_auc", "average_precision", "rows", "positives"),
+        long(study.points, F.col("model"), "threshold", "precision", "recall", "f1", "alerts_per_day"),
+        long(study.winner, F.concat(F.lit("winner: "), F.col("model")), "threshold", "f1"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def publish(study: Study, folder: str) -> str:
+    """Write both models, the winner once more as the production model, and the report; returns the winner's name.
+
+    A hold-out on which no threshold raises an alert has no winner; the standard model then goes to production.
+    """
+    best = study.winner.select("model").first()
+    name = best["model"] if best and best["model"] else "standard"
+    for kind in ("standard", "focal"):
+        save_model(study.models[kind], f"{folder}/{kind}")
+    save_model(study.models[name], f"{folder}/production")
+    write_metrics(report(study).coalesce(1), f"{folder}/report")
+    return name
 
 
 def threshold_study(scored: DataFrame, thresholds: tuple[float, ...] = FINE_THRESHOLDS, min_recall: float = 0.25) -> DataFrame:

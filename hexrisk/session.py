@@ -50,6 +50,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), "scratch", f"{name}-{uuid.uuid4().hex}")
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system for a path, and the path as it knows it; any scheme that Spark can read works."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a folder that ``scratch_path`` named, once nothing reads it any more."""
+    if not path.startswith(os.path.join(shared_dir(spark), "scratch") + "/"):
+        raise ValueError(f"{path} is no scratch folder")
+    fs, folder = file_system(spark, path)
+    fs.delete(folder, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so a lost executor costs no recomputation chain."""
     shared_dir(df.sparkSession)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from hexrisk.functions.grid import with_cell
-from hexrisk.plans.scoring import new_alerts
+from hexrisk.functions.grid import cell_id, with_cell
+from hexrisk.operators.model import LINEAR_COEFFICIENTS
+from hexrisk.plans.scoring import new_alerts, score_rows, with_alert_text
+from hexrisk.sources.state import StateTable
 from hexrisk.sources.tables import upsert_scores
 
 WATERMARK = "3 days"
@@ -17,6 +20,21 @@ RESCORE_INTERVAL = "15 minutes"
 REFRESH_DAYS = 14
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_store(spark: SparkSession, provider: str = ROCKS_DB) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which cell states need."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, provider)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+
+
 def _trigger(interval: str | None) -> dict:
     return {"processingTime": interval} if interval else {"availableNow": True}
 
@@ -101,6 +119,32 @@ def stream_score(
     )
 
 
+def stream_state(
+    feature_rows: DataFrame,
+    table: StateTable,
+    alert_path: str,
+    checkpoint: str,
+    model=None,
+    interval: str | None = RESCORE_INTERVAL,
+) -> StreamingQuery:
+    """Score the feature rows of each micro-batch, merge them into the state and write newly dangerous cells.
+
+    The batch number is the version of the state, so a repeated batch changes nothing; alerts compare a batch's cells with
+    the version before it, and a repeated batch replaces its own.
+    """
+
+    def advance(batch: DataFrame, batch_id: int) -> None:
+        absent = {c: F.lit(0.0) for c in LINEAR_COEFFICIENTS if c not in batch.columns}
+        rows = batch.withColumns({**absent, "cell": cell_id(F.col("q"), F.col("r"))})
+        before = [v for v in table.versions() if v < batch_id]
+        table.merge(with_alert_text(score_rows(rows, F.to_timestamp("event_date"), model)), batch_id)
+        danger = table.read(batch_id).filter("tactical_tier = 'DANGER'")
+        alerts = new_alerts(table.read(before[-1]), danger) if before else danger
+        alerts.write.mode("overwrite").parquet(f"{alert_path}/batch={batch_id}")
+
+    return feature_rows.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(**_trigger(interval)).foreachBatch(advance).start()
+
+
 def touched_history(features: DataFrame, touched: DataFrame, days: int = REFRESH_DAYS) -> DataFrame:
     """Panel rows of the touched cells over the days their newest row can influence."""
     span = touched.select("q", "r", F.date_sub("event_date", days - 1).alias("_from"), F.col("event_date").alias("_to"))
