@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from hexrisk.catalog import store
 from hexrisk.catalog.store import rounded
@@ -636,19 +636,29 @@ def j1_build_panel(spark, root):
     return _with_id(_panel(spark, root))
 
 
+def _merged(spark, root, feeds, neighbors, own=None):
+    """Panel of the conflict counts with other feeds merged in before the days are filled."""
+    daily = _daily(spark, root)
+    bounds, cells = panel.date_bounds(daily), panel.distinct_cells(daily)
+    weather_rows = None if own is None else weather.weather_feed(cells, own)
+    sparse = panel.merge_cell_days([daily, *feeds], cells, neighbors, weather_rows).filter(F.col("event_date").between(*bounds))
+    return panel.fill_days(sparse, bounds)
+
+
 @query
 def j2_attach_features(spark, root):
     cols = ["gdelt_event_count", "gdelt_avg_tone", "gdelt_min_goldstein", "gdelt_num_articles", "gdelt_hostility"]
-    base = _panel(spark, root).select("q", "r", "event_date", "event_count")
-    return rounded(_with_id(panel.attach_features(base, _news_day(spark, root), cols)))
+    df = _merged(spark, root, [_news_day(spark, root).select("q", "r", "event_date", *cols)], {})
+    return rounded(_with_id(df.select("q", "r", "event_date", "event_count", *cols)))
 
 
 @query
 def j3_spatial_lag(spark, root):
-    base = _panel(spark, root)
-    base = panel.attach_features(base, _news_day(spark, root), ["gdelt_hostility", "gdelt_protest_count"])
-    base = panel.attach_features(base, _thermal_day(spark, root), ["firms_spike"])
-    df = panel.spatial_lag(base, panel.NEIGHBOR_FEATURES)
+    news = _news_day(spark, root).select("q", "r", "event_date", "gdelt_hostility", "gdelt_protest_count")
+    thermal = _thermal_day(spark, root).select("q", "r", "event_date", "firms_spike")
+    df = _merged(spark, root, [news, thermal], panel.NEIGHBOR_FEATURES)
+    whole = Window.partitionBy("q", "r")
+    df = panel.finish_neighbors(df.withColumn("_n", F.max("_n").over(whole)), panel.NEIGHBOR_FEATURES)
     return rounded(_with_id(df.select("q", "r", "event_date", *panel.NEIGHBOR_FEATURES)))
 
 
@@ -736,8 +746,8 @@ def _detail(spark, root):
 
 @query
 def j14_attach_weather(spark, root):
-    base = _panel(spark, root).select("q", "r", "event_date", "event_count")
-    return rounded(_with_id(weather.attach_weather(base, weather.weather_features(derived.weather(spark, root)))))
+    df = _merged(spark, root, [], {}, weather.weather_features(derived.weather(spark, root)))
+    return rounded(_with_id(df.select("q", "r", "event_date", "event_count", *weather.WEATHER_FEATURES)))
 
 
 @query

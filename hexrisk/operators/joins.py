@@ -8,12 +8,13 @@ SALTS = 8
 _SALT = "_salt"
 
 
-def spread_by(df: DataFrame, *keys: str) -> DataFrame:
+def spread_by(df: DataFrame, *keys: str, tasks: int = 0) -> DataFrame:
     """Repartition by key into a fixed number of tasks, for a step whose output is far larger than its input.
 
-    Without the number Spark would merge small inputs into a few tasks that each produce a huge output.
+    Without the number Spark would merge small inputs into a few tasks that each produce a huge output. ``tasks`` asks for
+    more than the session's number where the output is known to need them.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(max(tasks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def salted_join(

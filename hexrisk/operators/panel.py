@@ -121,11 +121,25 @@ def _neighbor_columns(df: DataFrame, features: dict[str, tuple[str, str]]) -> Da
     return df.withColumns(out)
 
 
-def merge_cell_days(feeds: list[DataFrame], cells: DataFrame, features: dict[str, tuple[str, str]]) -> DataFrame:
+#: Rows of the dense panel that one task should fill.
+DENSE_ROWS = 2_000_000
+
+
+def dense_tasks(daily: DataFrame) -> int:
+    """Tasks that the dense panel of a (stored) table of cell-days needs."""
+    days = F.datediff(F.max("event_date"), F.min("event_date")) + 1
+    size = daily.agg(days.alias("days"), F.approx_count_distinct(F.struct(*CELL)).alias("cells")).first()
+    return -(-(size["days"] or 0) * size["cells"] // DENSE_ROWS)
+
+
+def merge_cell_days(
+    feeds: list[DataFrame], cells: DataFrame, features: dict[str, tuple[str, str]], extra: DataFrame | None = None, tasks: int = 0
+) -> DataFrame:
     """One sparse table from several cell-day feeds, neighbour sums included, limited to ``cells``.
 
     Every cell-day is sent to itself with its columns and to each existing neighbour with the columns the neighbour
-    features need; a single grouping keyed by cell then merges the feeds and adds up the neighbours.
+    features need; a single grouping keyed by cell then merges the feeds and adds up the neighbours. ``extra`` is one more
+    feed, of ``cells`` only, that no neighbour feature needs: its rows go straight to that grouping.
     """
     names = list(dict.fromkeys(c for f in feeds for c in f.columns if c not in KEY))
     types = {c: f.schema[c].dataType for f in feeds for c in f.columns if c not in KEY}
@@ -148,8 +162,12 @@ def merge_cell_days(feeds: list[DataFrame], cells: DataFrame, features: dict[str
         *[F.when(own, F.col(c)).alias(c) for c in names],
         *[F.when(~own, F.col(c)).alias(f"_sum_{c}") for c in sources],
     )
+    if extra is not None:
+        more = [c for c in extra.columns if c not in KEY]
+        names, types = names + more, types | {c: extra.schema[c].dataType for c in more}
+        addressed = addressed.unionByName(extra, allowMissingColumns=True)
     return (
-        spread_by(addressed, "q", "r")
+        spread_by(addressed, "q", "r", tasks=tasks)
         .groupBy("q", "r", "event_date")
         .agg(
             F.max("_n").alias("_n"),

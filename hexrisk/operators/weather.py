@@ -61,6 +61,14 @@ def nearest_grid(df: DataFrame, box: dict | None = None, step: float = GRID_STEP
     )
 
 
+def weather_feed(cells: DataFrame, weather: DataFrame) -> DataFrame:
+    """Weather features of each cell's nearest grid point as cell-days, a narrow feed for the panel.
+
+    Few cells share a grid point, so no key is hot here, and the wide panel stays where it is.
+    """
+    return nearest_grid(cells.select("q", "r")).join(weather, list(GRID)).select("q", "r", "event_date", *WEATHER_FEATURES)
+
+
 def attach_weather(panel: DataFrame, weather: DataFrame) -> DataFrame:
     """Join the features of the nearest grid point by day; 0 where unknown."""
     joined = nearest_grid(panel).join(weather, [*GRID, "event_date"], "left").drop(*GRID)

@@ -11,6 +11,7 @@ from hexrisk.operators.panel import (
     NEIGHBOR_FEATURES,
     build_panel,
     date_bounds,
+    dense_tasks,
     distinct_cells,
     fill_days,
     finish_neighbors,
@@ -19,7 +20,7 @@ from hexrisk.operators.panel import (
     merge_cell_days,
     time_line,
 )
-from hexrisk.operators.weather import attach_weather, weather_features
+from hexrisk.operators.weather import weather_features, weather_feed
 from hexrisk.session import cut_lineage
 
 
@@ -58,10 +59,9 @@ def build_features(
         feeds.append(agg_news_day(with_cell(news), codes=news_codes))
     if thermal is not None:
         feeds.append(agg_thermal_day(with_cell(thermal)))
-    bounds = date_bounds(daily)
-    sparse = merge_cell_days(feeds, distinct_cells(daily), NEIGHBOR_FEATURES)
+    bounds, cells = date_bounds(daily), distinct_cells(daily)
+    extra = None if weather is None else weather_feed(cells, weather_features(weather))
+    sparse = merge_cell_days(feeds, cells, NEIGHBOR_FEATURES, extra, dense_tasks(daily))
     sparse = sparse.filter(F.col("event_date").between(*bounds))
     panel = time_line(fill_days(sparse, bounds), keep_tail).transform(finish_neighbors, NEIGHBOR_FEATURES)
-    if weather is not None:
-        panel = attach_weather(panel, weather_features(weather))
     return panel.withColumn("cell", cell_id(F.col("q"), F.col("r")))

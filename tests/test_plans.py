@@ -5,6 +5,7 @@ import os
 import pytest
 
 from hexrisk.catalog.queries import QUERIES
+from hexrisk.catalog.store import fresh_features
 from hexrisk.operators.aggregate import agg_conflict_day
 from hexrisk.operators.panel import NEIGHBOR_FEATURES, date_bounds, distinct_cells, fill_days, merge_cell_days, time_line
 from hexrisk.plans.features import conflict_rows
@@ -39,6 +40,20 @@ def test_dense_panel_is_made_after_the_last_shuffle(spark):
     assert sum(line.startswith("Window") for line in above) == 2
 
 
+def test_no_feed_moves_the_dense_panel(spark):
+    """All four feeds, and no table small enough for a broadcast: every shuffle lies below the fill."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(fresh_features(spark, ROOT, keep_tail=True))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    chain = [line.split("+- ", 1)[1] for line in plan.splitlines() if "+- " in line and ":" not in line.split("+- ", 1)[0]]
+    above = chain[: next(i for i, line in enumerate(chain) if line.startswith("Exchange"))]
+    assert any(line.startswith("Generate explode(") for line in above)
+    assert not any("Join" in line for line in above)
+
+
 def test_event_scan_reads_only_what_it_needs(spark):
     plan = plan_of(QUERIES["a7_date_range"](spark, ROOT))
     assert "ReadSchema: struct<ts:timestamp" in plan and "value" not in plan.split("ReadSchema")[1]
