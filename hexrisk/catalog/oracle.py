@@ -43,17 +43,41 @@ def lattice(key: str, shift: float = 0.0) -> str:
     )
 
 
-def celled(src: str, lat: str = "lat", lng: str = "lng") -> str:
+def fractions(lat: str, lng: str) -> tuple[str, str]:
+    """Fractional axial coordinates of a point."""
     x, y = f"({lng} * {d(KM_PER_DEG_LNG)})", f"({lat} * {d(KM_PER_DEG_LAT)})"
-    fq = f"(({d(INV_SQRT3)} * {x} - {y} / {d(3.0)}) / {d(EDGE_KM)})"
-    fr = f"(({d(2.0)} * {y} / {d(3.0)}) / {d(EDGE_KM)})"
+    return f"(({d(INV_SQRT3)} * {x} - {y} / {d(3.0)}) / {d(EDGE_KM)})", f"(({d(2.0)} * {y} / {d(3.0)}) / {d(EDGE_KM)})"
+
+
+def hexed(src: str) -> str:
+    """Cells of rows with the fractions ``_fq``, ``_fr``."""
     h = d(0.5)
     return f"""(select * exclude (_fq, _fr, _q, _r, _s),
       cast(case when abs(_q - _fq) > abs(_s + _fq + _fr) and abs(_q - _fq) > abs(_r - _fr) then -_s - _r else _q end as bigint) as q,
       cast(case when not (abs(_q - _fq) > abs(_s + _fq + _fr) and abs(_q - _fq) > abs(_r - _fr))
                  and abs(_r - _fr) > abs(_s + _fq + _fr) then -_q - _s else _r end as bigint) as r
-      from (select *, floor(_fq + {h}) as _q, floor(_fr + {h}) as _r, floor(-_fq - _fr + {h}) as _s
-            from (select *, {fq} as _fq, {fr} as _fr from {src}) as c0) as c1)"""
+      from (select *, floor(_fq + {h}) as _q, floor(_fr + {h}) as _r, floor(-_fq - _fr + {h}) as _s from {src}) as c1)"""
+
+
+def celled(src: str, lat: str = "lat", lng: str = "lng") -> str:
+    fq, fr = fractions(lat, lng)
+    return hexed(f"(select *, {fq} as _fq, {fr} as _fr from {src}) as c0")
+
+
+def crossed(legs: str, keys: str) -> str:
+    """Cells that the legs (``la``, ``lo`` to ``lb``, ``lp``) of each key cross: middles between all places where a form is whole."""
+    a, b = fractions("la", "lo"), fractions("lb", "lp")
+    ends = f"(select {keys}, {a[0]} as aq, {a[1]} as ar, {b[0]} as bq, {b[1]} as br from {legs} as l0)"
+    two = d(2.0)
+    forms = f"""(select *, bq - aq as dq, br - ar as dr, aq - ar as u0, bq - br as u1, aq + {two} * ar as v0, bq + {two} * br as v1, {two} * aq + ar as w0, {two} * bq + br as w1
+      from {ends} as l1)"""
+    cuts = ", ".join(
+        f"list_transform(range(cast(floor(least({x}0, {x}1)) as bigint) + 1, greatest(cast(ceil(greatest({x}0, {x}1)) as bigint), cast(floor(least({x}0, {x}1)) as bigint) + 1)), lambda k: (k - {x}0) / ({x}1 - {x}0))"
+        for x in "uvw"
+    )
+    cut = f"(select *, list_sort(list_distinct(flatten([[{d(0.0)}, {d(1.0)}], {cuts}]))) as ts from {forms} as l2)"
+    middles = f"(select *, (ts[i] + ts[i + 1]) / {two} as t from (select *, unnest(range(1, len(ts))) as i from {cut} as l3) as l4)"
+    return f"(select distinct {keys}, q, r from {hexed(f'(select {keys}, aq + dq * t as _fq, ar + dr * t as _fr from {middles} as l5) as l6')} as l7)"
 
 
 def center(q: str = "q", r: str = "r") -> tuple[str, str]:
@@ -418,11 +442,12 @@ def bent(a: str, m: str, b: str, t: str = T) -> str:
 
 
 def exposed(src: str) -> str:
-    points = f"""(select lat, lng, rank, variant, {bent('lat', MID_LAT, 'to_lat')} as plat, {bent('lng', MID_LNG, 'to_lng')} as plng
-      from {src} as w, generate_series(0, 100) as g(seq))"""
-    return f"""select w.*, danger_cells, total_cells from {src} as w join (
-      select b.lat, b.lng, b.rank, b.variant, count(x.q) as danger_cells, count(*) as total_cells from
-        (select distinct lat, lng, rank, variant, q, r from {celled(points + ' as pts', 'plat', 'plng')} as b0) as b
+    keys = "lat, lng, rank, variant"
+    legs = f"""(select {keys}, lat as la, lng as lo, to_lat as lb, to_lng as lp from {src} where variant = 0
+      union all select {keys}, lat, lng, {MID_LAT}, {MID_LNG} from {src} where variant <> 0 union all select {keys}, {MID_LAT}, {MID_LNG}, to_lat, to_lng from {src} where variant <> 0)"""
+    return f"""select w.*, danger_cells, total_cells, danger_ids from {src} as w join (
+      select b.lat, b.lng, b.rank, b.variant, count(x.q) as danger_cells, count(*) as total_cells,
+        coalesce(list(x.q || '_' || x.r order by x.q || '_' || x.r) filter (x.q is not null), []) as danger_ids from {crossed(legs, keys)} as b
       left join dangercells as x on x.q = b.q and x.r = b.r group by 1, 2, 3, 4) as e
       on e.lat = w.lat and e.lng = w.lng and e.rank = w.rank and e.variant = w.variant"""
 
@@ -433,13 +458,13 @@ part("direct", exposed("ways"))
 part("bestdirect", "select * from direct qualify row_number() over (partition by lat, lng order by danger_cells, rank) = 1")
 part(
     "sides",
-    "select * exclude (variant, danger_cells, total_cells), unnest([1, -1]) as variant from bestdirect where danger_cells > 0",
+    "select * exclude (variant, danger_cells, total_cells, danger_ids), unnest([1, -1]) as variant from bestdirect where danger_cells > 0",
 )
 part("bentways", exposed("sides"))
 part(
     "chosen",
-    """select * from (select lat, lng, rank, name, country, to_lat, to_lng, distance_km, variant, danger_cells, total_cells from bestdirect
-    union all select lat, lng, rank, name, country, to_lat, to_lng, distance_km, variant, danger_cells, total_cells from bentways) as u
+    """select * from (select lat, lng, rank, name, country, to_lat, to_lng, distance_km, variant, danger_cells, total_cells, danger_ids from bestdirect
+    union all select lat, lng, rank, name, country, to_lat, to_lng, distance_km, variant, danger_cells, total_cells, danger_ids from bentways) as u
     qualify row_number() over (partition by lat, lng order by danger_cells, case variant when 0 then 0 when 1 then 1 else 2 end) = 1""",
 )
 KM = hu(
@@ -668,8 +693,11 @@ oracle("j6_enrich_scores", f"""select f.name, f.cell, s.strategic_score, s.strat
   (select name, {ID} from {celled('facilities')} as c) as f left join state as s on s.cell = f.cell""")
 oracle("j7_evac_candidates", f"select {hu('lat')} as lat, {hu('lng')} as lng, rank, name, distance_km from candidates")
 _t250 = f"(seq / {d(249.0)})"
-oracle("j8_route_exposure", f"""select b.route_id, count(x.q) as danger_cells, count(*) as total_cells from (select distinct route_id, q, r from
-  {celled(f"(select cast(cast(floor(lat * 100 + 0.5) as bigint) as varchar) || ',' || cast(cast(floor(lng * 100 + 0.5) as bigint) as varchar) as route_id, lat + (to_lat - lat) * {_t250} as plat, lng + (to_lng - lng) * {_t250} as plng from candidates, generate_series(0, 249) as g(seq) where rank = 1 and seq % 2 = 0) as pts", 'plat', 'plng')} as b0) as b
+_j8 = f"""(select route_id, plat as la, plng as lo, lead(plat) over w as lb, lead(plng) over w as lp from
+  (select cast(cast(floor(lat * 100 + 0.5) as bigint) as varchar) || ',' || cast(cast(floor(lng * 100 + 0.5) as bigint) as varchar) as route_id, seq,
+   lat + (to_lat - lat) * {_t250} as plat, lng + (to_lng - lng) * {_t250} as plng from candidates, generate_series(0, 249) as g(seq) where rank = 1) as p0
+  window w as (partition by route_id order by seq) qualify lb is not null)"""
+oracle("j8_route_exposure", f"""select b.route_id, count(x.q) as danger_cells, count(*) as total_cells from {crossed(_j8, 'route_id')} as b
   left join dangercells as x on x.q = b.q and x.r = b.r group by 1""")
 oracle("j9_nearest_facility", f"""select {hu('lat')} as lat, {hu('lng')} as lng, name, type, km as distance_km from (select s.lat, s.lng, p.name, p.type,
   {hu(haversine('s.lat', 's.lng', 'p.lat', 'p.lng'))} as km from spots as s, safefacilities as p) as x
@@ -804,6 +832,17 @@ oracle("q10_evac_plan", f"""select origin_id, coalesce(c.name, 'No safe destinat
   || ' Travel during daylight. Bring ID, water, phone charger.' end as narrative
   from origins as o left join (select *, {KM} as km from chosen) as c on c.lat = o.lat and c.lng = o.lng
   left join shelter as s on s.to_lat = c.to_lat and s.to_lng = c.to_lng""")
+part("goalways", f"""select lat, lng, cast(1 as int) as rank, 'Custom destination' as name, '' as country, {d(33.5138)} as to_lat, {d(36.2765)} as to_lng, 0 as variant
+  from (select distinct lat, lng from origins where origin_id % 3 = 0) as o""")
+part("goaldirect", exposed("goalways"))
+part("goalsides", "select * exclude (variant, danger_cells, total_cells, danger_ids), unnest([1, -1]) as variant from goaldirect where danger_cells > 0")
+part("goalbent", exposed("goalsides"))
+part("goalchosen", """select * from (select * from goaldirect union all by name select * from goalbent) as u
+  qualify row_number() over (partition by lat, lng order by danger_cells, case variant when 0 then 0 when 1 then 1 else 2 end) = 1""")
+_way = f"""name, {KM} as km, danger_cells, total_cells, danger_ids, case when variant <> 0 then {hu(MID_LAT)} end as bend_lat, case when variant <> 0 then {hu(MID_LNG)} end as bend_lng"""
+oracle("q10_custom_goal", f"""select origin_id, coalesce(name, 'No safe destination found') as destination, coalesce(km, 0) as distance_km, danger_cells, total_cells,
+  array_to_string(danger_ids, ';') as danger_ids, bend_lat, bend_lng from origins as o left join (select lat, lng, true as own, {_way} from goalchosen
+  union all select lat, lng, false, {_way} from chosen) as c on c.lat = o.lat and c.lng = o.lng and c.own = (o.origin_id % 3 = 0)""")
 part("tested", f"select *, {linear(digits=9)} as strategic_score from placed where position >= floor(n_rows * {d(0.9)})")
 part(
     "scopes",

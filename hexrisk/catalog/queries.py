@@ -691,7 +691,7 @@ def j7_evac_candidates(spark, root):
 
 @query
 def j8_route_exposure(spark, root):
-    return routes.route_exposure(_routes(spark, root), store.current_scores(spark, root), about=100)
+    return routes.route_exposure(_routes(spark, root), store.current_scores(spark, root))
 
 
 def _routes(spark, root):
@@ -1165,6 +1165,18 @@ def q10_evac_plan(spark, root):
     return rounded(plan.select(*cols))
 
 
+@query
+def q10_custom_goal(spark, root):
+    """Every third origin names its goal; dangerous cells on the way and the corners of the way come along."""
+    asks = (F.col("origin_id") % 3) == 0
+    goal = {"goal_lat": F.when(asks, F.lit(33.5138)), "goal_lng": F.when(asks, F.lit(36.2765))}
+    plan = serving.evac_plan(derived.origins(spark, root).withColumns(goal), derived.facilities(spark, root), store.current_scores(spark, root))
+    bend = F.when(F.size("route_points") == 3, F.col("route_points")[1])
+    return rounded(
+        plan.select("origin_id", "destination", "distance_km", "danger_cells", "total_cells", F.array_join("danger_ids", ";").alias("danger_ids"), bend[1].alias("bend_lat"), bend[0].alias("bend_lng"))
+    )
+
+
 @query
 def q11_threshold_study(spark, root):
     return rounded(studies.threshold_study(store.labelled_scores(spark, root)))

@@ -70,6 +70,56 @@ def with_cell(df: DataFrame, lat: str = "lat", lng: str = "lng", edge_km: float
     return near.withColumns({"q": F.coalesce(q, zero), "r": F.coalesce(r, zero)}).drop("_fq", "_fr", "_q", "_r", "_s")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _between(a: Column, b: Column) -> Column:
+    """Places on the way from ``a`` (0) to ``b`` (1) at which a whole number lies strictly between them."""
+    first, last = F.floor(F.least(a, b)) + 1, F.ceil(F.greatest(a, b)) - 1
+    places = F.transform(F.sequence(first, last), lambda k: (k - a) / (b - a))
+    return F.when(first <= last, places).otherwise(F.array().cast("array<double>"))
+
+
+def leg_cells(lat: Column, lng: Column, to_lat: Column, to_lng: Column, edge_km: float = EDGE_KM) -> Column:
+    """The cells that a straight leg crosses, each once, in order: ``array<struct<q,r>>``.
+
+    The edges of all cells lie on lines where one of three linear forms of the axial coordinates is a whole number, so
+    between two places on the leg where any of them is, the leg stays inside one cell: that of the middle. Touching a
+    corner is not crossing.
+    """
+    aq, ar = _axial(lat, lng, edge_km)
+    bq, br = _axial(to_lat, to_lng, edge_km)
+    ends = F.struct(aq.alias("aq"), ar.alias("ar"), bq.alias("bq"), br.alias("br"))
+    two = F.lit(2.0)
+
+    def forms(e: Column) -> Column:
+        return F.struct(
+            e["aq"].alias("aq"), e["ar"].alias("ar"), (e["bq"] - e["aq"]).alias("dq"), (e["br"] - e["ar"]).alias("dr"),
+            (e["aq"] - e["ar"]).alias("u0"), (e["bq"] - e["br"]).alias("u1"), (e["aq"] + two * e["ar"]).alias("v0"), (e["bq"] + two * e["br"]).alias("v1"),
+            (two * e["aq"] + e["ar"]).alias("w0"), (two * e["bq"] + e["br"]).alias("w1"),
+        )
+
+    def middles(f: Column) -> Column:
+        ends = F.array(F.lit(0.0), F.lit(1.0))
+        cuts = F.array_sort(F.array_distinct(F.concat(ends, *[_between(f[f"{x}0"], f[f"{x}1"]) for x in "uvw"])))
+        t = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: (F.element_at(c, i) + F.element_at(c, i + 1)) / two)
+        return F.transform(_let(cuts, t), lambda m: F.struct((f["aq"] + f["dq"] * m).alias("q"), (f["ar"] + f["dr"] * m).alias("r")))
+
+    def nearest(p: Column) -> Column:
+        near = F.struct(_nearest(p["q"]).alias("q"), _nearest(p["r"]).alias("r"), _nearest(-p["q"] - p["r"]).alias("s"))
+
+        def whole(n: Column) -> Column:
+            q, r = _rounded(p["q"], p["r"], n["q"], n["r"], n["s"])
+            return F.struct(q.alias("q"), r.alias("r"))
+
+        return _let(near, whole)
+
+    inside = _let(ends, lambda e: _let(forms(e), middles))
+    return F.array_distinct(F.transform(inside, nearest))
+
+
 def cell_id(q: Column, r: Column) -> Column:
     """Text id of a cell."""
     return F.concat(q.cast("string"), F.lit("_"), r.cast("string"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hexrisk.functions.geo import haversine_km
-from hexrisk.functions.grid import EDGE_KM, KM_PER_DEG_LAT, KM_PER_DEG_LNG, with_cell
+from hexrisk.functions.grid import cell_id, leg_cells
 from hexrisk.operators.joins import salted_join
 from hexrisk.operators.spatial import DANGER_TIERS
 
-#: Points of a way at least; long ways have so many that neighbours are at most a cell edge apart.
+#: Points of a way that is drawn; which cells it crosses doesn't depend on them.
 ROUTE_POINTS = 101
 DETOUR_SHARE = 0.15
 
@@ -30,24 +30,27 @@ def route_km(side: Column) -> Column:
     return F.when(side == 0, haversine_km(F.col("lat"), F.col("lng"), F.col("to_lat"), F.col("to_lng"))).otherwise(a + b)
 
 
-def way_steps(side: Column) -> Column:
-    """Steps between the points of a way: an even number, so that a detour's bend is a point."""
+def way_cells(side: Column) -> Column:
+    """The very cells that a way crosses, each once: those of its leg, or of both legs of a detour."""
     mid_lat, mid_lng = detour_point(side)
+    start, middle, end = (F.col("lat"), F.col("lng")), (mid_lat, mid_lng), (F.col("to_lat"), F.col("to_lng"))
+    bent = F.array_distinct(F.concat(leg_cells(*start, *middle), leg_cells(*middle, *end)))
+    return F.when(side == 0, leg_cells(*start, *end)).otherwise(bent)
 
-    def leg(lat: Column, lng: Column) -> Column:  # length on the plane of the cells
-        return F.hypot((mid_lat - lat) * F.lit(KM_PER_DEG_LAT), (mid_lng - lng) * F.lit(KM_PER_DEG_LNG))
 
-    longest = F.greatest(leg(F.col("lat"), F.col("lng")), leg(F.col("to_lat"), F.col("to_lng")))
-    return F.greatest(F.lit(ROUTE_POINTS - 1), (F.ceil(longest / F.lit(EDGE_KM)) * 2).cast("int"))
+def way_points(side: Column) -> Column:
+    """Corners of a way as ``[lng, lat]`` pairs."""
+    mid_lat, mid_lng = detour_point(side)
+    start, end = F.array("lng", "lat"), F.array("to_lng", "to_lat")
+    return F.when(side == 0, F.array(start, end)).otherwise(F.array(start, F.array(mid_lng, mid_lat), end))
 
 
-def straight_route(ways: DataFrame, n: int | None = None, side: str | None = None) -> DataFrame:
-    """Evenly spaced points ``seq``, ``point_lat``, ``point_lng`` from ``lat, lng`` to ``to_lat, to_lng``.
+def straight_route(ways: DataFrame, n: int = ROUTE_POINTS, side: str | None = None) -> DataFrame:
+    """``n`` evenly spaced points ``seq``, ``point_lat``, ``point_lng`` from ``lat, lng`` to ``to_lat, to_lng``.
 
-    ``side`` names a column with 0 for the direct way and 1 or -1 for a detour on either side. Without a number ``n`` of
-    points, each way has as many as its length needs.
+    ``side`` names a column with 0 for the direct way and 1 or -1 for a detour on either side.
     """
-    steps = F.lit(n - 1) if n else way_steps(F.col(side) if side else F.lit(0))
+    steps = F.lit(n - 1)
     t = F.col("seq") / F.col("_steps").cast("double")
     points = ways.withColumn("_steps", steps).withColumn("seq", F.explode(F.sequence(F.lit(0), F.col("_steps"))))
     lat, lng = F.col("lat"), F.col("lng")
@@ -80,22 +83,35 @@ def sample_route(points: DataFrame, about: int, route: str = "route_id") -> Data
     return salted_join(points, lengths, [route]).filter(F.col("seq") % step == 0).drop("_n")
 
 
-def cell_exposure(points: DataFrame, danger: DataFrame, route: list[str]) -> DataFrame:
-    """Distinct cells and dangerous cells per route from points already binned to ``q``, ``r``."""
-    cells = points.select(*route, "q", "r").distinct()
-    hit = salted_join(cells, danger.withColumn("_hit", F.lit(1)), ["q", "r"], "left")
-    return hit.groupBy(*route).agg(
-        F.count("_hit").alias("danger_cells"), F.count(F.lit(1)).alias("total_cells")
-    )
+def cell_exposure(ways: DataFrame, danger: DataFrame, way: list[str]) -> DataFrame:
+    """Ways (with their ``cells``) with the count of their cells, of the dangerous ones, and the ids of those.
+
+    Only cells leave the row they were found in, and only dangerous ones come back.
+    """
+    cells = ways.select(*way, F.explode("cells").alias("c")).select(*way, "c.q", "c.r")
+    hit = salted_join(cells, danger.select("q", "r"), ["q", "r"])
+    ids = F.array_sort(F.collect_list(cell_id(F.col("q"), F.col("r"))))
+    found = hit.groupBy(*way).agg(F.count(F.lit(1)).alias("danger_cells"), ids.alias("danger_ids"))
+    none = F.array().cast("array<string>")
+    counted = ways.withColumn("total_cells", F.size("cells").cast("bigint")).drop("cells").join(found, way, "left")
+    return counted.withColumns({"danger_cells": F.coalesce("danger_cells", F.lit(0).cast("bigint")), "danger_ids": F.coalesce("danger_ids", none)})
 
 
 def route_exposure(points: DataFrame, scores: DataFrame, route: str = "route_id", about: int | None = None) -> DataFrame:
-    """How many distinct cells each route passes and how many of them are red or orange.
+    """How many distinct cells each supplied route crosses and how many of them are red or orange.
 
-    All points count, unless ``about`` asks for routes thinned to about so many points.
+    A route is a line through its points in order of ``seq``; the cells between two points count too. ``about`` asks for
+    routes thinned to about so many points first.
     """
     kept = sample_route(points, about, route) if about else points
-    return cell_exposure(with_cell(kept), danger_cells(scores), [route])
+    ahead = Window.partitionBy(route).orderBy("seq")
+    start = [F.col("lat"), F.col("lng")]
+    legs = kept.withColumns({"to_lat": F.lead("lat").over(ahead), "to_lng": F.lead("lng").over(ahead), "_n": F.count(F.lit(1)).over(Window.partitionBy(route))})
+    # A route of one point is in that point's cell.
+    legs = legs.filter("to_lat is not null or _n = 1").withColumns({"to_lat": F.coalesce("to_lat", "lat"), "to_lng": F.coalesce("to_lng", "lng")})
+    cells = legs.select(route, F.explode(leg_cells(*start, F.col("to_lat"), F.col("to_lng"))).alias("c")).select(route, "c.q", "c.r").distinct()
+    hit = salted_join(cells, danger_cells(scores).withColumn("_hit", F.lit(1)), ["q", "r"], "left")
+    return hit.groupBy(route).agg(F.count("_hit").alias("danger_cells"), F.count(F.lit(1)).alias("total_cells"))
 
 
 def best_route(exposed: DataFrame, key: list[str], order: str = "rank") -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hexrisk.functions.grid import with_axes, with_cell
+from hexrisk.functions.geo import haversine_km
+from hexrisk.functions.grid import with_axes
 from hexrisk.functions.numbers import half_up, stored_mean
 from hexrisk.functions.risk import ALL_TIERS, cluster_text, route_text, strategic_tier, tier_description
 from hexrisk.operators.clusters import cluster_center, cluster_summary, seed_cluster, tier_clusters
 from hexrisk.operators.joins import salted_join
-from hexrisk.operators.routes import best_route, cell_exposure, danger_cells, route_km, straight_route
+from hexrisk.operators.routes import best_route, cell_exposure, danger_cells, route_km, way_cells, way_points
 from hexrisk.operators.spatial import cities, evac_candidates, nearest_facility, place_table, within_radius
 from hexrisk.operators.summaries import latest_k
 from hexrisk.plans.scoring import backtest_days
@@ -18,8 +19,12 @@ from hexrisk.sources.tables import enrich_scores, with_current_tier
 
 NEAR_RADIUS_KM, AREA_RADIUS_KM = 50.0, 80.0
 TOP_TRIGGERS, RECENT_EVENTS = 5, 4
+# Answers where there is nothing to report, and the name of a goal that the asker brings.
 NO_CELLS = "No monitored hexes in this area."
 NO_SCORES = "No risk scores available yet for this area. Run the scoring engine first."
+NO_DESTINATION = "No safe destination found"
+NO_WAY = "Unable to find a safe evacuation destination. All nearby cities are in danger zones."
+CUSTOM_GOAL = "Custom destination"
 STATE_COLUMNS = (
     "cell",
     "strategic_score",
@@ -136,27 +141,40 @@ def describe_clusters(clustered: DataFrame, key: str) -> DataFrame:
 def evac_plan(
     origins: DataFrame, facilities: DataFrame, scores: DataFrame, speed_km_h: float | None = None
 ) -> DataFrame:
-    """Per origin the destination and way with the fewest dangerous cells.
+    """Per origin the destination and way with the fewest dangerous cells, the ids of these and the corners of the way.
 
     The five nearest safe places are tried on straight ways; if the best way still crosses danger, a detour on either
-    side is tried and taken only if it crosses less. Without a road service there is no travel time, so ``duration_min`` is 0
-    unless a speed is given. Positions that several origins share are planned once.
+    side is tried and taken only if it crosses less. An origin with ``goal_lat`` and ``goal_lng`` goes there, whatever lies
+    around. Without a road service there is no travel time, so ``duration_min`` is 0 unless a speed is given. Positions that
+    several origins share are planned once.
     """
     axes = with_axes(scores)
     danger = cut_lineage(danger_cells(axes))
     places = place_table(cities(scores.sparkSession), facilities)
-    ways = cut_lineage(evac_candidates(origins, places, axes).withColumn("variant", F.lit(0)))
-    way = ["lat", "lng", "rank", "variant"]
-    best = cut_lineage(best_route(exposed_ways(ways, danger, way), ["lat", "lng"]))
-    detours = best.filter("danger_cells > 0").drop("danger_cells", "total_cells")
+    goal = ["goal_lat", "goal_lng"]
+    if "goal_lat" not in origins.columns:
+        origins = origins.withColumns({c: F.lit(None).cast("double") for c in goal})
+    own = origins.filter("goal_lat is not null and goal_lng is not null").select("lat", "lng", *goal).distinct()
+    free = evac_candidates(origins.filter("goal_lat is null or goal_lng is null"), places, axes)
+    free = free.withColumns({c: F.lit(None).cast("double") for c in goal})
+    custom = own.select(
+        "lat", "lng", F.lit(1).alias("rank"), half_up(haversine_km(F.col("lat"), F.col("lng"), *map(F.col, goal)), 6).alias("distance_km"),
+        F.col("goal_lat").alias("to_lat"), F.col("goal_lng").alias("to_lng"), F.lit(CUSTOM_GOAL).alias("name"), F.lit("").alias("country"), F.lit("custom").alias("kind"), *goal,
+    )
+    # A position may ask for several goals of its own and for free choice: each is a question.
+    question = F.concat_ws(",", *[F.col(c).cast("string") for c in goal])
+    ways = cut_lineage(free.unionByName(custom).withColumns({"variant": F.lit(0), "question": question}).drop(*goal))
+    way, spot = ["lat", "lng", "question", "rank", "variant"], ["lat", "lng", "question"]
+    best = cut_lineage(best_route(exposed_ways(ways, danger, way), spot))
+    detours = best.filter("danger_cells > 0").drop("danger_cells", "total_cells", "danger_ids")
     sides = detours.withColumn("variant", F.explode(F.array(F.lit(1), F.lit(-1))))
     tried = exposed_ways(sides, danger, way)
     # Direct way first, then the two sides: an equal count never replaces an earlier way.
     every = best.unionByName(tried).withColumn("_order", F.pmod(F.col("variant"), F.lit(3)))
-    chosen = best_route(every, ["lat", "lng"], "_order").drop("_order")
+    chosen = best_route(every, spot, "_order").drop("_order")
     km = half_up(route_km(F.col("variant")), 1)
     minutes = F.floor(km / F.lit(speed_km_h) * 60.0) if speed_km_h else F.lit(0).cast("bigint")
-    timed = cut_lineage(chosen.withColumns({"distance_km": km, "duration_min": minutes}))
+    timed = cut_lineage(chosen.withColumns({"distance_km": km, "duration_min": minutes, "route_points": way_points(F.col("variant"))}))
     goals = timed.select(F.col("to_lat").alias("lat"), F.col("to_lng").alias("lng")).distinct()
     shelter = nearest_facility(goals, facilities.select("name", "type", "lat", "lng", "notes"), axes)
     near = shelter.select(
@@ -175,19 +193,17 @@ def evac_plan(
         F.col("nearest_facility"),
     )
     named = planned.withColumn("narrative", text).withColumnRenamed("name", "destination").drop("kind")
-    joined = salted_join(origins, named, ["lat", "lng"], "left")
-    none = "Unable to find a safe evacuation destination. All nearby cities are in danger zones."
+    asked = origins.withColumn("question", F.when(F.col("goal_lat").isNotNull() & F.col("goal_lng").isNotNull(), question).otherwise(F.lit("")))
+    joined = salted_join(asked, named, spot, "left").drop("question")
     return joined.withColumns(
         {
-            "destination": F.coalesce("destination", F.lit("No safe destination found")),
+            "destination": F.coalesce("destination", F.lit(NO_DESTINATION)),
             "distance_km": F.coalesce("distance_km", F.lit(0.0)),
-            "narrative": F.coalesce("narrative", F.lit(none)),
+            "narrative": F.coalesce("narrative", F.lit(NO_WAY)),
         }
     )
 
 
 def exposed_ways(ways: DataFrame, danger: DataFrame, way: list[str]) -> DataFrame:
-    """Ways with the count of their cells and dangerous cells."""
-    points = straight_route(ways.select(*way, "to_lat", "to_lng"), side="variant")
-    binned = with_cell(points.select(*way, "point_lat", "point_lng"), "point_lat", "point_lng")
-    return ways.join(cell_exposure(binned, danger, way), way)
+    """Ways with the count of the cells they cross, of the dangerous ones among them, and their ids."""
+    return cell_exposure(ways.withColumn("cells", way_cells(F.col("variant"))), danger, way)

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from hexrisk.functions.grid import NEIGHBOR_OFFSETS, hex_cell
+from hexrisk.functions.grid import NEIGHBOR_OFFSETS, hex_cell, leg_cells
 from hexrisk.operators import clusters, routes, spatial
 from hexrisk.operators.joins import salted_join
 from hexrisk.plans import serving
@@ -157,14 +157,47 @@ def test_long_ways_pass_every_cell(spark):
     passed = routes.danger_cells(scores)
     out = {r["rank"]: r.danger_cells for r in serving.exposed_ways(ways, passed, ["lat", "lng", "rank", "variant"]).collect()}
     assert out[1] == passed.count()
-    n = routes.straight_route(ways, side="variant").groupBy("rank").count().orderBy("rank").collect()
-    assert n[0]["count"] > 250 and n[1]["count"] == 101
+
+
+def test_a_leg_crosses_exactly_the_cells_it_passes_through(spark):
+    rnd = random.Random(6)
+    legs = []
+    for i in range(60):
+        lat, lng, far = rnd.uniform(-60, 60), rnd.uniform(-170, 170), rnd.choice([0.0, 0.02, 0.5, 3.0])
+        legs.append((i, lat, lng, lat + rnd.uniform(-far, far), lng + rnd.uniform(-far, far)))
+    legs += [(60, 10.0, 10.0, 10.0, 10.0), (61, 0.0, 0.0, 0.0, 2.0), (62, 0.0, 0.0, 2.0, 0.0)]
+    df = spark.createDataFrame(legs, "i int, lat double, lng double, to_lat double, to_lng double")
+    df = df.withColumn("cells", leg_cells(F.col("lat"), F.col("lng"), F.col("to_lat"), F.col("to_lng")))
+    fine = df.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(4000)))).withColumn("t", F.col("t") / 4000.0)
+    place = hex_cell(F.col("lat") + (F.col("to_lat") - F.col("lat")) * F.col("t"), F.col("lng") + (F.col("to_lng") - F.col("lng")) * F.col("t"))
+    seen = fine.groupBy("i").agg(F.collect_set(place).alias("seen"), F.first("cells").alias("cells"))
+    out = {r.i: r for r in seen.collect()}
+    for r in out.values():
+        cells, found = {tuple(c) for c in r.cells}, {tuple(c) for c in r.seen}
+        # The leg along an axis may lie on edges, which belong to either side.
+        assert r.i > 60 or (found <= cells and len(cells) - len(found) <= 2), r.i
+        # Cells come in order, each next to the one before.
+        assert all((b[0] - a[0], b[1] - a[1]) in NEIGHBOR_OFFSETS for a, b in zip(r.cells, r.cells[1:]))
+    assert len(out[60].cells) == 1 and len(out[62].cells) > 30
+
+
+def test_an_origin_may_bring_its_goal(spark):
+    origins = spark.createDataFrame([(1, 20.0, 20.0, 20.0, 20.8), (2, 20.0, 20.0, None, None), (3, 20.0, 20.0, 20.0, 20.6)], "origin_id long, lat double, lng double, goal_lat double, goal_lng double")
+    places = facility_frame(spark, [("Goal", "hospital", 20.0, 21.0, "major", "far off")])
+    red = state(spark, {(20.0, 20.5): "red", (20.0, 20.8): "red"})
+    rows = {r.origin_id: r for r in serving.evac_plan(origins, places, red).collect()}
+    # A goal in danger stays the goal; its own cell is counted on every way.
+    assert (rows[1].destination, rows[1].danger_cells, rows[1].variant) == ("Custom destination", 1, 1)
+    assert rows[1].danger_ids == [r.cell for r in red.collect() if r.cell in rows[1].danger_ids] and len(rows[1].route_points) == 3
+    assert rows[2].destination == "Goal" and rows[2].danger_cells == 0 and rows[2].danger_ids == []
+    assert rows[3].destination == "Custom destination" and rows[3].route_points[-1] == [20.6, 20.0]
 
 
 def test_supplied_routes_are_thinned_on_request_only(spark):
-    points = spark.createDataFrame([(1, i, 33.0, 35.0 + i * 0.05) for i in range(250)], "route_id long, seq int, lat double, lng double")
-    scores = state(spark, {(33.0, 35.05): "red"})
-    assert routes.route_exposure(points, scores).first().danger_cells == 1
+    # A zigzag: thinned to every second point it is a straight line, which misses the corners.
+    points = spark.createDataFrame([(1, i, 33.0 + 0.3 * (i % 2), 35.0 + i * 0.05) for i in range(250)], "route_id long, seq int, lat double, lng double")
+    scores = state(spark, {(33.3, 35.05): "red", (33.15, 35.075): "orange"})
+    assert routes.route_exposure(points, scores).first().danger_cells == 2
     assert routes.route_exposure(points, scores, about=100).first().danger_cells == 0
 
 
