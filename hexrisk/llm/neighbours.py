@@ -5,10 +5,11 @@ below a third, until the sets are small. Every vector is posted to its nearest c
 distance is within a ratio of the nearest one, if the vector lies close to the boundary between the two: on the line from
 the nearest centroid to the other it falls near the middle. A query finds its nearest centroids by best-first search in a
 graph over the centroids, keeps all lists whose distance is within a ratio of the nearest one, and compares itself with
-all vectors posted there, in double precision. That ratio has no set value: the neighbours of at most ``SAMPLE`` queries
+all vectors posted there, in double precision. Neighbouring lists are worked on together, so a query gets one short list
+of the best from each group of them. That ratio has no set value: the neighbours of at most ``SAMPLE`` queries
 are found by brute force, and the smallest ratio is taken whose lists hold the share ``RECALL`` of them.
 
-The index is fitted on at most ``FIT_ROWS`` vectors, those with the smallest hash, and has at most ``MAX_LISTS`` lists;
+The index is fitted on at most ``FIT_ROWS`` vectors (and ``FIT_NUMBERS`` numbers), those with the smallest hash, and has at most ``MAX_LISTS`` lists;
 all vectors are posted. Lists have no cap: large ones, and those that many queries select, are dealt out to several tasks.
 Equal vectors are posted once, with the smallest ids they have, as many as a result can name.
 
@@ -39,7 +40,11 @@ BOUNDARY = 0.03
 #: Share of the neighbours that the lists read should hold, and queries that the ratio is taken from.
 RECALL, SAMPLE = 0.95, 256
 DEGREE, BEAM = 24, 128
-PART = 4096
+NO_ID = -(1 << 63)
+#: Lists are dealt out in at least so many groups of neighbouring ones, and groups in parts of at most so many numbers.
+GROUPS, PART_NUMBERS = 16, 1 << 21
+#: Numbers that the index is fitted on at most, beside the limit of rows.
+FIT_NUMBERS = 1 << 24
 
 
 def usable(v: Column) -> Column:
@@ -62,19 +67,18 @@ def halves(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
 
 
 def balanced_centroids(x: np.ndarray, lists: int, seed: int = 1) -> np.ndarray:
-    """Means of about ``lists`` sets of similar size."""
-    rng, done, open_sets = np.random.default_rng(seed), [], [(-len(x), 0, x)]
-    number = 0
+    """Means of about ``lists`` sets of similar size, in the order of the tree of halves, so that neighbours stand together."""
+    rng, done, open_sets = np.random.default_rng(seed), [], [(-len(x), "", x)]
     while open_sets and len(done) + len(open_sets) < lists:
-        _, _, largest = heapq.heappop(open_sets)
+        _, path, largest = heapq.heappop(open_sets)
         if len(largest) < 4:
-            done.append(largest)
+            done.append((path, largest))
             continue
         side = halves(largest, rng)
-        for part in (largest[~side], largest[side]):
-            number += 1
-            heapq.heappush(open_sets, (-len(part), number, part))
-    return np.stack([s.mean(0) for s in [*done, *(s for _, _, s in open_sets)]]).astype(np.float64)
+        for step, part in (("0", largest[~side]), ("1", largest[side])):
+            heapq.heappush(open_sets, (-len(part), path + step, part))
+    sets = sorted([*done, *((path, s) for _, path, s in open_sets)], key=lambda s: s[0])
+    return np.stack([s.mean(0) for _, s in sets]).astype(np.float64)
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -123,8 +127,8 @@ class Index:
 
 def fit_index(vectors: DataFrame, n: int, rows: int = FIT_ROWS, list_rows: int = LIST_ROWS) -> Index:
     """Index from at most ``rows`` of ``n`` distinct vectors (column ``v``)."""
-    sample = vectors.orderBy(F.xxhash64("v"), "v").limit(rows).select("v").collect()
-    x = np.array([r[0] for r in sample], np.float64)
+    width = len(vectors.select("v").first()["v"])
+    x = matrix(vectors.orderBy(F.xxhash64("v"), "v").limit(max(1, min(rows, FIT_NUMBERS // width))).select("v").toArrow().column("v").combine_chunks())
     return Index.of(balanced_centroids(x, max(1, min(MAX_LISTS, n // list_rows))))
 
 
@@ -192,15 +196,19 @@ def calibrated(queries: DataFrame, postings: DataFrame, index: Index, k: int) ->
 
 
 def selected(queries: DataFrame, index: Index, sizes: np.ndarray, k: int, ratio: float) -> DataFrame:
-    """Lists that each query (columns ``query``, ``v``) reads: all within the ratio, and enough of them to hold ``k`` vectors."""
+    """Lists that each query (columns ``query``, ``v``) reads: all within the ratio, and enough of them to hold ``k`` vectors.
+
+    A row for each group of lists, with those that are read in it (``lists``).
+    """
+    per_group = lists_per_group(len(index.centroids))
 
     def select(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, lists = [], []
+            rows, groups, lists = [], [], []
 
             def taken() -> pa.RecordBatch:
                 some = batch.take(pa.array(rows, pa.int64()))
-                return pa.RecordBatch.from_arrays([*some.columns, pa.array(lists, pa.int32())], [*batch.schema.names, "list"])
+                return pa.RecordBatch.from_arrays([*some.columns, pa.array(groups, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], [*batch.schema.names, "group", "lists"])
 
             for i, q in enumerate(matrix(batch.column("v"))):
                 order, d = index.nearest(q, ratio=ratio)
@@ -209,39 +217,60 @@ def selected(queries: DataFrame, index: Index, sizes: np.ndarray, k: int, ratio:
                 if enough > len(order):  # the lists found hold too little: take them all in order
                     order = np.argsort(squared(q[None], index.centroids)[0], kind="stable")
                     enough = int(np.searchsorted(np.cumsum(sizes[order]), k)) + 1
-                chosen = order[: max(n, enough)]
-                rows += [i] * len(chosen)
-                lists += chosen.tolist()
+                chosen = np.sort(order[: max(n, enough)])
+                for group in np.unique(chosen // per_group).tolist():
+                    rows.append(i)
+                    groups.append(group)
+                    lists.append(chosen[chosen // per_group == group].tolist())
                 if len(rows) >= 10_000:
                     yield taken()
-                    rows, lists = [], []
+                    rows, groups, lists = [], [], []
             yield taken()
 
-    return queries.mapInArrow(select, T.StructType([*queries.schema.fields, T.StructField("list", T.IntegerType())]))
+    return queries.mapInArrow(select, T.StructType([*queries.schema.fields, T.StructField("group", T.IntegerType()), T.StructField("lists", T.ArrayType(T.IntegerType()))]))
+
+
+def lists_per_group(lists: int) -> int:
+    return max(1, lists // GROUPS)
+
+
+def best_of(x: np.ndarray, least: np.ndarray, q: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ``k`` nearest rows of ``x`` that are allowed, nearest first and of equally near ones the smaller ``least``; and distances.
+
+    The expanded formula leaves out what is too far beyond the error it can make; the rest is compared exactly.
+    """
+    at = np.flatnonzero(allowed)
+    rough = squared(q[None], x[at])[0]
+    if len(at) > k:
+        bound = 8 * (x.shape[1] + 8) * np.finfo(np.float64).eps * ((q**2).sum() + (x[at] ** 2).sum(1).max())
+        at = at[~(rough > np.partition(rough, k - 1)[k - 1] + bound)]
+    exact = np.sqrt(((x[at] - q) ** 2).sum(1))
+    order = np.lexsort((least[at], exact))[:k]
+    return at[order], exact[order]
 
 
 def compared(postings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Nearest ``k`` postings of each query in each cell (list, part of it, part of the queries), with exact distances."""
+    """Nearest ``k`` postings of each query in each cell (part of a group of lists, part of the queries), with exact distances."""
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        found = []
         if len(left) and len(right):
-            x, numbers = np.stack(left["v"].to_numpy()).astype(np.float64), left["number"].to_numpy()
-            for begin in range(0, len(right), 256):
-                some = right.iloc[begin : begin + 256]
-                q = np.stack(some["v"].to_numpy()).astype(np.float64)
-                rough = squared(q, x)
-                n = min(4 * k, len(x))
-                near = np.argpartition(rough, n - 1, axis=1)[:, :n]
-                for i, query in enumerate(some["query"]):
-                    exact = np.sqrt(((x[near[i]] - q[i]) ** 2).sum(1))
-                    best = np.argsort(exact, kind="stable")
-                    best = best[exact[best] <= exact[best[min(k, n) - 1]]]
-                    out.append(pd.DataFrame({"query": query, "number": numbers[near[i][best]], "score": exact[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query": pd.Series(dtype="int64"), "number": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-
-    cell = ["list", "part", "query_part"]
-    return postings.groupBy(*cell).cogroup(queries.groupBy(*cell)).applyInPandas(compare, "query long, number long, score double")
+            # A vector stands in several lists of the group; its rows are one.
+            number, where = np.unique(left["number"].to_numpy(), return_index=True)
+            x, least = np.stack(left["v"].to_numpy()[where]).astype(np.float64), left["least"].to_numpy()[where]
+            lists, column = np.unique(left["list"].to_numpy(), return_inverse=True)
+            row = np.searchsorted(number, left["number"].to_numpy())
+            for query, v, read in zip(right["query"], right["v"], right["lists"], strict=True):
+                allowed = np.zeros(len(number), bool)
+                allowed[row[np.isin(lists, read)[column]]] = True
+                if allowed.any():
+                    at, score = best_of(x, least, np.asarray(v, np.float64), allowed, k)
+                    found.append(pd.DataFrame({"query": query, "number": number[at], "score": score, "least": least[at]}))
+        empty = {"query": pd.Series(dtype="int64"), "number": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), "least": pd.Series(dtype="int64")}
+        return pd.concat(found) if found else pd.DataFrame(empty)
+
+    cell = ["group", "part", "query_part"]
+    return postings.groupBy(*cell).cogroup(queries.groupBy(*cell)).applyInPandas(compare, "query long, number long, score double, least long")
 
 
 def nearest(embeddings: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -258,19 +287,25 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 10, vec_id: str =
     groups = stored(groups.withColumn("number", F.monotonically_increasing_id()), "groups")
     n = groups.count()
     index = fit_index(groups, n)
-    postings = stored(posted(groups.select("number", "v"), index), "postings")
+    # The smallest id of each vector settles ties; a missing one comes first, as in the final order.
+    least = F.coalesce(F.array_min(F.transform("ids", lambda i: F.coalesce(i["vec_id"].cast("long"), F.lit(NO_ID)))), F.lit(NO_ID))
+    postings = stored(posted(groups.select("number", "v", least.alias("least")), index), "postings")
     counts = {r["list"]: (r["n"], r["first"]) for r in postings.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.col("first").cast("long")).alias("first")).collect()}
     sizes = np.array([counts.get(i, (0, 0))[1] for i in range(len(index.centroids))])  # MAX_LISTS numbers at most
     asking = rows.filter("is_query").select(F.col("row").alias("query"), "v")
     queries = stored(selected(asking, index, sizes, k + 1, calibrated(asking, postings, index, k)), "queries")
 
-    size_of = postings.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    asked = queries.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("query_parts"))
-    cells = F.broadcast(size_of.join(asked, "list"))  # a row per list, MAX_LISTS at most
-    left = postings.join(cells, "list").withColumn("part", F.pmod(F.hash("number"), "parts")).withColumn("query_part", F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)))
-    right = queries.join(cells, "list").withColumn("query_part", F.pmod(F.hash("query"), "query_parts")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    found = compared(left.select("list", "part", "query_part", "number", "v"), right.select("list", "part", "query_part", "query", "v"), k + 1)
-    found = found.distinct().withColumn("place", F.rank().over(Window.partitionBy("query").orderBy("score"))).filter(F.col("place") <= k + 1)
+    grouped = postings.withColumn("group", F.floor(F.col("list") / lists_per_group(len(index.centroids))).cast("int"))
+    part = max(1, PART_NUMBERS // length["d"])
+    size_of = grouped.groupBy("group").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    asked = queries.groupBy("group").agg(F.ceil(F.count("*") / part).cast("int").alias("query_parts"))
+    cells = F.broadcast(size_of.join(asked, "group"))  # a row per group, MAX_LISTS at most
+    left = grouped.join(cells, "group").withColumn("part", F.pmod(F.hash("number"), "parts")).withColumn("query_part", F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)))
+    right = queries.join(cells, "group").withColumn("query_part", F.pmod(F.hash("query"), "query_parts")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    found = compared(left.select("group", "part", "query_part", "list", "number", "v", "least"), right.select("group", "part", "query_part", "query", "v", "lists"), k + 1)
+    # A vector found in several groups is one; equal distances are settled by the smallest id before the ids are looked up.
+    nearest_first = Window.partitionBy("query").orderBy("score", "least", "number")
+    found = found.distinct().withColumn("place", F.row_number().over(nearest_first)).filter(F.col("place") <= k + 1)
     named = found.join(groups.select("number", F.explode("ids").alias("id")), "number").filter(F.col("id.row") != F.col("query"))
     best = Window.partitionBy("query").orderBy("score", "id.vec_id", "id.row")
     named = named.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

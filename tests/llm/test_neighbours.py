@@ -80,3 +80,27 @@ def test_odd_vectors_and_few_candidates(spark):
     assert sum(r.query_id == 2 for r in out) == 8
     assert neighbours.nearest(rows.limit(0), F.lit(True)).count() == 0
     assert neighbours.nearest(rows.filter("vec_id = 0"), F.lit(True)).count() == 0
+
+
+def test_equal_distances_go_to_the_smaller_ids(spark):
+    # All unit vectors are equally far from each other; 500 of them, so ties reach far beyond the ten asked for.
+    x = np.eye(500, dtype=np.float32)
+    ids = np.random.default_rng(5).permutation(500)
+    rows = table(spark, [(int(i), v.tolist(), "") for i, v in zip(ids, x, strict=True)]).repartition(4)
+    out = neighbours.nearest(rows, F.col("vec_id") % 25 == 0).toPandas()
+    for q, found in out.groupby("query_id"):
+        assert found.sort_values("rank").vec_id.tolist() == [i for i in range(12) if i != q][:10]
+    assert out.query_id.nunique() == 20
+
+
+def test_ties_and_huge_norms_among_binary_vectors():
+    g = np.random.default_rng(6)
+    for scale, shift in ((1.0, 0.0), (1e3, 1e9)):
+        x = scale * g.integers(0, 2, (800, 12)).astype(np.float64) + shift
+        least = g.permutation(800)
+        for q in x[:40]:
+            allowed = g.random(800) < 0.7
+            at, score = neighbours.best_of(x, least, q, allowed, 11)
+            d = np.where(allowed, np.sqrt(((x - q) ** 2).sum(1)), np.inf)
+            want = np.lexsort((least, d))[:11]
+            assert at.tolist() == want.tolist() and score.tolist() == d[want].tolist()
