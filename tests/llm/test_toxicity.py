@@ -94,10 +94,17 @@ def test_an_id_in_very_many_rows_is_one_text(spark, monkeypatch):
     labels = spark.createDataFrame([(first, 0)] + [(i, 1) for i in rest], "doc_id long, toxic int")
     assert toxicity.training_sample(docs, labels).count() == len(ids)
     monkeypatch.setattr(toxicity, "train", lambda texts, toxic, weight: (texts, toxic.tolist()))
-    texts, toxic = toxicity.learned(docs, labels)
+    sample = [r.asDict() for r in toxicity.training_sample(docs, labels).collect()]
+    texts, toxic = toxicity.fitted(sample)
     assert texts[0].startswith("text ") and texts[1:] == [f"own {i}" for i in rest] and toxic == [0] + [1] * len(rest)
 
 
+def test_the_sample_is_bounded_in_characters(monkeypatch):
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic, weight: (len(texts), int(toxic.sum())))
+    sample = [{"doc_id": i, "text": "x" * 100, "toxic": i % 2, "weight": 1.0} for i in range(100)]
+    assert toxicity.fitted(sample) == (100, 50) and toxicity.fitted(sample, 1000) == (20, 10)
+
+
 def test_labels_of_one_kind_or_none(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     for labels, want in (([], 0.0), ([(1, 0), (3, 0)], 0.0), ([(i, 1) for i in range(30)], 1.0)):
