@@ -402,7 +402,7 @@ def cluster_numbers(src: str, key: str) -> str:
     coalesce(any_value(trig), '') as triggers, any_value(trig3) as first_triggers
     from {src} as c left join (select {key}, string_agg(t, ';' order by t) as trig, string_agg(t, '; ' order by t) filter (i <= 3) as trig3
       from (select {key}, t, row_number() over (partition by {key} order by t) as i from
-        (select distinct {key}, unnest({SIGNALS}) as t from {src}) as u) as v where i <= 8 group by {key}) as g using ({key})
+        (select distinct {key}, unnest({SIGNALS}) as t from {src}) as u) as v group by {key}) as g using ({key})
     group by {key}"""
 
 
@@ -566,6 +566,8 @@ def corner(dx: float, dy: float) -> str:
 
 
 oracle("p8_cell_boundary", f"select {ID}, concat_ws(';', {', '.join(corner(*c) for c in (*CORNERS, CORNERS[0]))}) as ring from ocells")
+oracle("s11_geojson_cells", f"""select cell, 'Feature' as type, 'Polygon' as shape, strategic_tier, cast(7 as int) as corners, concat_ws(';', {', '.join(corner(*c) for c in (*CORNERS, CORNERS[0]))}) as ring from dayscores""")
+oracle("s11_geojson_points", f"select name, 'Feature' as type, 'Point' as shape, kind, {hu('lng')} as lng, {hu('lat')} as lat from places")
 oracle("p9_cell_neighbors", f"select {ID}, (q + dq) || '_' || (r + dr) as neighbor from ocells, {OFFSETS}")
 HOSTILITY = f"least(greatest(-tone, {d(0.0)}) / {d(20.0)}, {d(1.0)})"
 oracle("p10_hostility", f"select id, {hu('tone')} as tone, {hu(HOSTILITY)} as hostility from news")
@@ -592,8 +594,14 @@ _stops = risk.OPACITY_STOPS
 _opacity = f"case when strategic_score < {d(0.54)} then {d(0.0)} " + " ".join(
     f"when strategic_score < {d(x1)} then {d(y0)} + (strategic_score - {d(x0)}) * {d((y1 - y0) / (x1 - x0))}" for (x0, y0), (x1, y1) in zip(_stops, _stops[1:])
 ) + f" else {d(_stops[-1][1])} end"
+_channel = lambda c, i: int(c[2 * i + 1 : 2 * i + 3], 16)
+_colors = [
+    f"when strategic_score < {d(x1)} then '#' || " + " || ".join(
+        f"printf('%02x', cast(floor({d(float(_channel(c0, i)))} + (strategic_score - {d(x0)}) / {d(x1 - x0)} * {d(float(_channel(c1, i) - _channel(c0, i)))} + {d(0.5)}) as int))" for i in range(3)
+    ) for (x0, c0), (x1, c1) in zip(risk.COLOR_STOPS, risk.COLOR_STOPS[1:])
+]
 oracle("p24_heat_style", f"""select cell, event_date, {hu(_opacity)} as opacity,
-  {ladder('strategic_score', [(c, b) for b, c in reversed(risk.COLOR_STOPS)], "'rgba(0,0,0,0)'")} as color from history""")
+  case when strategic_score < {d(0.54)} then 'rgba(0,0,0,0)' {" ".join(_colors)} else '{risk.COLOR_STOPS[-1][1]}' end as color from history""")
 oracle("p25_score_record", "select cell, strategic_score, strategic_tier, tactical_score, cast(null as varchar) as alert_text, event_date as scored_on from state")
 
 oracle("a1_agg_conflict_day", f"select * exclude (q, r), {ID} from cday")
@@ -769,6 +777,7 @@ oracle("q2_publish", "select count(*) as rows, cast(0 as bigint) as differing, t
 oracle("m8_linear_score", "select cell, event_date, strategic_score from lscores")
 
 oracle("t1_stream_cell_day", f"select event_date, event_count, dangerous_count, total_fatalities, max_fatalities, {ID} from cday")
+oracle("t1_stream_versions", f"select event_date, event_count, dangerous_count, total_fatalities, max_fatalities, {ID} from cday")
 oracle("t2_stream_score", """select h.cell, strategic_score, strategic_tier, tactical_score, tactical_tier from history as h
   join (select q, r, max(event_date) as newest from crows group by q, r) as c on c.q = h.q and c.r = h.r and c.newest = h.event_date""")
 # Newest day that a cell or one of its neighbours reported, and the features of that day without the feeds a conflict stream lacks.
@@ -814,6 +823,7 @@ oracle("q3_run_scoring", f"select {STATE}, {alert_text('tactical_triggers')}, ev
 oracle("q4_backtest_days", f"""select {STATE}, tactical_triggers, event_date, cast(event_date as varchar) as scored_at from history
   where event_date between date '2024-01-05' and date '2024-01-25'""")
 oracle("q5_latest_state", f"select {STATE}, cast(event_date as varchar) as scored_at from state")
+oracle("q5_stored_state", f"select {STATE}, cast(event_date as varchar) as scored_at from state")
 oracle("q6_cell_detail", f"""select cell, strategic_score, strategic_tier, tactical_score, news_date, {hu('news_hostility')} as news_hostility, thermal_date,
   {hu('thermal_max_frp')} as thermal_max_frp, recent from detail""")
 oracle("q7_cells_near", f"""select name, cell, {hu('km * 1000', 3)} as distance_m, {hu('strategic_score', 3)} as strategic_score, strategic_tier, tactical_tier,

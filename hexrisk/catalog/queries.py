@@ -209,6 +209,30 @@ def s11_to_geojson_features(spark, root):
     return tables.to_geojson_features(cells, "cell")
 
 
+def _parsed(features, properties):
+    """What a reader of GeoJSON gets."""
+    schema = f"type string, properties struct<{properties}>, geometry struct<type:string,coordinates:string>"
+    return features.select(F.from_json("value", schema).alias("f")).select("f.properties.*", "f.type", F.col("f.geometry.type").alias("shape"), F.col("f.geometry.coordinates").alias("c"))
+
+
+@query
+def s11_geojson_cells(spark, root):
+    """The cell layer read back: outlines in the format's order of coordinates."""
+    parsed = _parsed(s11_to_geojson_features(spark, root), "cell:string,strategic_tier:string")
+    ring = F.from_json("c", "array<array<array<double>>>")[0]
+    text = F.array_join(F.transform(ring, lambda p: _center_text(p[1], p[0])), ";")
+    return parsed.select("cell", "type", "shape", "strategic_tier", F.size(ring).alias("corners"), text.alias("ring"))
+
+
+@query
+def s11_geojson_points(spark, root):
+    """The layer of places read back."""
+    places = spatial.place_table(spatial.cities(spark), derived.facilities(spark, root)).select("name", "lat", "lng", "kind")
+    parsed = _parsed(tables.to_geojson_features(places, "point"), "name:string,kind:string")
+    pair = F.from_json("c", "array<double>")
+    return rounded(parsed.select("name", "type", "shape", "kind", pair[0].alias("lng"), pair[1].alias("lat")))
+
+
 @query
 def s11_facility_layer(spark, root):
     df = derived.facilities(spark, root)
@@ -974,6 +998,16 @@ def t1_stream_cell_day(spark, root):
     return _with_id(jobs.read_versions(spark, out))
 
 
+@query
+def t1_stream_versions(spark, root):
+    """Counts over several batches, days out of order and none too late, kept in a table of bounded size."""
+    events, _ = _event_batches(spark, root, 3)
+    stream = jobs.stream_cell_day(events.withColumn("ts", F.col("event_date").cast("timestamp")), watermark="400 days")
+    table = StateTable(spark, scratch_path(spark, "cell-days"), "cell_day", "event_date", 8)
+    jobs.keep_versions(stream, table, scratch_path(spark, "cell-days-state")).awaitTermination()
+    return _with_id(table.read().drop("cell_day"))
+
+
 @query
 def t2_stream_score(spark, root):
     state, alerts, checkpoint = (scratch_path(spark, n) for n in ("state", "alerts", "score-state"))
@@ -1115,6 +1149,14 @@ def q5_latest_state(spark, root):
     return serving.latest_state(None, store.features(spark, root))
 
 
+@query
+def q5_stored_state(spark, root):
+    """The main branch: scores that a run left in the state table, with tiers recomputed."""
+    table = StateTable(spark, scratch_path(spark, "scores"), buckets=4)
+    stale = scoring.run_scoring(store.features(spark, root), table).withColumn("strategic_tier", F.lit("stale"))
+    return serving.latest_state(stale, store.features(spark, root)).withColumn("scored_at", F.substring("scored_at", 1, 10))
+
+
 @query
 def q6_cell_detail(spark, root):
     df = _detail(spark, root).select(

@@ -47,7 +47,7 @@ RULE_INPUTS = {
     "strategic_score": 0.0,
 }
 
-# Map style. Opacity is linear between stops; a colour holds from its stop upward.
+# Map style. Opacity and colour are linear between stops.
 HEAT_FROM = 0.54
 OPACITY_STOPS = ((0.54, 0.45), (0.60, 0.58), (0.66, 0.72), (0.72, 0.85), (0.80, 0.92))
 COLOR_STOPS = (
@@ -203,8 +203,20 @@ def heat_opacity(score: Column) -> Column:
 
 
 def heat_color(score: Column) -> Column:
-    steps = [(color, bound) for bound, color in reversed(COLOR_STOPS)]
-    return _ladder(score, steps, F.lit(CLEAR_COLOR))
+    """Colour between the stops, each channel on a line; the last stop's colour beyond it."""
+
+    def channels(color: str) -> list[int]:
+        return [int(color[i : i + 2], 16) for i in (1, 3, 5)]
+
+    def text(values: list[Column]) -> Column:
+        return F.concat(F.lit("#"), *[F.lpad(F.lower(F.hex(F.floor(v + F.lit(0.5)).cast("int"))), 2, "0") for v in values])
+
+    out = F.lit(COLOR_STOPS[-1][1])
+    for (x0, c0), (x1, c1) in reversed(list(zip(COLOR_STOPS, COLOR_STOPS[1:]))):
+        way = (score - F.lit(x0)) / F.lit(x1 - x0)
+        mixed = text([F.lit(float(a)) + way * F.lit(float(b - a)) for a, b in zip(channels(c0), channels(c1), strict=True)])
+        out = F.when(score < F.lit(x1), mixed).otherwise(out)
+    return F.when(score < F.lit(HEAT_FROM), F.lit(CLEAR_COLOR)).otherwise(out)
 
 
 def cell_text(tier: Column, triggers: Column, alert_text: Column) -> Column:

@@ -11,7 +11,6 @@ from hexrisk.operators.joins import salted_join
 from hexrisk.session import cut_lineage
 
 SEED_CLUSTER_CELLS = 30
-CLUSTER_TRIGGERS = 8
 
 
 def _runs(cells: DataFrame) -> DataFrame:
@@ -99,18 +98,20 @@ def seed_cluster(seeds: DataFrame, scores: DataFrame, cap: int = SEED_CLUSTER_CE
     return ordered.select("seed", cell_id(F.col("q"), F.col("r")).alias("cell"), "strategic_tier", "hop", "rank")
 
 
-def cluster_triggers(clustered: DataFrame, k: int = CLUSTER_TRIGGERS, key: str = "cluster_id") -> DataFrame:
-    """First ``k`` distinct signals of a cluster by text, as an array.
+def cluster_triggers(clustered: DataFrame, k: int | None = None, key: str = "cluster_id") -> DataFrame:
+    """Distinct signals of a cluster by text, as an array: all of them, or the first ``k``.
 
-    Signals are made distinct and cut to ``k`` per task before they meet, so a huge cluster collects only a handful.
+    Signals are made distinct, and cut to ``k``, per task before they meet.
     """
     signals = clustered.select(key, F.explode(split_triggers(F.col("tactical_triggers"))).alias("t")).distinct()
-    first = signals.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy("t"))).filter(F.col("_i") <= k)
+    first = signals
+    if k is not None:
+        first = signals.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy("t"))).filter(F.col("_i") <= k)
     return first.groupBy(key).agg(F.array_sort(F.collect_list("t")).alias("triggers"))
 
 
-def cluster_summary(clustered: DataFrame, key: str = "cluster_id") -> DataFrame:
-    """Size, tier, scores and signals of every cluster."""
+def cluster_summary(clustered: DataFrame, key: str = "cluster_id", k: int | None = None) -> DataFrame:
+    """Size, tier, scores and signals (all, or the first ``k``) of every cluster."""
     numbers = clustered.groupBy(key).agg(
         F.count(F.lit(1)).alias("cells"),
         F.max("strategic_tier").alias("strategic_tier"),
@@ -118,7 +119,7 @@ def cluster_summary(clustered: DataFrame, key: str = "cluster_id") -> DataFrame:
         F.max(F.coalesce("strategic_score", F.lit(0.0))).alias("max_strategic_score"),
         stored_mean(F.coalesce("tactical_score", F.lit(0.0)), 3).alias("avg_tactical_score"),
     )
-    joined = numbers.join(cluster_triggers(clustered, key=key), key, "left")
+    joined = numbers.join(cluster_triggers(clustered, k, key), key, "left")
     return joined.withColumn("triggers", F.coalesce("triggers", F.array().cast("array<string>")))
 
 

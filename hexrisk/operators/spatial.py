@@ -1,7 +1,8 @@
 """Searches by distance.
 
-Points meet only through a shared bucket of a latitude/longitude grid. A search visits the buckets its circle can touch;
-searches are salted, so a bucket that most searches fall into is still worked on by many tasks.
+Points meet only through a shared bucket of a latitude/longitude grid. A search visits the buckets its circle can touch.
+Buckets are counted first: one that holds a large share of the searches or of the targets is dealt out to as many tasks
+as its pairs need, and the others are joined as they are.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from hexrisk.functions.geo import EARTH_RADIUS_KM, haversine_km
 from hexrisk.functions.grid import with_cell
 from hexrisk.functions.numbers import half_up
-from hexrisk.operators.joins import salted_join
+from hexrisk.operators.joins import measured_join, salted_join
 from hexrisk.session import cut_lineage
 
 # Bucket widths in degrees; all divide 360, so buckets close around the globe.
 BUCKETS = (0.125, 0.25, 0.5, 1.0, 2.0, 4.0, 5.0, 10.0)
-SEARCH_SALTS, RADIUS_GROWTH, FIRST_RADIUS_KM = 32, 2.0, 12.0
+RADIUS_GROWTH, FIRST_RADIUS_KM = 2.0, 12.0
 HALF_EARTH_KM = pi * EARTH_RADIUS_KM
 
 # Cities taken as destinations beside the facilities.
@@ -91,7 +92,7 @@ def within_radius(points: DataFrame, targets: DataFrame, radius_km: float, min_k
     spread = points.withColumn("_by", F.explode(rows)).withColumn("_bx", F.explode(columns))
     by, bx = _bucket(F.col("to_lat"), F.col("to_lng"), width)
     placed = targets.withColumnsRenamed({"lat": "to_lat", "lng": "to_lng"}).withColumns({"_by": by, "_bx": bx})
-    pairs = salted_join(spread, placed, ["_by", "_bx"], salts=SEARCH_SALTS, grows=True)
+    pairs = measured_join(spread, placed, ["_by", "_bx"])
     # Kept to the millimetre, so that equal distances compare as equal.
     distance = half_up(haversine_km(F.col("lat"), F.col("lng"), F.col("to_lat"), F.col("to_lng")), 6)
     return (

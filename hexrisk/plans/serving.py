@@ -87,7 +87,9 @@ def area_summary(areas: DataFrame, grid: DataFrame, scores: DataFrame, radius_km
     spots = areas.select("lat", "lng").distinct()
     state = scores.select("cell", "strategic_score", "tactical_triggers", "scored_at")
     targets = enrich_scores(grid.select("cell", "lat", "lng"), state.withColumn("_has", F.lit(1)))
-    rows = within_radius(spots, targets, radius_km)
+    # Numbers and triggers both start from these rows, so they are found once.
+    found = within_radius(spots, targets, radius_km)
+    rows = cut_lineage(found.select("lat", "lng", "_has", "strategic_score", "tactical_triggers", "scored_at"))
     has, spot = F.col("_has").isNotNull(), ["lat", "lng"]
     score = F.coalesce("strategic_score", F.lit(0.0))
     tier = strategic_tier(score)
@@ -117,19 +119,19 @@ def area_report(areas: DataFrame, grid: DataFrame, scores: DataFrame, radius_km:
     return joined.withColumn("note", note).withColumn("hex_count", counted)
 
 
-def cluster_report(scores: DataFrame) -> DataFrame:
-    """Every contiguous same-tier cluster with its numbers, centre, description and sentence."""
-    return describe_clusters(tier_clusters(scores), "cluster_id")
+def cluster_report(scores: DataFrame, k: int | None = None) -> DataFrame:
+    """Every contiguous same-tier cluster with its numbers, signals (all, or the first ``k``), centre, description and sentence."""
+    return describe_clusters(tier_clusters(scores), "cluster_id", k)
 
 
-def seed_cluster_report(seeds: DataFrame, scores: DataFrame) -> DataFrame:
+def seed_cluster_report(seeds: DataFrame, scores: DataFrame, k: int | None = None) -> DataFrame:
     """The report for clusters grown from given cells, at most thirty cells each."""
     members = seed_cluster(seeds, scores).drop("strategic_tier")
-    return describe_clusters(enrich_scores(members, scores), "seed")
+    return describe_clusters(enrich_scores(members, scores), "seed", k)
 
 
-def describe_clusters(clustered: DataFrame, key: str) -> DataFrame:
-    summary = cluster_summary(clustered, key).join(cluster_center(clustered, key), key)
+def describe_clusters(clustered: DataFrame, key: str, k: int | None = None) -> DataFrame:
+    summary = cluster_summary(clustered, key, k).join(cluster_center(clustered, key), key)
     return summary.withColumns(
         {
             "description": tier_description(F.col("strategic_tier")),

@@ -76,6 +76,16 @@ def read_versions(spark: SparkSession, path: str, keys: tuple[str, ...] = ("q",
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("v")).select(*keys, "v.*")
 
 
+def keep_versions(counts: DataFrame, table: StateTable, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """Keep the newest version of every cell-day in a state table (key ``cell_day``): old versions are dropped as batches come."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        key = F.concat_ws(" ", cell_id(F.col("q"), F.col("r")), F.col("event_date").cast("string"))
+        table.merge(batch.withColumn("cell_day", key), batch_id)
+
+    return counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(**_trigger(interval)).foreachBatch(write).start()
+
+
 def read_state(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
     """State left by the newest batch before ``batch_id``; null if there is none.
 

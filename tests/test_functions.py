@@ -138,7 +138,9 @@ def test_tiers_and_styles(spark):
     rows = df.select(risk.strategic_tier(s), half_up(risk.heat_opacity(s), 4), risk.heat_color(s), risk.model_band(s)).collect()
     assert [r[0] for r in rows] == ["red", "orange", "yellow", "green", "yellow", "red"]
     assert [r[1] for r in rows] == [0.8067, 0.785, 0.45, 0.0, 0.515, 0.92]
-    assert rows[3][2] == risk.CLEAR_COLOR and rows[5][2] == "#800026"
+    assert rows[3][2] == risk.CLEAR_COLOR and rows[5][2] == "#800026" and rows[4][2] == "#fed976"
+    mid = spark.createDataFrame([(0.555,)], "s double").select(risk.heat_color(s)).first()[0]
+    assert mid == "#ffec94"  # half way between #ffffb2 and #fed976
     assert [r[3] for r in rows[:2]] == ["Red", "Orange"]
 
 

@@ -235,3 +235,22 @@ def test_area_report_distinguishes_no_cells_and_no_scores(spark):
     assert (rows[1].hex_count, rows[1].red, rows[1].top_triggers, rows[1].note) == (1, 1, ["x", "y"], None)
     assert rows[2].note == serving.NO_CELLS and rows[2].hex_count == 0
     assert rows[3].note == serving.NO_SCORES and rows[3].hex_count == 1
+
+
+def test_a_crowded_bucket_is_split_and_nothing_is_lost(spark, monkeypatch):
+    from hexrisk.operators import joins
+
+    # Half of all points and of all targets share a bucket.
+    rnd = random.Random(8)
+    place = lambda i: (33.0 + rnd.random() * 0.05, 35.0 + rnd.random() * 0.05) if i % 2 else (rnd.uniform(-80, 80), rnd.uniform(-180, 180))
+    points = [(i, *place(i)) for i in range(600)]
+    targets = [(f"t{i}", *place(i)) for i in range(500)]
+    a = spark.createDataFrame(points, "id long, lat double, lng double")
+    b = spark.createDataFrame(targets, "name string, lat double, lng double")
+    want = {(i, n) for i, x, y in points for n, u, v in targets if km(x, y, u, v) <= 4.0}
+    for cell in (64, 4096):
+        found = [(r.id, r.name) for r in joins.measured_join(a.withColumn("k", F.floor("lat")), b.select("name", F.floor("lat").alias("k")), ["k"], cell).collect()]
+        assert len(found) == len(set(found)) == sum(math.floor(x) == math.floor(u) for _, x, _ in points for _, u, _ in targets)
+        monkeypatch.setattr(spatial, "measured_join", lambda left, right, on, cell=cell: joins.measured_join(left, right, on, cell))
+        got = [(r.id, r.name) for r in spatial.within_radius(a, b, 4.0).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
