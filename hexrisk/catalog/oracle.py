@@ -7,11 +7,23 @@ from __future__ import annotations
 
 import re
 
-from hexrisk.functions import risk
-from hexrisk.functions.grid import CORNERS, EDGE_KM, INV_SQRT3, KM_PER_DEG_LAT, KM_PER_DEG_LNG, NEIGHBOR_OFFSETS, SQRT3
-from hexrisk.operators.evaluate import COARSE_THRESHOLDS, FINE_THRESHOLDS, REPORT_THRESHOLDS
-from hexrisk.operators.model import ALL_FEATURES, LINEAR_COEFFICIENTS, LINEAR_INTERCEPT
-from hexrisk.operators.spatial import CITIES
+from hexrisk.catalog import expected as risk
+from hexrisk.catalog.expected import (
+    ALL_FEATURES,
+    CITIES,
+    COARSE_THRESHOLDS,
+    CORNERS,
+    EDGE_KM,
+    FINE_THRESHOLDS,
+    INV_SQRT3,
+    KM_PER_DEG_LAT,
+    KM_PER_DEG_LNG,
+    LINEAR_COEFFICIENTS,
+    LINEAR_INTERCEPT,
+    NEIGHBOR_OFFSETS,
+    REPORT_THRESHOLDS,
+    SQRT3,
+)
 
 PARTS: dict[str, str] = {}
 ORACLES: dict[str, str] = {}
