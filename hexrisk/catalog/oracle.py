@@ -774,7 +774,7 @@ oracle("m3_time_holdout", f"select cell, event_date, case when position < floor(
 _p = f"least(greatest(strategic_score, {d(1e-7)}), {d(1.0 - 1e-7)})"
 oracle("m5_focal_weight", f"""select cell, event_date, {hu(f"case when label = 1 then {d(0.25)} * pow({d(1.0)} - {_p}, 2) else {d(0.75)} * pow({d(1.0)} - ({d(1.0)} - {_p}), 2) end")} as weight from lscores""")
 # What training promises whatever the trees are: the rows it is measured on, and that it has learnt something.
-_TRAINED = "select count(*) as rows, cast(sum(label) as bigint) as positives, true as in_range, true as skilled, true as above_base_rate, true as several_trees"
+_TRAINED = "select count(*) as rows, cast(sum(label) as bigint) as positives, true as in_range, true as skilled, true as above_base_rate, true as has_trees"
 oracle("m4_train_gbt", f"{_TRAINED} from atest")
 oracle("m4_planted_label", "select true as skilled, true as above_base_rate")
 oracle("m6_train_focal", f"{_TRAINED}, cast(400 as bigint) as trees from atest")

@@ -924,7 +924,7 @@ def _checked(spark, root, kind):
         F.count(F.lit(1)).alias("rows"), F.sum(F.col("label").cast("bigint")).alias("positives"), F.bool_and(F.col("strategic_score").between(0.0, 1.0)).alias("in_range")
     )
     skill = _skill(model.predict(train, fitted))
-    return scored.select("*", *[skill.select(c).scalar().alias(c) for c in skill.columns], F.lit(model.n_trees(fitted) > 1).alias("several_trees"))
+    return scored.select("*", *[skill.select(c).scalar().alias(c) for c in skill.columns], F.lit(model.n_trees(fitted) >= 1).alias("has_trees"))
 
 
 @query
