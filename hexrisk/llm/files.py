@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -38,6 +41,15 @@ class Written:
         self.fs.delete_file(self.draft)
 
 
+def give_back_memory() -> None:
+    """Return freed memory to the system: a Python worker lives on after its task, beside those of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+    if trim:
+        trim(0)
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns in one, so that added columns can't clash with them."""
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("whole")

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from hexrisk.llm.files import whole_row
+from hexrisk.llm.files import give_back_memory, whole_row
 from hexrisk.llm.text import _TABLE, LOWER, PUNCTUATION, bytes_of, coded, mixed, plain_strings, slices, span_hashes, word_bounds
 
 WINDOW, STRIDE = 32, 24
@@ -407,7 +407,10 @@ def learned(docs: DataFrame, labels: DataFrame) -> Network | float:
 
     def fit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for batch in batches for r in batch.to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fitted(rows))], pa.binary())], ["model"])
+        model = pickle.dumps(fitted(rows))
+        del rows
+        give_back_memory()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
     sample = training_sample(docs, labels).repartition(1)  # 2 * TRAIN_ROWS texts of TRAIN_CHARS at most
     found = sample.mapInArrow(fit, "model binary").first()
@@ -429,6 +432,8 @@ def scored(docs: DataFrame, model: Network | float, text: str = "text", into: st
             own = [batch.column(i) for i in range(batch.num_columns)]
             score = pa.array(np.concatenate([np.zeros(0), *found]), pa.float64())
             yield pa.RecordBatch.from_arrays([*own, score], [*batch.schema.names, into])
+        del words
+        give_back_memory()
 
     return docs.mapInArrow(scores, T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())]))
 
