@@ -254,3 +254,21 @@ def test_a_crowded_bucket_is_split_and_nothing_is_lost(spark, monkeypatch):
         monkeypatch.setattr(spatial, "measured_join", lambda left, right, on, cell=cell: joins.measured_join(left, right, on, cell))
         got = [(r.id, r.name) for r in spatial.within_radius(a, b, 4.0).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_remote_positions_look_at_few_places(spark, monkeypatch):
+    places = [(f"p{i}", 33.0 + (i % 30) * 0.05, 35.0 + (i // 30) * 0.05) for i in range(900)]
+    askers = [(-20.0 - i * 0.5, 120.0 + j * 0.5) for i in range(5) for j in range(8)]
+    met, join = [], spatial.measured_join
+
+    def counted(left, right, on):
+        pairs = join(left, right, on)
+        met.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(spatial, "measured_join", counted)
+    a, b = spark.createDataFrame(askers, "lat double, lng double"), spark.createDataFrame(places, "name string, lat double, lng double")
+    got = {(r.lat, r.lng): r.distance_km for r in spatial.nearest_places(a, b, 1).collect()}
+    assert got == {spot: pytest.approx(min(km(*spot, x, y) for _, x, y in places), abs=1e-6) for spot in askers}
+    # Of 36,000 pairs.
+    assert sum(met) < 40 * 100
