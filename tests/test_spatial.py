@@ -272,3 +272,12 @@ def test_remote_positions_look_at_few_places(spark, monkeypatch):
     assert got == {spot: pytest.approx(min(km(*spot, x, y) for _, x, y in places), abs=1e-6) for spot in askers}
     # Of 36,000 pairs.
     assert sum(met) < 40 * 100
+
+
+def test_cells_of_ways_are_found_once_and_only_dangerous_ones_go_on(spark):
+    ways = spark.createDataFrame([(33.0, 35.0, 33.0, 45.0, 1, 0), (33.0, 35.0, 33.0, 35.5, 2, 1)], "lat double, lng double, to_lat double, to_lng double, rank int, variant int")
+    passed = routes.danger_cells(state(spark, {(33.0, 35.3): "red"}))
+    exposed = serving.exposed_ways(ways, passed, ["lat", "lng", "rank", "variant"])
+    plan = exposed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("Generate") == 1
+    assert {r["rank"]: (r.danger_cells, len(r.danger_ids)) for r in exposed.collect()}[1] == (1, 1)
