@@ -46,9 +46,16 @@ WHOLE = (*SUMS, *TOPS, *SETS, *DELTAS, *LAGS)
 EPOCH = pd.Timestamp("1970-01-01")
 
 
-def _hashes(values: pd.Series) -> np.ndarray:
-    """64-bit hashes of the values that are not null, each once."""
-    return np.unique(pd.util.hash_array(values.dropna().to_numpy(object), categorize=False).view(np.int64))
+def _hash_lists(values: pd.Series, group: np.ndarray, n: int) -> list[list[int]]:
+    """Per group the 64-bit hashes of the values that are not null, each once."""
+    known = values.notna().to_numpy()
+    hashes, group = pd.util.hash_array(values[known].to_numpy(object), categorize=False).view(np.int64), group[known]
+    order = np.lexsort((hashes, group))
+    hashes, group = hashes[order], group[order]
+    first = np.ones(len(group), bool)
+    first[1:] = (group[1:] != group[:-1]) | (hashes[1:] != hashes[:-1])
+    hashes, ends = hashes[first].tolist(), np.cumsum(np.bincount(group[first], minlength=n)).tolist()
+    return [hashes[begin:end] for begin, end in zip([0, *ends], ends, strict=False)]
 
 
 def cell_messages(events: DataFrame) -> DataFrame:
@@ -64,8 +71,9 @@ def cell_messages(events: DataFrame) -> DataFrame:
                 continue
             groups = rows.groupby(["q", "r", "day"], sort=False)
             own = groups.agg(**{c: (SOURCES[c], "count" if c == "event_count" else "sum") for c in SUMS}, **{c: (SOURCES[c], "max") for c in TOPS})
-            own["actors"] = groups["actor1"].apply(_hashes)
-            own["pairs"] = groups["actor_pair"].apply(_hashes)
+            number = groups.ngroup().to_numpy()
+            own["actors"] = _hash_lists(rows["actor1"], number, len(own))
+            own["pairs"] = _hash_lists(rows["actor_pair"], number, len(own))
             own = own.reset_index().assign(side=-1)
             none = [[] for _ in range(len(own))]
             # A direction is named by the way back, so the receiver knows which neighbour spoke.
@@ -85,8 +93,8 @@ class Ring:
     def empty(newest: int) -> Ring:
         return Ring(newest, np.zeros((len(CHANNELS), RING_DAYS)))
 
-    def place(self, day: int) -> int:
-        """Column of a day; negative if it has left the ring."""
+    def place(self, day):
+        """Column of a day, or of each of an array of days; negative if it has left the ring."""
         return RING_DAYS - 1 - (self.newest - day)
 
     def turn_to(self, day: int) -> np.ndarray:
@@ -137,47 +145,48 @@ class CellState(StatefulProcessor):
         self.first_day = first_day
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.cell = handle.getValueState("cell", "newest int, values array<double>, population double, exists boolean, around int")
-        self.actors = handle.getMapState("actors", "day int", "actors array<long>, pairs array<long>")
+        # Everything in one value: a cell costs one read and one write a batch, however many days it reports.
+        schema = "newest int, values array<double>, population double, exists boolean, around int, days array<int>, actors array<array<long>>, pairs array<array<long>>"
+        self.cell = handle.getValueState("cell", schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        messages = pd.concat(list(rows))
-        newest = int(messages.day.max())
-        ring, population, exists, around = Ring.empty(newest), 0.0, False, 0
-        if self.cell.exists():
-            day, values, population, exists, around = self.cell.get()
-            ring = Ring(int(day), np.array(values).reshape(len(CHANNELS), RING_DAYS))
+        parts = list(rows)
+        column = {c: np.concatenate([p[c].to_numpy() for p in parts]) for c in ("day", "side", *SUMS, *TOPS, "actors", "pairs")}
+        days, own = column["day"], column["side"] < 0
+        newest = int(days.max())
+        ring, population, exists, around, seen = Ring.empty(newest), 0.0, False, 0, {}
+        before = self.cell.get() if self.cell.exists() else None
+        if before is not None:
+            ring = Ring(int(before[0]), np.array(before[1]).reshape(len(CHANNELS), RING_DAYS))
+            population, exists, around = before[2:5]
+            seen = {int(d): (a, p) for d, a, p in zip(*before[5:], strict=True)}
         for gone in ring.turn_to(newest)[CHANNELS.index("population_best")]:
             population = gone or population
-        for (day, side), found in messages.groupby(["day", "side"]):
-            at = ring.place(int(day))
-            if side < 0:
-                exists = True
-            else:
-                around |= 1 << int(side)
-            if at < 0:
-                if side < 0 and not population:
-                    population = float(found.population_best.max())
-                continue
-            if side >= 0:
-                ring.of("around_dangerous")[at] += found.dangerous_count.sum()
-                ring.of("around_fatalities")[at] += found.total_fatalities.sum()
-                continue
-            for c in SUMS:
-                ring.of(c)[at] += found[c].sum()
-            for c in TOPS:
-                ring.of(c)[at] = max(ring.of(c)[at], found[c].max())
-            sets = [np.unique(np.concatenate([np.asarray(v, np.int64) for v in found[c]])) for c in ("actors", "pairs")]
-            before = self.actors.getValue((int(day),)) if self.actors.containsKey((int(day),)) else None
-            if before is not None:
-                sets = [np.union1d(np.array(b, np.int64), s) for b, s in zip(before, sets, strict=True)]
-            self.actors.updateValue((int(day),), tuple(s.tolist() for s in sets))
-            for c, s in zip(SETS, sets, strict=True):
-                ring.of(c)[at] = len(s)
-        for (day,) in list(self.actors.keys()):
-            if ring.place(day) < 0:
-                self.actors.removeKey((day,))
-        self.cell.update((ring.newest, ring.values.ravel().tolist(), float(population), exists, around))
+        exists = bool(exists or own.any())
+        for side in np.unique(column["side"][~own]).tolist():
+            around |= 1 << side
+        at = ring.place(days)
+        if not population:
+            late = np.flatnonzero(own & (at < 0))
+            by_day = (column["population_best"][late[days[late] == d]].max() for d in np.unique(days[late]))
+            population = float(next((v for v in by_day if v), 0.0))
+        inside = np.flatnonzero(~own & (at >= 0))
+        for c, source in zip(AROUND, ("dangerous_count", "total_fatalities"), strict=True):
+            np.add.at(ring.of(c), at[inside], column[source][inside])
+        inside = np.flatnonzero(own & (at >= 0))
+        for c in SUMS:
+            np.add.at(ring.of(c), at[inside], column[c][inside])
+        for c in TOPS:
+            np.maximum.at(ring.of(c), at[inside], column[c][inside])
+        for i in inside.tolist():
+            day, told = int(days[i]), (column["actors"][i], column["pairs"][i])
+            seen[day] = tuple(set(map(int, b)).union(map(int, v)) for b, v in zip(seen.get(day, ((), ())), told, strict=True))
+        for day in {int(days[i]) for i in inside}:
+            for c, values in zip(SETS, seen[day], strict=True):
+                ring.of(c)[ring.place(day)] = len(values)
+        seen = {d: v for d, v in sorted(seen.items()) if ring.place(d) >= 0}
+        sets = [[sorted(v[i]) for v in seen.values()] for i in (0, 1)]
+        self.cell.update((ring.newest, ring.values.ravel().tolist(), float(population), exists, around, list(seen), *sets))
         if exists:
             date = (EPOCH + pd.Timedelta(days=ring.newest)).date()
             yield pd.DataFrame([{"q": key[0], "r": key[1], "event_date": date, **feature_row(ring, population, around.bit_count(), self.first_day)}])
