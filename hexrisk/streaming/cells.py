@@ -48,7 +48,8 @@ EPOCH = pd.Timestamp("1970-01-01")
 
 def _hash_lists(values: pd.Series, group: np.ndarray, n: int) -> list[list[int]]:
     """Per group the 64-bit hashes of the values that are not null, each once."""
-    known = values.notna().to_numpy()
+    # Rows without a day are in no group.
+    known = values.notna().to_numpy() & (group >= 0)
     hashes, group = pd.util.hash_array(values[known].to_numpy(object), categorize=False).view(np.int64), group[known]
     order = np.lexsort((hashes, group))
     hashes, group = hashes[order], group[order]
@@ -71,7 +72,7 @@ def cell_messages(events: DataFrame) -> DataFrame:
                 continue
             groups = rows.groupby(["q", "r", "day"], sort=False)
             own = groups.agg(**{c: (SOURCES[c], "count" if c == "event_count" else "sum") for c in SUMS}, **{c: (SOURCES[c], "max") for c in TOPS})
-            number = groups.ngroup().to_numpy()
+            number = groups.ngroup().fillna(-1).to_numpy().astype(np.int64)
             own["actors"] = _hash_lists(rows["actor1"], number, len(own))
             own["pairs"] = _hash_lists(rows["actor_pair"], number, len(own))
             own = own.reset_index().assign(side=-1)
@@ -168,7 +169,7 @@ class CellState(StatefulProcessor):
         at = ring.place(days)
         if not population:
             late = np.flatnonzero(own & (at < 0))
-            by_day = (column["population_best"][late[days[late] == d]].max() for d in np.unique(days[late]))
+            by_day = (np.fmax.reduce(column["population_best"][late[days[late] == d]]) for d in np.unique(days[late]))
             population = float(next((v for v in by_day if v), 0.0))
         inside = np.flatnonzero(~own & (at >= 0))
         for c, source in zip(AROUND, ("dangerous_count", "total_fatalities"), strict=True):
@@ -177,7 +178,7 @@ class CellState(StatefulProcessor):
         for c in SUMS:
             np.add.at(ring.of(c), at[inside], column[c][inside])
         for c in TOPS:
-            np.maximum.at(ring.of(c), at[inside], column[c][inside])
+            np.fmax.at(ring.of(c), at[inside], column[c][inside])
         for i in inside.tolist():
             day, told = int(days[i]), (column["actors"][i], column["pairs"][i])
             seen[day] = tuple(set(map(int, b)).union(map(int, v)) for b, v in zip(seen.get(day, ((), ())), told, strict=True))

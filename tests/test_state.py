@@ -130,6 +130,6 @@ def test_hashes_of_a_group_come_once_and_without_nulls():
     import numpy as np
     import pandas as pd
 
-    values = pd.Series(["a", None, "b", "a", "a", None])
-    lists = cells._hash_lists(values, np.array([2, 0, 2, 2, 0, 1]), 4)
+    values = pd.Series(["a", None, "b", "a", "a", None, "z"])
+    lists = cells._hash_lists(values, np.array([2, 0, 2, 2, 0, 1, -1]), 4)
     assert [len(v) for v in lists] == [1, 0, 2, 0] and lists[0][0] in lists[2] and lists[2] == sorted(lists[2])
