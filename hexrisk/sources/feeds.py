@@ -62,11 +62,13 @@ def read_news_events(spark: SparkSession, path: str, box: dict | None = REGION_B
 
     Rows of another width are skipped, rows outside ``box`` dropped (all are kept without one).
     """
-    fields = F.split("value", "\t", -1)
+    # Exploding an array of one keeps the filters below from cutting the line anew, each for itself.
+    fields = F.explode(F.array(F.split("value", "\t", -1)))
     lines = spark.read.text(path).select(fields.alias("f"), F.col("_metadata.file_name").alias("file"))
     raw = lines.filter(F.size("f") == NEWS_WIDTH)
     at = {name: F.get("f", F.lit(i)) for name, i in NEWS_POSITIONS.items()}
-    file_day = F.regexp_extract("file", r"(\d{8})", 1)
+    # Null where the name has no day: trying to read an empty text costs an exception a row.
+    file_day = F.nullif(F.regexp_extract("file", r"(\d{8})", 1), F.lit(""))
     rows = raw.select(
         at["id"].alias("id"),
         F.coalesce(

@@ -144,3 +144,13 @@ def test_read_scores_recomputes_tiers(spark, tmp_path):
     path = str(tmp_path / "s")
     spark.createDataFrame([("a", 0.71, "green"), ("b", None, "red")], "cell string, strategic_score double, strategic_tier string").write.parquet(path)
     assert {r.cell: r.strategic_tier for r in tables.read_scores(spark, path).collect()} == {"a": "red", "b": "green"}
+
+
+def test_a_news_line_is_cut_once(spark, tmp_path):
+    """Filters that repeat the cutting of a line made the reader several times slower."""
+    values = ["x"] * feeds.NEWS_WIDTH
+    values[0], values[1], values[53], values[54] = "7", "20240203", "33.1", "35.2"
+    path = put(tmp_path / "n", "part-0.txt", "\t".join(values) + "\n" + "\t".join(values[1:]) + "\n")
+    df = feeds.read_news_events(spark, path)
+    assert [(r.id, str(r.event_date)) for r in df.collect()] == [("7", "2024-02-03")]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
