@@ -4,11 +4,13 @@
    size, a fingerprint of the set, a token bitmap four to eight times as wide as the set, and a prefix: its rarest
    n-grams, so many that any two linked documents share one (prefix filter, exact for any order of n-grams).
 2. Documents with equal sets become one. Documents that share a prefix n-gram form a bucket. Some rows of each bucket
-   (centres) are compared with all others; links found are merged into components.
-3. In every bucket that still holds several components a signature tree is built: nodes hold the OR of their documents'
-   bitmaps, the range of sizes, and their component if there is one. Two nodes are walked down together unless their
-   sizes can't fit, the largest overlap that the bitmaps allow is too small, or both lie in one component. Large buckets
-   are dealt out as pairs of blocks, each a task's work.
+   (centres) are compared with all others; links found are merged into components. A bucket answers for pairs whose rarest common
+   n-gram may be its own: they share no more n-grams than come from there on in either (positional filter, exact).
+3. Buckets that still hold several components are cut into ranges of sizes that may link. Where few documents are left,
+   those without a partner there are dropped; of parts with equal documents one stays. In each a signature tree is built:
+   nodes hold the OR of their documents' bitmaps, the range of sizes, and their component if there is one. Two nodes are
+   walked down together unless their sizes can't fit, the largest overlap that the bitmaps allow is too small, or both lie
+   in one component. Large parts are dealt out as pairs of blocks, each a task's work.
 4. Pairs that the bitmaps let pass are verified on the full sets; links are merged into the final components.
 
 No link between different sets is lost: buckets have no cap, and pairs are left out only inside one component or where
@@ -21,12 +23,13 @@ id in several rows, each of which is returned; an empty table gives no rows; col
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hexrisk.llm.components import components
 from hexrisk.llm.dedup import located
@@ -39,6 +42,8 @@ CENTRES = 2
 NEEDED_SLOTS = 1 << 20
 #: Documents of a bucket that one task compares with each other; larger buckets become pairs of blocks.
 BLOCK = 4096
+#: Up to so many documents of a bucket's part are compared by sizes and places before bitmaps are sent to them.
+FEW = 64
 LEAF, FAN = 8, 4
 PAIRS = 200_000
 _STEPS = mixed(np.arange(1, 33, dtype=np.uint64)) | np.uint64(1)
@@ -63,6 +68,10 @@ class Rule:
         """How many of a set's n-grams are enough to share one with any linked set."""
         return size + (-self.percent * size) // 100 + 1
 
+    def band(self, size: Column) -> Column:
+        """Number of a range of sizes; sizes that fit are in the same range or in neighbouring ones."""
+        return F.floor(F.log(size) / F.lit(max(math.log(100 / self.percent), 0.01) * (1 + 1e-9))).cast("int")
+
 
 def grams(raw: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and document of every n-gram (with repeats) of a block of texts."""
@@ -242,6 +251,34 @@ def tree_pairs(rule: Rule, row: np.ndarray, size: np.ndarray, component: np.ndar
             yield row[a[keep]], row[b[keep]]
 
 
+def mixed_cells(labelled: DataFrame, rule: Rule) -> DataFrame:
+    """Parts of buckets to be searched for links between components: cell, row, size, component.
+
+    ``labelled`` has gram, row, size, component and ``most``, the n-grams of the row's set from this one on.
+    """
+    key = ["gram", "band"]
+    band = rule.band(F.col("size"))
+    banded = labelled.withColumn("band", F.explode(F.array(band - 1, band)))
+    several = banded.groupBy(*key).agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    members = banded.join(several.select(*key, "n"), key)
+    few = members.filter(F.col("n") <= FEW)
+    other = few.select(*[F.col(c).alias(f"{c}_o") for c in (*key, "size", "most", "component")])
+    partner = (F.col("gram") == F.col("gram_o")) & (F.col("band") == F.col("band_o")) & (F.col("component") != F.col("component_o"))
+    partner &= rule.enough(F.least("most", "most_o"), F.col("size") + F.col("size_o"))
+    kept = few.join(other, partner, "left_semi").unionByName(members.filter(F.col("n") > FEW))
+    kept = stored(kept.select(*key, "row", "size", "component"), "kept")
+    # Passages that documents share bring them together once for each n-gram; one of the equal parts is enough.
+    alike = [F.bit_xor(F.xxhash64(F.lit(k), "row")).alias(f"x{k}") for k in range(2)]
+    parts = kept.groupBy(*key).agg(F.count("*").alias("n"), *alike)
+    parts = parts.groupBy("n", "x0", "x1").agg(F.min(F.struct(*key)).alias("part")).select("part.*", "n")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("row"), blocks).cast("int")
+    cells = kept.join(parts, key).withColumn("blocks", blocks).withColumn("own", own)
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.concat_ws(":", F.col("gram").cast("string"), F.col("band").cast("string"), F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string"))
+    return cells.select(cell.alias("cell"), "row", "size", "component")
+
+
 def residual_pairs(members: DataFrame, rule: Rule) -> DataFrame:
     """Pairs from buckets dealt out by ``cell``; ``members`` has cell, row, size, component, bits, sorted by cell in each task."""
 
@@ -293,19 +330,21 @@ def joined(docs: DataFrame, rule: Rule, also: tuple[str, ...] = ()) -> DataFrame
     same = rows.filter("size > 0").groupBy("size", "fa", "fb").agg(F.min("row").alias("rep"), F.count("*").alias("copies"))
     same = stored(same, "same")
     reps = rows.join(same.select(F.col("rep").alias("row")), "row", "left_semi")
-    postings = reps.select("row", "size", F.explode("prefix").alias("gram"))
+    postings = reps.select("row", "size", F.posexplode("prefix").alias("place", "gram"))
+    # A pair whose rarest common n-gram this is shares no more than what comes from here on.
+    postings = postings.select("row", "size", (F.col("size") - F.col("place")).alias("most"), "gram")
     shared = postings.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
     buckets = stored(postings.join(shared, "gram"), "buckets")
     # Of a group of edited copies, the one nearest to what all have in common shares its n-grams with most; it is the first
     # centre, and the others are chosen by hash.
     weight = buckets.groupBy("row").agg(F.sum("n").alias("weight"))
     order = [F.struct(-F.col("weight"), "row"), *[F.xxhash64(F.lit(k), "row") for k in range(1, CENTRES)]]
-    centres = buckets.join(weight, "row").groupBy("gram").agg(*[F.min_by(F.struct("row", "size"), o).alias(f"c{k}") for k, o in enumerate(order)])
+    centres = buckets.join(weight, "row").groupBy("gram").agg(*[F.min_by(F.struct("row", "size", "most"), o).alias(f"c{k}") for k, o in enumerate(order)])
     buckets = stored(buckets.join(centres, "gram"), "centred")
     meta = rows.select("row", "size", "bits")
 
-    stars = buckets.select("row", "size", F.explode(F.array_distinct(F.array(*[F.col(f"c{k}") for k in range(CENTRES)]))).alias("c"))
-    stars = stars.filter(F.col("row") != F.col("c.row")).filter(rule.fits(F.least("size", "c.size"), F.greatest("size", "c.size")))
+    stars = buckets.select("row", "size", "most", F.explode(F.array_distinct(F.array(*[F.col(f"c{k}") for k in range(CENTRES)]))).alias("c"))
+    stars = stars.filter(F.col("row") != F.col("c.row")).filter(rule.enough(F.least("most", "c.most"), F.col("size") + F.col("c.size")))
     stars = stars.select(F.least("row", "c.row").alias("a"), F.greatest("row", "c.row").alias("b")).distinct()
     x, y = (meta.select(F.col("row").alias(s), F.col("size").alias(f"size_{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab")
     likely = stored(passing(stars.join(x, "a").join(y, "b"), rule), "likely")
@@ -314,16 +353,9 @@ def joined(docs: DataFrame, rule: Rule, also: tuple[str, ...] = ()) -> DataFrame
 
     # Buckets that still hold several components, without rows whose every pair there is settled (a centre's pairs are).
     labelled = buckets.join(part, "row", "left").withColumn("component", F.coalesce("component", "row"))
-    labelled = labelled.filter(" and ".join(f"row <> c{k}.row" for k in range(CENTRES))).select("gram", "row", "size", "component")
+    labelled = labelled.filter(" and ".join(f"row <> c{k}.row" for k in range(CENTRES))).select("gram", "row", "size", "most", "component")
     labelled = stored(labelled, "labelled")
-    mixed_up = labelled.groupBy("gram").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("gram", "n")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("row"), blocks).cast("int")
-    cells = labelled.join(mixed_up, "gram").withColumn("blocks", blocks).withColumn("own", own)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = cells.select("row", "size", "component", "gram", "own", "blocks", other.alias("other"))
-    cells = cells.withColumn("cell", F.concat_ws(":", F.col("gram").cast("string"), F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string")))
-    cells = cells.select("cell", "row", "size", "component").join(meta.select("row", "bits"), "row")
+    cells = mixed_cells(labelled, rule).join(meta.select("row", "bits"), "row")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = cells.repartition(tasks, "cell").sortWithinPartitions("cell")
     rest = stored(residual_pairs(dealt.select("cell", "row", "size", "component", "bits"), rule).distinct().join(likely, ["a", "b"], "left_anti"), "rest")

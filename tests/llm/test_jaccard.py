@@ -50,6 +50,47 @@ def test_large_buckets_are_split_without_loss(spark, docs, monkeypatch):
     assert sorted(map(tuple, got.collect())) == want
 
 
+@pytest.mark.parametrize("few", [0, 3])
+def test_parts_beyond_few_lose_nothing(spark, docs, monkeypatch, few):
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    rows = docs.collect()
+    sets = [(r.doc_id, shingles(r.text, 2)) for r in rows]
+    want = sorted(zip([r.doc_id for r in rows], linked_components(sets, 70), strict=True))
+    got = jaccard.joined(docs, jaccard.Rule(2, 70)).select("doc_id", "component_id")
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_a_shared_passage_sends_bitmaps_once(spark, monkeypatch):
+    g = random.Random(11)
+    word = lambda: f"v{g.randrange(10**9)}"
+    halves = [" ".join(word() for _ in range(20)) for _ in range(6)]
+    texts = [h + " " + " ".join(word() for _ in range(3)) for h in halves for _ in range(20)]
+    for _ in range(5):
+        passage = " ".join(word() for _ in range(20))
+        texts += [passage + " " + h for h in halves]
+    sent = []
+    walk = jaccard.residual_pairs
+    monkeypatch.setattr(jaccard, "residual_pairs", lambda members, rule: (sent.extend(r.row for r in members.select("row").collect()), walk(members, rule))[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.joined(docs, jaccard.Rule(3, 90)).collect()}
+    assert [got[i] for i in range(120, 150)] == list(range(120, 150))
+    last = {r for r in sent if sent.count(r) > 1}
+    assert not last, (len(sent), len(last))
+
+
+def test_only_documents_with_a_partner_stay_in_a_part(spark):
+    rows = [
+        (1, 10, 100, 100, 10), (1, 11, 100, 94, 11),  # 94 is too little for two sets of 100 at 90 percent, 95 is enough
+        (2, 20, 100, 96, 20), (2, 21, 100, 95, 21), (2, 22, 100, 95, 20), (2, 23, 80, 80, 23),
+        (3, 20, 100, 99, 20), (3, 21, 100, 99, 21), (3, 22, 100, 99, 20),
+        (4, 40, 90, 90, 40), (4, 41, 100, 100, 41),  # just fit, if the first common n-gram is the first one of both
+    ]
+    labelled = spark.createDataFrame(rows, "gram long, row long, size long, most long, component long")
+    got = jaccard.mixed_cells(labelled, jaccard.Rule(3, 90)).collect()
+    assert sorted((r.row, r.size, r.component) for r in got) == [(20, 100, 20), (21, 100, 21), (22, 100, 20), (40, 90, 40), (41, 100, 41)]
+
+
 def test_tree_finds_all_pairs_that_link():
     g = np.random.default_rng(2)
     rule, sets = jaccard.Rule(1, 70), []
