@@ -22,7 +22,7 @@ from hexrisk.operators.boosting import BoostedTrees, Lane, boost_lanes
 from hexrisk.operators.labels import FOLDS, TRAIN_SHARE, filter_active, time_holdout, time_series_folds, with_time_position
 from hexrisk.operators.model import feature_names, predict, save_model, train_gbt, with_balance_weight
 from hexrisk.operators.summaries import missing_days, profile
-from hexrisk.session import cut_lineage
+from hexrisk.session import cut_lineage, stored
 from hexrisk.sources.tables import write_metrics
 
 VALIDATION_SHARE = 0.9
@@ -79,10 +79,10 @@ def train_and_evaluate(features_table: DataFrame, folds: int = FOLDS, **settings
     """
     names = feature_names(features_table.columns)
     active = filter_active(features_table).select("event_date", "q", "r", "label", *names)
-    rows = cut_lineage(time_series_folds(active, folds))
-    models = boost_lanes(rows, names, _lanes(rows, folds), **settings)
+    rows = stored(time_series_folds(active, folds), "folds", "block")
+    models = boost_lanes(rows, names, _lanes(rows, folds), at_hand=True, **settings)
     held = [predict(rows.filter(F.col("block") == f), models[f"fold {f}"]).select("label", "strategic_score", F.lit(f).alias("fold")) for f in range(1, folds + 1)]
-    by_fold = cut_lineage(ranking_metrics(reduce(DataFrame.unionByName, held), ["fold"]))
+    by_fold = cut_lineage(ranking_metrics(cut_lineage(reduce(DataFrame.unionByName, held)), ["fold"]))
     test = time_holdout(rows).filter("part = 'test'")
     both = [predict(test, models[name]).select("event_date", "label", "strategic_score", F.lit(name).alias("model")) for name in ("standard", "focal")]
     scored = cut_lineage(reduce(DataFrame.unionByName, both))
